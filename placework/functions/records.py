@@ -125,6 +125,14 @@ def packed_address(components: Column) -> Column:
     return F.when(components.isNull(), F.lit(None)).otherwise(F.to_json(address_parts(components)))
 
 
+def first_valid_address(addresses: Column, city: Column, county_code: Column) -> Column:
+    """Packed text of the first candidate address that names both the city and the county code."""
+    packed = F.transform(addresses, lambda a: packed_address(a["address_components"]))
+    return F.get(
+        F.filter(packed, lambda p: F.contains(p, city) & F.contains(p, county_code)), 0
+    )
+
+
 def encode_id_list(ids: Column) -> Column:
     """[7, 9] -> `a:2:{i:0;i:7;i:1;i:9;}`"""
     slots = F.transform(

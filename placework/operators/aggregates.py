@@ -63,9 +63,10 @@ def concat_text(
     return lists.select(*key, "chunk", F.array_join("__texts", "").alias(text))
 
 
-def first_value_by_label(df: DataFrame, key: list[str], label: str, value: str, order: str) -> DataFrame:
-    """The value with the lowest `order` per key and label."""
-    return df.groupBy(*key, label).agg(F.min_by(value, order).alias(value))
+def first_value_by_label(df: DataFrame, key: list[str], label: str, value: str, order) -> DataFrame:
+    """The value with the lowest `order` (a column or several) per key and label."""
+    position = F.struct(*([order] if isinstance(order, str) else order))
+    return df.groupBy(*key, label).agg(F.min_by(value, position).alias(value))
 
 
 def unpack_fields(

@@ -52,7 +52,7 @@ def literal_to_json(line: Column) -> Column:
 
 def read_literal_lines(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     """Every non-empty line of every `*.txt` below the folder, as columns of `schema` in their order."""
-    fields = T._parse_datatype_string(schema).fields
+    fields = T.StructType.fromDDL(schema).fields
     lines = spark.read.text(f"{folder.rstrip('/')}/*.txt").filter("trim(value) <> ''")
     values = lines.select(F.from_json(literal_to_json(F.col("value")), "array<string>").alias("v"))
     return values.select(
@@ -95,7 +95,7 @@ def load_catalogue(
 
 def save_table(df: DataFrame, path: str, name: str, mode: str = "overwrite") -> None:
     """Write a catalogue table with its fixed columns and types."""
-    fields = T._parse_datatype_string(CATALOGUE[name]).fields
+    fields = T.StructType.fromDDL(CATALOGUE[name]).fields
     have = set(df.columns)
     typed = [
         (F.col(f"`{f.name}`") if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name)
