@@ -46,9 +46,16 @@ def hash_key(*values: tuple[Column, str]) -> Column:
     return F.sha2(tuple_text(*values), 256)
 
 
+def coordinate_text(value: Column) -> Column:
+    """The one written form of a coordinate inside keys: six decimals."""
+    return value.try_cast("decimal(10,6)").cast("string")
+
+
 def place_key(longitude: Column, latitude: Column, url: Column) -> Column:
     """The one canonical key of a place."""
-    return hash_key((longitude, "text"), (latitude, "text"), (url, "text"))
+    return hash_key(
+        (coordinate_text(longitude), "text"), (coordinate_text(latitude), "text"), (url, "text")
+    )
 
 
 def map_diff(first: Column, second: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .windows import first_per_key
+from .windows import first_per_key, number_all
 
 
 def upsert(target: DataFrame, rows: DataFrame, key: str = "id", ordinal: str | None = None) -> DataFrame:
@@ -18,11 +18,22 @@ def upsert(target: DataFrame, rows: DataFrame, key: str = "id", ordinal: str | N
     return target.join(rows.select(key), key, "left_anti").unionByName(rows, allowMissingColumns=True)
 
 
-def insert_ignore(target: DataFrame, rows: DataFrame, key: str, ordinal: str) -> DataFrame:
+def insert_ignore(target: DataFrame, rows: DataFrame, key: str, ordinal) -> DataFrame:
     """Add rows whose key is new; among rows with the same key the first ordinal is written."""
+    return target.unionByName(fresh_rows(target, rows, key, ordinal), allowMissingColumns=True)
+
+
+def fresh_rows(target: DataFrame, rows: DataFrame, key: str, ordinal) -> DataFrame:
+    """The rows `insert_ignore` adds; `ordinal` is one column name or several."""
+    ordinals = [ordinal] if isinstance(ordinal, str) else list(ordinal)
     known = target.select(key).distinct()
-    fresh = first_per_key(rows.join(known, key, "left_anti"), [key], ordinal).drop(ordinal)
-    return target.unionByName(fresh, allowMissingColumns=True)
+    return first_per_key(rows.join(known, key, "left_anti"), [key], ordinals).drop(*ordinals)
+
+
+def assign_ids(rows: DataFrame, stored: DataFrame, order, key: str = "id") -> DataFrame:
+    """Ids that follow the highest stored one, in the order of the rows."""
+    highest = stored.agg(F.coalesce(F.max(key), F.lit(0)).alias("m")).scalar()
+    return number_all(rows.drop(key), order, name=key, start=1).withColumn(key, F.col(key) + highest)
 
 
 def delete_by_id(target: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:

@@ -15,6 +15,8 @@ from ..functions.geo import distance_m, grid_point, old_place_path, place_path
 from ..functions.text import normal_name, similarity, similarity_bound
 from .windows import HOT_ROWS, collect_in_chunks
 
+NO_VALUE = -(2**62)
+
 
 def with_children(
     parent: DataFrame,
@@ -159,6 +161,18 @@ def first_platform(platforms: DataFrame, key: str = "geo_hash_id") -> DataFrame:
     return platforms.groupBy(key).agg(F.min_by("url", "id").alias("platform_url"))
 
 
+def place_columns() -> list[Column]:
+    """Coordinates and city as compared.
+
+    An unknown one equals an unknown one, so each has a value no known one can have.
+    """
+    return [
+        F.coalesce(grid_point(F.col("latitude")), F.lit(NO_VALUE)).alias("__lat"),
+        F.coalesce(grid_point(F.col("longitude")), F.lit(NO_VALUE)).alias("__lon"),
+        F.coalesce("city_id", F.lit(NO_VALUE)).alias("__city"),
+    ]
+
+
 def match_points(rows: DataFrame, points: DataFrame, platforms: DataFrame, url_prefix: str) -> DataFrame:
     """Rows with the points at the same place.
 
@@ -167,11 +181,7 @@ def match_points(rows: DataFrame, points: DataFrame, platforms: DataFrame, url_p
     The URL is part of the join key, so rows and points at one hot coordinate are not paired with
     each other.
     """
-    place = [
-        grid_point(F.col("latitude")).alias("__lat"),
-        grid_point(F.col("longitude")).alias("__lon"),
-        F.col("city_id").alias("__city"),
-    ]
+    place = place_columns()
     known = points.join(first_platform(platforms), "geo_hash_id", "left").select(
         *place, "id", "geo_hash_id", F.col("platform_url").alias("__url")
     )

@@ -1 +1,178 @@
-"""Queries."""
+"""Sources, sinks, the link graph and streams over whole tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators.aggregates import crawl_progress
+from ..operators.graph import crawl_frontier
+from ..schemas import CATALOGUE
+from ..session import work_folder
+from ..sources import files
+from ..streaming.new_keys import read_new_keys, stream_new_keys, write_new_keys
+from .registry import query, table
+
+
+@query(
+    "s1_read_listing_csv",
+    """SELECT p_partkey::VARCHAR AS "Hotel ID", p_name || ', "' || p_type || '"' || chr(10) || 'x' AS "URL",
+              p_brand AS "City", NULL::VARCHAR AS "Hotels" FROM part""",
+)
+def s1(spark, sf):
+    folder = work_folder(spark, "csv")
+    rows = table(spark, sf, "part").select(
+        F.col("p_partkey").alias("Hotel ID"),
+        F.concat("p_name", F.lit(', "'), "p_type", F.lit('"\nx')).alias("URL"),
+        F.col("p_brand").alias("City"),
+        F.lit(None).cast("string").alias("Hotels"),
+    )
+    rows.write.csv(folder, header=True, escape='"')
+    return files.read_listing_csv(spark, folder)
+
+
+@query("s2_read_literal_lines", "SELECT c_name || '''s, \"x\"' AS name, c_custkey AS key, c_acctbal AS balance, NULL::VARCHAR AS none FROM customer")
+def s2(spark, sf):
+    folder = work_folder(spark, "literals")
+    said = F.concat(
+        F.lit("('"), "c_name", F.lit("\\'s, \"x\"', "), F.col("c_custkey").cast("string"), F.lit(", "),
+        F.col("c_acctbal").cast("string"), F.lit(", None)"),
+    )
+    files.write_lines(table(spark, sf, "customer").select(said.alias("value")), folder)
+    return files.read_literal_lines(spark, folder, "name STRING, key BIGINT, balance DOUBLE, none STRING")
+
+
+@query("s3_write_lines", "SELECT p_name || ' ț ' || p_partkey AS value FROM part")
+def s3(spark, sf):
+    folder = work_folder(spark, "lines")
+    files.write_lines(
+        table(spark, sf, "part").select(F.concat("p_name", F.lit(" ț "), "p_partkey").alias("item")), folder, "item"
+    )
+    return spark.read.text(folder)
+
+
+@query("s4_write_sitemap", "SELECT url || '&a=<1>' AS loc FROM pages")
+def s4(spark, sf):
+    folder = work_folder(spark, "sitemap")
+    files.write_sitemap(table(spark, sf, "pages").select(F.concat("url", F.lit("&a=<1>")).alias("url")), folder)
+    return files.read_sitemap(spark, folder)
+
+
+@query(
+    "s5_catalogue",
+    """SELECT c_custkey AS id, c_name AS title, c_nationkey::BIGINT AS city_id, c_acctbal AS latitude,
+              NULL::VARCHAR AS status, 14::INT AS columns FROM customer""",
+)
+def s5(spark, sf):
+    folder = work_folder(spark, "catalogue")
+    rows = table(spark, sf, "customer").select(
+        F.col("c_custkey").alias("id"), F.col("c_name").alias("title"), F.col("c_nationkey").alias("city_id"),
+        F.col("c_acctbal").alias("latitude"),
+    )
+    files.save_table(rows, folder, "booking_listings")
+    read = files.load_catalogue(spark, folder, tables=["booking_listings"])["booking_listings"]
+    width = F.lit(len(read.columns) if "check" not in CATALOGUE["booking_listings"] else 0)
+    return read.select("id", "title", "city_id", "latitude", "status", width.alias("columns"))
+
+
+@query(
+    "s6_load_pages",
+    """SELECT page_id, CASE WHEN length(html) < 2000 THEN 'failed' ELSE 'ok' END AS part FROM pages""",
+)
+def s6(spark, sf):
+    snapshot = table(spark, sf, "pages").withColumn("status", F.when(F.length("html") < 2000, 404).otherwise(200))
+    usable, failed = files.load_pages(snapshot)
+    return usable.select("page_id", F.lit("ok").alias("part")).unionByName(
+        failed.select("page_id", F.lit("failed").alias("part"))
+    )
+
+
+@query(
+    "s7_load_posts",
+    """SELECT o_orderkey AS post_id, o_orderstatus AS post_type, o_orderpriority AS title, 'one' AS way FROM orders
+         WHERE o_orderstatus = 'F'
+       UNION ALL SELECT o_orderkey, o_orderstatus, o_orderpriority, 'all' FROM orders""",
+)
+def s7(spark, sf):
+    folder = work_folder(spark, "posts")
+    files.save_posts(
+        table(spark, sf, "orders").select(
+            F.col("o_orderkey").alias("post_id"), F.col("o_orderstatus").alias("post_type"),
+            F.col("o_orderpriority").alias("title"),
+        ),
+        folder,
+    )
+    posts = spark.read.schema("post_id BIGINT, title STRING, post_type STRING").parquet(folder)
+    one = files.load_posts(posts, "F").withColumn("way", F.lit("one"))
+    return one.unionByName(files.load_posts(posts).withColumn("way", F.lit("all")))
+
+
+@query("s8_image_inventory", "SELECT DISTINCT 'c_nationkey=' || c_nationkey AS folder FROM customer")
+def s8(spark, sf):
+    folder = work_folder(spark, "images")
+    table(spark, sf, "customer").select("c_nationkey", F.col("c_name").alias("value")).write.partitionBy(
+        "c_nationkey"
+    ).text(folder)
+    found = files.image_inventory(spark, folder).filter("length > 0 AND path LIKE '%/part-%'")
+    return found.select(F.substring_index("path", "/", 1).alias("folder")).distinct()
+
+
+def crawl(spark, sf):
+    """customer keys as pages in a tree with eight links each, links back to the root and bad links."""
+    key = F.col("c_custkey")
+    customer = table(spark, sf, "customer").select("c_custkey", "c_nationkey")
+    address = lambda k: F.concat(F.lit("http://h.ro/p"), k.cast("string"), F.lit(".html"))
+    parent = F.floor((key - 1) / 8)
+    down = customer.filter("c_custkey > 0").select(
+        address(parent).alias("src"),
+        F.when(key % 2 == 0, address(key)).otherwise(F.concat(F.lit("../p"), key.cast("string"), F.lit(".html"))).alias("dst"),
+    )
+    back = customer.select(address(key).alias("src"), F.lit("../p0.html").alias("dst"))
+    bad = customer.select(address(key).alias("src"), F.explode(F.array(F.lit("/p1.html"), F.lit("../p.pdf"), F.lit("http://a.ro/x.html"))).alias("dst"))
+    failed = customer.filter("c_nationkey = 24").select(address(key).alias("url"))
+    seeds = customer.filter("c_custkey = 0").select(address(key).alias("url"))
+    return crawl_frontier(spark, down.unionByName(back).unionByName(bad), seeds, "http://h.ro/", failed)
+
+
+_CRAWL_SQL = """WITH RECURSIVE v AS (
+         SELECT c_custkey, c_nationkey, 0 AS round FROM customer WHERE c_custkey = 0
+         UNION ALL
+         SELECT c.c_custkey, c.c_nationkey, v.round + 1 FROM v JOIN customer c ON (c.c_custkey - 1) // 8 = v.c_custkey
+         WHERE c.c_custkey > 0 AND v.c_nationkey <> 24)"""
+
+
+@query(
+    "g1_crawl_frontier",
+    f"{_CRAWL_SQL} SELECT 'http://h.ro/p' || c_custkey || '.html' AS url, c_nationkey <> 24 AS ok, round FROM v",
+)
+def g1(spark, sf):
+    return crawl(spark, sf).select("url", "ok", "round")
+
+
+@query(
+    "a10_crawl_progress",
+    f"""{_CRAWL_SQL} SELECT round, count(*) AS queued, count(*) FILTER (c_nationkey <> 24) AS visited,
+          count(*) FILTER (c_nationkey = 24) AS failed FROM v GROUP BY round""",
+)
+def a10(spark, sf):
+    return crawl_progress(crawl(spark, sf))
+
+
+def event_stream(spark, sf):
+    schema = table(spark, sf, "events").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+
+
+@query("t1_stream_new_keys", "SELECT DISTINCT user_id, event_type FROM events")
+def t1(spark, sf):
+    folder = work_folder(spark, "stream")
+    fresh = stream_new_keys(event_stream(spark, sf).select("user_id", "event_type"), ["user_id", "event_type"])
+    writer = fresh.writeStream.format("parquet").option("path", f"{folder}/out")
+    writer.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("user_id BIGINT, event_type STRING").parquet(f"{folder}/out")
+
+
+@query("t1_write_new_keys", "SELECT DISTINCT user_id FROM events")
+def t1_table(spark, sf):
+    folder = work_folder(spark, "stream")
+    write_new_keys(event_stream(spark, sf), ["user_id"], f"{folder}/out", f"{folder}/state").awaitTermination()
+    return read_new_keys(spark, f"{folder}/out", "user_id BIGINT").select("user_id")
