@@ -164,7 +164,7 @@ def listing_pages(spark, sf):
         F.col("c_custkey").alias("page_id"),
         render.html("https://www.lodging.example/hotel/", F.col("c_custkey"), ".ro.html").alias("url"),
         render.listing_page(
-            render.html("44.", F.lit(10000) + F.col("c_custkey")), render.html("25.", F.lit(100) + F.col("c_nationkey")),
+            render.html(F.lit(20) + F.col("c_custkey") % 60, ".", F.lit(10000) + F.col("c_custkey")), render.html("25.", F.lit(100) + F.col("c_nationkey")),
             F.col("c_name"), F.col("n_name"), F.concat(F.lit("Str. "), F.col("c_mktsegment")),
             render.html(F.lit(100) + F.col("c_nationkey"), ",50"), F.col("c_custkey"),
         ).alias("html"),
@@ -194,7 +194,7 @@ def h9(spark, sf):
 
 @query(
     "h10_listing_record",
-    """SELECT c_custkey AS page_id, '44.' || (10000 + c_custkey) AS latitude, '25.' || (100 + c_nationkey) AS longitude,
+    """SELECT c_custkey AS page_id, (20 + c_custkey % 60) || '.' || (10000 + c_custkey) AS latitude, '25.' || (100 + c_nationkey) AS longitude,
               NULL::VARCHAR AS status, 'Str. ' || c_mktsegment || ', ' || n_name AS address,
               'Long ' || c_name || 'by the lake' AS long_description, 'Short ' || c_name AS short_description,
               '{"Natural":["Lake ' || n_name || '","Hill"]}' AS surroundings,
