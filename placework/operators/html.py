@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 import sys
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -27,7 +28,6 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # HTML element classes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style".split())
 BLOCK = frozenset(
     "address article aside blockquote center div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main "
     "nav ol p pre section table ul".split()
@@ -44,6 +44,7 @@ CLOSES = {
     "option": ({"option"}, {"select"}),
 }
 P_SCOPE = frozenset("table td th li html body".split())
+P_ONLY = frozenset(["p"])
 
 NODE_TYPE = T.StructType(
     [
@@ -58,121 +59,131 @@ NODE_TYPE = T.StructType(
     ]
 )
 
-_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>")
-_LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
+# One token: comment, declaration, script or style with its content, tag. The last group takes a tag whose
+# quotes do not close.
+_QUOTED = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*+"
+_HEAD = r"<!--.*?(?:-->|\Z)|<[!?][^>]*>"
+_NAME = r"<(/?)([a-z][^\s/>]*)"
+_TOKEN = re.compile(
+    rf"{_HEAD}|<(script|style)(?=[\s>])({_QUOTED})>(.*?)(?:</\1\s*>|\Z)|{_NAME}(?:({_QUOTED})>|([^>]*)>)", re.S | re.I
+)
+# Used for the rest of a page after a tag with unclosed quotes, so that no page is scanned over and over.
+_LOOSE_TOKEN = re.compile(
+    rf"{_HEAD}|<(script|style)(?=[\s>])([^>]*)>(.*?)(?:</\1\s*>|\Z)|{_NAME}()([^>]*)>", re.S | re.I
+)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
 
-def _tokens(html: str) -> Iterator[tuple]:
-    """('text', text) | ('raw', text) | ('start', tag, attributes) | ('end', tag)"""
-    pos, size, pattern = 0, len(html), _TAG
-    text_from = 0
-    while True:
-        at = html.find("<", pos)
-        if at < 0:
-            break
-        if html.startswith("<!--", at):
-            stop = html.find("-->", at + 4)
-            after, token = (size if stop < 0 else stop + 3), None
-        elif html.startswith(("<!", "<?"), at):
-            stop = html.find(">", at)
-            after, token = (size if stop < 0 else stop + 1), None
-        else:
-            match = pattern.match(html, at)
-            if match is None and pattern is _TAG and html[at + 1 : at + 2].strip("/").isalpha():
-                # An unclosed quote: ignore quotes from here on, so that no page is scanned twice over.
-                pattern = _LOOSE_TAG
-                match = pattern.match(html, at)
-            if match is None:
-                pos = at + 1
-                continue
-            after = match.end()
-            name = match.group(2).lower()
-            token = ("end", name) if match.group(1) else ("start", name, match.group(3))
-        if at > text_from:
-            yield ("text", unescape(html[text_from:at]))
-        if token:
-            yield token
-            if token[0] == "start" and token[1] in RAW and not token[2].endswith("/"):
-                close = re.compile(rf"</{token[1]}\s*>", re.I).search(html, after)
-                stop = close.start() if close else size
-                yield ("raw", html[after:stop])
-                after = stop
-        pos = text_from = after
-    if size > text_from:
-        yield ("text", unescape(html[text_from:]))
-
-
-def _attributes(source: str) -> list[tuple[str, str]]:
-    found: dict[str, str] = {}
-    for match in _ATTRIBUTE.finditer(source):
-        value = next((v for v in match.groups()[1:] if v is not None), "")
-        found.setdefault(match.group(1).lower(), unescape(value))
-    return list(found.items())
-
-
 class _Nodes:
     """Node columns of a batch of pages."""
 
     def __init__(self) -> None:
         self.offsets = [0]
-        self.columns: dict[str, list] = {f.name: [] for f in NODE_TYPE.fields}
+        self.parent, self.end, self.depth, self.inline = [], [], [], []
+        self.tag, self.text = [], []
+        self.attr_offsets, self.attr_names, self.attr_values = [0], [], []
+        self.open: list[tuple[str, int]] = []
+        self.open_count: Counter[str] = Counter()
+
+    def _add(self, tag: str, text: str | None = None, source: str | None = None) -> int:
+        """Append a node and return its index in the batch."""
+        at, base, opened = len(self.tag), self.offsets[-1], self.open
+        parent = opened[-1][1] if opened else None
+        inline = None if parent is None else self.inline[parent]
+        if inline is None and tag in INLINE_MARKS:
+            inline = at - base + 1
+        self.parent.append(None if parent is None else parent - base + 1)
+        self.end.append(at - base + 1)
+        self.depth.append(len(opened))
+        self.inline.append(inline)
+        self.tag.append(tag)
+        self.text.append(text)
+        if source:
+            first = len(self.attr_names)
+            for name, double, single, bare in _ATTRIBUTE.findall(source):
+                name = name.lower()
+                if name not in self.attr_names[first:]:
+                    value = double or single or bare
+                    self.attr_names.append(name)
+                    self.attr_values.append(unescape(value) if "&" in value else value)
+        self.attr_offsets.append(len(self.attr_names))
+        return at
+
+    def _close_from(self, depth: int) -> None:
+        last = len(self.tag) - self.offsets[-1]
+        for tag, at in self.open[depth:]:
+            self.end[at] = last
+            self.open_count[tag] -= 1
+        del self.open[depth:]
+
+    def _close_nearest(self, kinds, stops) -> None:
+        if not any(self.open_count[kind] for kind in kinds):
+            return
+        for depth in range(len(self.open) - 1, -1, -1):
+            tag = self.open[depth][0]
+            if tag in kinds:
+                self._close_from(depth)
+                return
+            if tag in stops:
+                return
+
+    def _start(self, tag: str, source: str | None) -> None:
+        if tag in BLOCK:
+            self._close_nearest(P_ONLY, P_SCOPE)
+        if tag in CLOSES:
+            self._close_nearest(*CLOSES[tag])
+        at = self._add(tag, None, source)
+        if tag not in VOID:
+            self.open.append((tag, at))
+            self.open_count[tag] += 1
 
     def add_page(self, html: str | None) -> None:
-        col, base = self.columns, self.offsets[-1]
-        open_tags: list[tuple[str, int]] = []
-
-        def add(tag: str, attrs, text) -> int:
-            node = len(col["tag"]) - base + 1
-            parent = open_tags[-1][1] if open_tags else None
-            inline = col["inline_id"][base + parent - 1] if parent else None
-            if inline is None and tag in INLINE_MARKS:
-                inline = node
-            for name, value in zip(
-                col, (node, parent, node, len(open_tags), inline, tag, attrs, text)
-            ):
-                col[name].append(value)
-            return node
-
-        def close_from(depth: int) -> None:
-            last = len(col["tag"]) - base
-            for _, node in open_tags[depth:]:
-                col["end_id"][base + node - 1] = last
-            del open_tags[depth:]
-
-        def close_nearest(kinds, stops) -> None:
-            for depth in range(len(open_tags) - 1, -1, -1):
-                if open_tags[depth][0] in kinds:
-                    close_from(depth)
-                    return
-                if open_tags[depth][0] in stops:
-                    return
-
-        for token in _tokens(html or ""):
-            kind, name = token[0], token[1]
-            if kind == "text":
-                add("#text", None, name)
-            elif kind == "raw":
-                if name:
-                    add("#raw", None, name)
-            elif kind == "end":
-                close_nearest({name}, ())
-            else:
-                if name in BLOCK:
-                    close_nearest({"p"}, P_SCOPE)
-                if name in CLOSES:
-                    close_nearest(*CLOSES[name])
-                node = add(name, _attributes(token[2]), None)
-                if name not in VOID and not (token[2].endswith("/") and name in RAW):
-                    open_tags.append((name, node))
-        close_from(0)
-        self.offsets.append(len(col["tag"]))
+        html = html or ""
+        pos, pattern = 0, _TOKEN
+        # Nothing after the last `>` can be a tag.
+        stop = html.rfind(">") + 1
+        while match := pattern.search(html, pos, stop):
+            if match.start() > pos:
+                self._add_text(html[pos : match.start()])
+            pos = match.end()
+            raw, raw_source, content, slash, name, source, loose = match.groups()
+            if raw:
+                self._start(raw.lower(), raw_source)
+                if match.end(3) == pos:
+                    # Not closed: the rest of the page is its content.
+                    content, pos = html[match.start(3) :], len(html)
+                if content:
+                    self._add("#raw", content)
+                self._close_from(len(self.open) - 1)
+            elif name:
+                if slash:
+                    self._close_nearest((name.lower(),), ())
+                else:
+                    self._start(name.lower(), loose if source is None else source or loose)
+                if source is None:
+                    pattern = _LOOSE_TOKEN
+            elif match.group().startswith("<!--") and not match.group().endswith("-->"):
+                pos = len(html)
+        if pos < len(html):
+            self._add_text(html[pos:])
+        self._close_from(0)
+        self.offsets.append(len(self.tag))
+
+    def _add_text(self, text: str) -> None:
+        self._add("#text", unescape(text) if "&" in text else text)
 
     def array(self) -> pa.Array:
-        kinds = {"attrs": pa.map_(pa.string(), pa.string()), "tag": pa.string(), "text": pa.string()}
-        arrays = [pa.array(v, kinds.get(n, pa.int32())) for n, v in self.columns.items()]
-        nodes = pa.StructArray.from_arrays(arrays, names=list(self.columns))
-        return pa.ListArray.from_arrays(pa.array(self.offsets, pa.int32()), nodes)
+        counts = pa.array(self.offsets, pa.int32())
+        numbers = [n - base + 1 for base, top in zip(self.offsets, self.offsets[1:]) for n in range(base, top)]
+        attrs = pa.MapArray.from_arrays(
+            pa.array(self.attr_offsets, pa.int32()),
+            pa.array(self.attr_names, pa.string()),
+            pa.array(self.attr_values, pa.string()),
+        )
+        integers = [pa.array(c, pa.int32()) for c in (numbers, self.parent, self.end, self.depth, self.inline)]
+        strings = [pa.array(self.tag, pa.string()), attrs, pa.array(self.text, pa.string())]
+        nodes = pa.StructArray.from_arrays([*integers, *strings], names=NODE_TYPE.names)
+        return pa.ListArray.from_arrays(counts, nodes)
 
 
 # An output batch is closed when it holds this many nodes, whatever the size of the input batch.

@@ -171,24 +171,27 @@ def page_table(
     rows = F.filter(
         F.transform(find_all(table, "tr"), lambda r: find_all(below(nodes, r), "td")), lambda c: F.size(c) > 0
     )
-    listed = trees.select(*_key(trees), NODES, heads.alias("__heads"), F.posexplode(rows).alias("row_no", "__cells"))
 
-    def value(cell):
-        link = first(find_all(below(nodes, cell), "a"))
+    def value(c):
+        link = first(find_all(below(nodes, c), "a"))
         if value_of is None:
-            return F.coalesce(attr(link, "href"), attr(cell, "title"))
-        return F.coalesce(attr(cell, value_of), attr(link, value_of))
+            return F.coalesce(attr(link, "href"), attr(c, "title"))
+        return F.coalesce(attr(c, value_of), attr(link, value_of))
+
+    def row_cells(cells):
+        kept = F.slice(cells, skip_cells + 1, F.greatest(F.size(cells) - skip_cells, F.lit(0)))
+        return F.transform(
+            kept,
+            lambda c, i: F.struct(
+                F.get(F.col("__heads"), i).alias("key"), _cell_text(nodes, c).alias("text"), value(c).alias("value")
+            ),
+        )
 
-    kept = F.slice("__cells", skip_cells + 1, F.greatest(F.size("__cells") - skip_cells, F.lit(0)))
-    cells = F.transform(
-        kept,
-        lambda c, i: F.struct(
-            F.get(F.col("__heads"), i).alias("key"),
-            _cell_text(nodes, c).alias("text"),
-            value(c).alias("value"),
-        ),
+    # The cells are read before the rows are exploded, so that the tree is not copied to every row.
+    headed = trees.withColumn("__heads", heads)
+    return headed.select(
+        *_key(trees), F.posexplode(F.transform(rows, row_cells)).alias("row_no", "cells")
     )
-    return listed.select(*_key(trees), "row_no", cells.alias("cells"))
 
 
 def cell(cells: Column, key: str) -> Column:
@@ -257,9 +260,9 @@ def page_json_ld(trees: DataFrame, schema: str = LISTING_LD) -> DataFrame:
     return trees.select(*_key(trees), json_ld(F.col(NODES), schema).alias("ld"))
 
 
-def _sections(nodes: Column, sections: Column, heading: str, clean) -> Column:
-    """map heading text -> item texts as JSON; a section without heading is left out, the last of equals wins."""
-    entries = F.filter(
+def _section_entries(nodes: Column, sections: Column, heading: str, clean) -> Column:
+    """Heading and item texts of each section that has a heading."""
+    return F.filter(
         F.transform(
             sections,
             lambda s: F.struct(
@@ -269,15 +272,12 @@ def _sections(nodes: Column, sections: Column, heading: str, clean) -> Column:
         ),
         lambda e: e["k"].isNotNull(),
     )
-    return F.to_json(_last_entries(entries))
 
 
-def _last_entries(entries: Column) -> Column:
-    """Map from key/value structs; of equal keys the last value is kept at the first key's place."""
+def _last_entries(entries: str) -> Column:
+    """Map from the key/value structs of a column; of equal keys the last value, at the first one's place."""
     keys = F.array_distinct(F.transform(entries, lambda e: e["k"]))
-    values = F.transform(
-        keys, lambda k: F.element_at(F.filter(entries, lambda e: e["k"] == k), -1)["v"]
-    )
+    values = F.transform(keys, lambda k: F.element_at(F.filter(entries, lambda e: e["k"] == k), -1)["v"])
     return F.map_from_arrays(keys, values)
 
 
@@ -317,7 +317,7 @@ def listing_record(trees: DataFrame) -> DataFrame:
     )
     summary = first(find_all(nodes, "div", where=lambda n: attr(n, "id") == SUMMARY_ID))
     address = first(find_all(nodes, "span", where=lambda n: has_class(n, ADDRESS_CLASS)))
-    return trees.select(
+    record = trees.select(
         *_key(trees),
         F.get(numbers, 0).alias("latitude"),
         F.get(numbers, 1).alias("longitude"),
@@ -325,18 +325,26 @@ def listing_record(trees: DataFrame) -> DataFrame:
         F.btrim(text_of(nodes, address)).alias("address"),
         _one_line(text_of(nodes, summary)).alias("long_description"),
         metadata(nodes, "description").alias("short_description"),
-        _sections(
+        _section_entries(
             nodes,
             find_all(nodes, "div", where=lambda n: class_contains(n, SURROUNDINGS_HOOK)),
             "h3",
             squash_spaces,
         ).alias("surroundings"),
-        _sections(
+        _section_entries(
             nodes, find_all(nodes, "div", where=lambda n: has_class(n, FACILITIES_CLASS)), "h5", _one_line
         ).alias("facilities"),
         F.to_json(F.create_map(capacity_key, beds)).alias("capacity"),
-        F.when(F.size(hidden) > 0, hidden).otherwise(thumbs).alias("images"),
+        hidden.alias("__hidden"),
+        thumbs.alias("__thumbs"),
     )
+    return record.withColumns(
+        {
+            "surroundings": F.to_json(_last_entries("surroundings")),
+            "facilities": F.to_json(_last_entries("facilities")),
+            "images": F.when(F.size("__hidden") > 0, F.col("__hidden")).otherwise(F.col("__thumbs")),
+        }
+    ).drop("__hidden", "__thumbs")
 
 
 def wiki_table(trees: DataFrame) -> DataFrame:
@@ -385,12 +393,18 @@ def wiki_table(trees: DataFrame) -> DataFrame:
         ),
         lambda e: e["title"] != "",
     )
-    titles = F.array_distinct(F.transform(named, lambda e: e["title"]))
+    read = trees.select(
+        *_key(trees),
+        data.alias("is_data"),
+        F.when(data, full).alias("__full"),
+        F.when(~data, named).alias("__named"),
+    )
+    titles = F.array_distinct(F.transform("__named", lambda e: e["title"]))
     last_named = F.transform(
-        titles, lambda t: F.element_at(F.filter(named, lambda e: e["title"] == t), -1)
+        titles, lambda t: F.element_at(F.filter("__named", lambda e: e["title"] == t), -1)
     )
-    return trees.select(
-        *_key(trees), data.alias("is_data"), F.inline(F.when(data, full).otherwise(last_named))
+    return read.select(
+        *_key(trees), "is_data", F.inline(F.when(F.col("is_data"), F.col("__full")).otherwise(last_named))
     )
 
 
@@ -413,40 +427,34 @@ def wiki_page(trees: DataFrame) -> DataFrame:
     )
 
 
-def _result_blocks(trees: DataFrame) -> DataFrame:
-    nodes = F.col(NODES)
-    blocks = find_all(nodes, "div", where=lambda n: has_class(n, RESULT_CLASS))
-    return trees.select(*_key(trees), NODES, F.posexplode(blocks).alias("pos", "__block"))
+def _result_blocks(trees: DataFrame, fields) -> DataFrame:
+    """One row per result block with the fields that `fields(block)` gives."""
+    blocks = find_all(F.col(NODES), "div", where=lambda n: has_class(n, RESULT_CLASS))
+    found = F.transform(blocks, lambda b, i: F.struct(i.alias("pos"), *fields(b)))
+    return trees.select(*_key(trees), F.inline(found))
+
+
+def _block_link(block: Column) -> Column:
+    return attr(first(find_all(below(F.col(NODES), block), "a")), "href").alias("href")
 
 
 def result_items(trees: DataFrame) -> DataFrame:
     """href of the first link and trimmed text per result block."""
-    nodes, block = F.col(NODES), F.col("__block")
-    return _result_blocks(trees).select(
-        *_key(trees),
-        "pos",
-        attr(first(find_all(below(nodes, block), "a")), "href").alias("href"),
-        F.btrim(text_of(nodes, block), F.lit(" \t\r\n")).alias("text"),
+    nodes = F.col(NODES)
+    return _result_blocks(
+        trees, lambda b: [_block_link(b), F.btrim(text_of(nodes, b), F.lit(" \t\r\n")).alias("text")]
     )
 
 
 def result_prices(trees: DataFrame) -> DataFrame:
     """href and the first price per result block; blocks without a price are dropped."""
-    nodes, block = F.col(NODES), F.col("__block")
-    found = F.filter(
-        F.transform(find_all(below(nodes, block), "#text"), lambda n: price_mention(n["text"])),
-        lambda p: p.isNotNull(),
-    )
-    return (
-        _result_blocks(trees)
-        .select(
-            *_key(trees),
-            "pos",
-            attr(first(find_all(below(nodes, block), "a")), "href").alias("href"),
-            first(found).alias("price"),
-        )
-        .filter("price IS NOT NULL")
-    )
+    nodes = F.col(NODES)
+
+    def price(block):
+        said = F.transform(find_all(below(nodes, block), "#text"), lambda n: price_mention(n["text"]))
+        return first(F.filter(said, lambda p: p.isNotNull())).alias("price")
+
+    return _result_blocks(trees, lambda b: [_block_link(b), price(b)]).filter("price IS NOT NULL")
 
 
 def page_content(trees: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from ..operators.pages import attr, cell, detail_fields, find_all, first, has_cl
 from ..operators.paging import page_urls
 from ..operators.select import needs_enrichment
 from ..operators.windows import first_per_key
+from ..session import written
 from ..sources.files import load_pages
 
 MAP_LINK_CLASS = "fancybox-google"
@@ -64,7 +65,8 @@ def _add_rows(
         F.lit("new").alias("stage"),
     )
     # Ids follow the hash of the address, which spreads evenly over the slices of the numbering.
-    return assign_ids(added.withColumn("__at", F.xxhash64("url")), existing, ["__at", "url"]).drop("__at")
+    added = written(added.withColumn("__at", F.xxhash64("url")), "added")
+    return assign_ids(added, existing, ["__at", "url"]).drop("__at")
 
 
 def ingest_catalogue(pages: DataFrame, city: DataFrame, county: DataFrame, existing: DataFrame) -> DataFrame:
@@ -127,7 +129,7 @@ def enrich_details(rows: DataFrame, pages: DataFrame, city: DataFrame, county: D
     ).withColumnRenamed("city_id", "new_city")
     latitude, longitude = F.col("point.latitude"), F.col("point.longitude")
     can_key = latitude.isNotNull() & longitude.isNotNull()
-    done = located.filter(~F.col("needs_key") | can_key)
+    done = written(located.filter(~F.col("needs_key") | can_key), "enriched")
     rekeyed = F.col("needs_key")
     changes = done.select(
         "id",

@@ -14,6 +14,7 @@ from ..operators.joins import match_nearby, resolve_city, skip_known, with_dimen
 from ..operators.pages import json_ld, listing_record, result_prices
 from ..operators.sets import platform_rows
 from ..operators.windows import first_per_key
+from ..session import written
 
 FACILITY_TYPES = {"facilities": "facilities", "capacity": "capacity", "vecinity": "surroundings"}
 CONTENT_TYPES = ("short_description", "long_description")
@@ -47,7 +48,7 @@ def import_listings(
     formatted_phone_number), one row per place; results(hotel_id, html) search result pages. Only pages of
     listings that are not stored yet are parsed. `failed` lists new rows without a usable page.
     """
-    fresh = skip_known(csv_rows(csv), existing, "hotel_id")
+    fresh = written(skip_known(csv_rows(csv), existing, "hotel_id"), "new-listings")
     wanted = pages.join(fresh.select("url").distinct(), "url", "left_semi").select("url", "html")
     trees = html_trees(wanted).withColumn("ld", json_ld(F.col("nodes")))
     record = first_per_key(listing_record(trees), ["url"], ["latitude", "longitude"])
@@ -73,7 +74,9 @@ def import_listings(
         "capacity",
         *CONTENT_TYPES,
     )
-    failed = fresh.join(usable.select("url"), "url", "left_anti").select("hotel_id", "url")
+    # Every result below is derived from this table; the pages are parsed once.
+    listings = written(listings, "listings")
+    failed = fresh.join(listings.select("url").distinct(), "url", "left_anti").select("hotel_id", "url")
 
     named = listings.select(F.col("hotel_id").alias("id"), F.col("title").alias("name"), "latitude", "longitude")
     near = (
@@ -81,6 +84,7 @@ def import_listings(
         .select(F.col("left_id").alias("hotel_id"), "right_id", "place_id")
         .join(details.withColumnRenamed("url", "place_url"), "place_id")
     )
+    near = written(near, "near")
     # Of several near places the last one gives the place id and the phone.
     last = near.groupBy("hotel_id").agg(
         F.max_by("place_id", "right_id").alias("place_id"),
@@ -111,7 +115,7 @@ def import_listings(
     ).select("geo_hash_id", "c.type", "src_url", "c.content")
 
     stored = listings.drop("url", "avg_price", "surroundings", "facilities", "capacity", *CONTENT_TYPES)
-    added = assign_ids(stored.join(last, "hotel_id", "left"), existing, "hotel_id")
+    added = assign_ids(stored, existing, "hotel_id").join(last, "hotel_id", "left")
     return {
         "listings": existing.unionByName(added, allowMissingColumns=True),
         "platforms": platforms.filter("platform <> ''"),

@@ -11,6 +11,7 @@ from ..operators.html import html_trees
 from ..operators.joins import join_photos, photo_folders, with_dimensions
 from ..operators.pages import attr, find_all
 from ..operators.select import select_rows
+from ..session import written
 from .points import WORSHIP
 
 IMAGES_PER_PLACE = 10
@@ -56,6 +57,7 @@ def photo_audit(
     judged = audited.withColumn("verdict", status).withColumn(
         "new_photos", F.when(F.col("verdict").isNull(), target)
     )
+    judged = written(judged, "judged")
     result = judged.select("id", "verdict", "new_photos", "photo_folder", "moved", "file_count", "rejected")
     changed = judged.select(
         "id",

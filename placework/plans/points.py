@@ -18,6 +18,7 @@ from ..operators.joins import (
     with_dimensions,
 )
 from ..operators.windows import first_per_key
+from ..session import written
 from ..sources.files import load_posts
 
 WORSHIP = "place_of_worship"
@@ -109,7 +110,7 @@ def reconcile_points(
     fixed = rows.filter("stage = 'fixed' AND county_id IS NOT NULL").withColumn(
         "new_key", place_key(F.col("longitude"), F.col("latitude"), F.col("url"))
     )
-    matched = match_points(fixed, points, platforms, url_prefix)
+    matched = written(match_points(fixed, points, platforms, url_prefix), "matched")
     # One row per place and URL: copies of a row are not paired with the points one by one.
     hits = (
         matched.filter("matches > 0")
@@ -213,7 +214,7 @@ def post_changes(
             "longitude": F.col("longitude").try_cast("double"),
         }
     )
-    matched = match_with_fallback(wide, points)
+    matched = written(match_with_fallback(wide, points), "matched-posts")
 
     def as_map(columns: dict):
         pairs = [x for name, c in columns.items() for x in (F.lit(name), c)]
@@ -249,7 +250,7 @@ def post_changes(
                 F.col("point_value").alias("present"), F.col("post_value").alias("new"),
             )
         )
-    located = join_first_term(wide.select("post_id", "city"), terms, F.col("city.ids"))
+    located = join_first_term(matched.select("post_id", "city"), terms, F.col("city.ids"))
     return {
         "changes": sides[0] if len(sides) == 1 else sides[0].unionByName(sides[1]),
         "missing": matched.filter("match_kind = 'missing'").select("post_id", "title"),

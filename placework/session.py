@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings the joins and windows here count on; each is a runtime setting of the session.
 SETTINGS = {
@@ -53,3 +53,14 @@ def work_folder(spark: SparkSession, purpose: str) -> str:
         root = tempfile.mkdtemp(prefix="placework-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, purpose: str) -> DataFrame:
+    """The same rows as a table in the shared work folder.
+
+    Used where several results are derived from one costly input: it is computed once, a lost executor does
+    not bring it back, and what follows is planned with its measured size.
+    """
+    folder = work_folder(df.sparkSession, purpose)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
