@@ -11,8 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geo import distance_m, grid_point, old_place_path, place_path
-from ..functions.text import normal_name, similarity, similarity_bound
+from ..functions.geo import grid_point, old_place_path, place_path
+from ..functions.text import normal_name
+from .nearby import match_nearby, nearby_pairs  # noqa: F401
 from .windows import HOT_ROWS, collect_in_chunks
 
 NO_VALUE = -(2**62)
@@ -228,78 +229,6 @@ def match_with_fallback(posts: DataFrame, points: DataFrame) -> DataFrame:
     )
 
 
-def nearby_pairs(
-    left: DataFrame, right: DataFrame, metres: float = 10.0, min_ratio: float = 0.8
-) -> DataFrame:
-    """Pairs within `metres` whose name lengths allow a ratio above `min_ratio`.
-
-    Both sides need id, name, latitude, longitude. Equal (name, place) copies are paired once, as
-    `name`/`latitude`/`longitude` values; ids come back by equality joins in `match_nearby`. A cell is as high as
-    the radius and as wide as the radius at its own latitude band, so a partner is in the same or a
-    neighbouring cell of each of the three nearest bands.
-    """
-    metres_per_degree = 111_000.0
-    cell = metres / metres_per_degree
-    value = ["name", "latitude", "longitude"]
-    a = left.select(*value).filter("name IS NOT NULL").distinct()
-    b = right.select(*value).filter("name IS NOT NULL").distinct()
-
-    def width(band: Column) -> Column:
-        # Widest need inside the band and its neighbours; bounded below so that the poles are one cell.
-        edge = F.least(F.lit(90.0), (F.abs(band) + 2) * cell)
-        return cell / F.greatest(F.cos(F.radians(edge)), F.lit(1e-6))
-
-    def with_cells(df: DataFrame, reach: int) -> DataFrame:
-        steps = F.sequence(F.lit(-reach), F.lit(reach)) if reach else F.array(F.lit(0))
-        band = F.floor(F.col("latitude") / cell)
-        banded = df.withColumn("__band", F.explode(F.transform(steps, lambda s: band + s)))
-        wide = width(F.col("__band"))
-        # Columns wrap at the date line; the last one takes the remainder, so none is too narrow.
-        columns = F.greatest(F.floor(360.0 / wide), F.lit(1))
-        column = F.least(F.floor((F.col("longitude") + 180.0) / wide), columns - 1)
-        around = F.array_distinct(F.transform(steps, lambda s: F.pmod(column + s, columns)))
-        return banded.withColumn("__col", F.explode(around))
-
-    near = with_cells(a, 0).alias("a").join(
-        with_cells(b, 1).alias("b"),
-        [F.col("a.__band") == F.col("b.__band"), F.col("a.__col") == F.col("b.__col")],
-    )
-    metres_apart = distance_m(
-        F.col("a.latitude"), F.col("a.longitude"), F.col("b.latitude"), F.col("b.longitude")
-    )
-    return (
-        near.filter(similarity_bound(F.col("a.name"), F.col("b.name")) > min_ratio)
-        .filter(metres_apart <= metres)
-        .select(
-            *[F.col(f"a.{c}").alias(f"left_{c}") for c in value],
-            *[F.col(f"b.{c}").alias(f"right_{c}") for c in value],
-            metres_apart.alias("metres"),
-        )
-    )
-
-
-def match_nearby(
-    left: DataFrame, right: DataFrame, metres: float = 10.0, min_ratio: float = 0.8
-) -> DataFrame:
-    """Left rows with every near and similarly named right row: left id, right columns, ratio.
-
-    Equal names need no ratio; only the others reach the Python kernel, and each pair of values once.
-    """
-    pairs = nearby_pairs(left, right, metres, min_ratio)
-    same = pairs.filter("left_name = right_name").withColumn("ratio", F.lit(1.0))
-    other = pairs.filter("left_name <> right_name").withColumn(
-        "ratio", similarity(F.col("right_name"), F.col("left_name"))
-    )
-    good = same.unionByName(other.filter(F.col("ratio") > min_ratio))
-    value = ["name", "latitude", "longitude"]
-    left_ids = left.select(F.col("id").alias("left_id"), *[F.col(c).alias(f"left_{c}") for c in value])
-    right_rows = right.select(
-        *[F.col(c).alias(f"right_{c}") for c in value], *[c for c in right.columns if c not in (*value, "id")],
-        F.col("id").alias("right_id"),
-    )
-    return left_ids.join(good, [f"left_{c}" for c in value]).join(right_rows, [f"right_{c}" for c in value])
-
-
 def find_term(df: DataFrame, terms: DataFrame, name: Column, taxonomy: str | None = None) -> DataFrame:
     """`term_id` and `term_taxonomy` of the first term with exactly this name."""
     if taxonomy is not None:

@@ -293,7 +293,6 @@ def listing_record(trees: DataFrame) -> DataFrame:
     """
     nodes = F.col(NODES)
     map_link = first(find_all(nodes, "a", where=lambda n: class_contains(n, MAP_HOOK)))
-    numbers = decimals_in(attr(map_link, "style"))
     capacity_key = F.coalesce(
         F.btrim(text_of(nodes, first(find_all(nodes, "span", where=lambda n: has_class(n, OCCUPANCY_CLASS))))),
         F.lit("unknown"),
@@ -319,9 +318,7 @@ def listing_record(trees: DataFrame) -> DataFrame:
     address = first(find_all(nodes, "span", where=lambda n: has_class(n, ADDRESS_CLASS)))
     record = trees.select(
         *_key(trees),
-        F.get(numbers, 0).alias("latitude"),
-        F.get(numbers, 1).alias("longitude"),
-        F.when(F.get(numbers, 1).isNull(), F.lit("error")).alias("status"),
+        decimals_in(attr(map_link, "style")).alias("__numbers"),
         F.btrim(text_of(nodes, address)).alias("address"),
         _one_line(text_of(nodes, summary)).alias("long_description"),
         metadata(nodes, "description").alias("short_description"),
@@ -338,7 +335,14 @@ def listing_record(trees: DataFrame) -> DataFrame:
         hidden.alias("__hidden"),
         thumbs.alias("__thumbs"),
     )
-    return record.withColumns(
+    kept = [c for c in record.columns if c not in (*_key(trees), "__numbers")]
+    return record.select(
+        *_key(trees),
+        F.get("__numbers", 0).alias("latitude"),
+        F.get("__numbers", 1).alias("longitude"),
+        F.when(F.get("__numbers", 1).isNull(), F.lit("error")).alias("status"),
+        *kept,
+    ).withColumns(
         {
             "surroundings": F.to_json(_last_entries("surroundings")),
             "facilities": F.to_json(_last_entries("facilities")),
@@ -413,18 +417,19 @@ def wiki_page(trees: DataFrame) -> DataFrame:
     nodes = F.col(NODES)
     content = below(nodes, first(find_all(nodes, "div", where=lambda n: has_class(n, "mw-content-ltr"))))
 
-    def degrees(name):
-        return dms_to_degrees(
-            text_of(nodes, first(find_all(content, "span", where=lambda n: has_class(n, name))))
-        )
+    def said(name):
+        return text_of(nodes, first(find_all(content, "span", where=lambda n: has_class(n, name))))
 
-    both = degrees("latitude").isNotNull() & degrees("longitude").isNotNull()
-    return trees.select(
+    # In three steps, so that each text and each number is computed once.
+    read = trees.select(
         *_key(trees),
         F.array_join(F.transform(find_all(content, "p"), lambda p: text_of(nodes, p)), "").alias("description"),
-        F.when(both, degrees("latitude")).alias("latitude"),
-        F.when(both, degrees("longitude")).alias("longitude"),
+        said("latitude").alias("latitude"),
+        said("longitude").alias("longitude"),
     )
+    read = read.withColumns({c: dms_to_degrees(F.col(c)) for c in ("latitude", "longitude")})
+    both = F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
+    return read.withColumns({c: F.when(both, F.col(c)) for c in ("latitude", "longitude")})
 
 
 def _result_blocks(trees: DataFrame, fields) -> DataFrame:

@@ -9,11 +9,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..session import written
 
 # A group is hot when it holds more than 1/HOT_SHARE of all rows, so there are fewer than
 # HOT_SHARE hot groups, and all of them together are cut into fewer than 2 * HOT_SHARE slices.
 HOT_SHARE = 10_000
 HOT_ROWS = 1_000_000
+NUMBERS = (T.NumericType, T.TimestampType, T.TimestampNTZType, T.DateType)
 
 
 def _orders(order) -> list:
@@ -41,21 +45,38 @@ def _as_number(column: str, df: DataFrame) -> Column:
     return F.col(column).cast("double")
 
 
-def hot_groups(df: DataFrame, key: list[str], order: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Groups that are cut: key, lowest and highest order value, number of slices.
+def _position(df: DataFrame, orders: list) -> tuple[Column, Column, float]:
+    """The two numbers a group is cut by, and the step of the first.
+
+    They are the leading order column and, when that one holds whole numbers, the next one, which tells apart
+    the rows that share the leading value.
+    """
+    lead, rest = orders[0], orders[1:]
+    whole = df.schema[lead].dataType.typeName() in ("byte", "short", "integer", "long")
+    second = rest[0] if whole and rest and isinstance(rest[0], str) else None
+    if second is not None and not isinstance(df.schema[second].dataType, NUMBERS):
+        second = None
+    return _as_number(lead, df), F.lit(0.0) if second is None else _as_number(second, df), float(whole)
+
+
+def hot_groups(df: DataFrame, key: list[str], order, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Groups that are cut: key, lowest and highest order values, number of slices.
 
     Fewer than HOT_SHARE rows whatever the input, because each stands for more than that share of it.
     """
-    value = _as_number(order, df)
+    value, second, _ = _position(df, _orders(order))
     sizes = df.groupBy(*key).agg(
-        F.count("*").alias("__rows"), F.min(value).alias("__lo"), F.max(value).alias("__hi")
+        F.count("*").alias("__rows"),
+        *[f(v).alias(n) for v, n in ((value, "1"), (second, "2")) for f, n in ((F.min, f"__lo{n}"), (F.max, f"__hi{n}"))],
     )
-    total = sizes.agg(F.sum("__rows").alias("n")).scalar()
+    # The edges are asked for only to make this the same aggregate as the one below, so that it runs once.
+    edges = ["__lo1", "__hi1", "__lo2", "__hi2"]
+    every = F.struct(F.sum("__rows").alias("n"), *[F.max(e) for e in edges])
+    total = sizes.agg(every.alias("t")).scalar()["n"]
     share = F.greatest(total / F.lit(HOT_SHARE), F.lit(float(hot_rows)))
-    return sizes.filter((F.col("__rows") > share) & (F.col("__hi") > F.col("__lo"))).select(
+    return sizes.filter(F.col("__rows") > share).select(
         *[F.col(k).alias(f"__k{i}") for i, k in enumerate(key)],
-        "__lo",
-        "__hi",
+        *edges,
         F.ceil(F.col("__rows") / share).alias("__slices"),
     )
 
@@ -72,23 +93,28 @@ def number_within(
     """Running number of each row in its group.
 
     `bounded=True` says that a group cannot grow with the data (cells of one table row, links of one
-    page) and saves the look for hot groups. Otherwise the first order column must be a number, date or
-    time column with few ties.
+    page). Otherwise the group sizes are looked at first, in a job of its own that reads the key and the
+    leading order columns; without a hot group the numbering is one plain window. The leading order column
+    must be a number, date or time; if it has many ties, a whole number followed by another number.
     """
     orders = _orders(order)
+    plain = F.row_number().over(Window.partitionBy(*key).orderBy(*orders))
     if bounded:
-        window = Window.partitionBy(*key).orderBy(*orders)
-        return df.withColumn(name, F.row_number().over(window) + F.lit(start - 1))
-    lead = orders[0]
-    hot = hot_groups(df, key, lead, hot_rows)
+        return df.withColumn(name, plain + F.lit(start - 1))
+    hot = written(hot_groups(df, key, orders, hot_rows), "hot-groups")
+    if hot.isEmpty():
+        return df.withColumn(name, plain + F.lit(start - 1))
     on = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(key)]
-    position = (_as_number(lead, df) - F.col("__lo")) / (F.col("__hi") - F.col("__lo"))
+    value, second, step = _position(df, orders)
+    fraction = (second - F.col("__lo2")) / (F.col("__hi2") - F.col("__lo2") + 1.0)
+    width = F.nullif(F.col("__hi1") - F.col("__lo1") + step, F.lit(0.0))
+    position = (value - F.col("__lo1") + fraction) / width
     slice_no = F.coalesce(F.floor(position * F.col("__slices")), F.lit(-1))
     cut = (
         df.join(F.broadcast(hot), on, "left")
         .withColumn("__slice", slice_no)
         .withColumn("__cut", F.col("__slices").isNotNull())
-        .drop("__lo", "__hi", "__slices", *[f"__k{i}" for i in range(len(key))])
+        .drop(*[c for c in hot.columns])
     )
     before = (
         cut.filter("__cut")
