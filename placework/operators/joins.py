@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import grid_point, old_place_path, place_path
 from ..functions.text import normal_name
+from ..session import written
 from .nearby import match_nearby, nearby_pairs  # noqa: F401
 from .windows import HOT_ROWS, collect_in_chunks
 
@@ -37,11 +38,11 @@ def with_children(
     lists = collect_in_chunks(
         child.filter(F.col(key).isNotNull()), [key], order, F.struct(*fields), name, chunk_rows, hot_rows
     )
-    return (
-        parent.join(lists, key, "left")
-        .withColumn("chunk", F.coalesce("chunk", F.lit(0).cast("bigint")))
-        .withColumn(name, F.coalesce(name, F.array().cast(lists.schema[name].dataType)))
-    )
+    # Inner join and rest instead of one left join: the lists of a hot parent are then a side that can be split.
+    with_some = parent.join(lists, key)
+    without = parent.join(lists.filter("chunk = 0").select(key), key, "left_anti")
+    none = F.array().cast(lists.schema[name].dataType)
+    return with_some.unionByName(without.select("*", F.lit(0).cast("bigint").alias("chunk"), none.alias(name)))
 
 
 def with_dimensions(df: DataFrame, city: DataFrame, county: DataFrame) -> DataFrame:
@@ -85,7 +86,8 @@ def contains_index(city: DataFrame, name: Column, within: str | None = "county_i
     """Every substring of every city name -> lowest city id, per county.
 
     Turns `name LIKE '%text%'` into an equality on `part`, so no pair of text and city is formed; the
-    table grows with the city dimension only (names are short), not with the rows that are resolved.
+    table grows with the city dimension only (names are short), not with the rows that are resolved. It is
+    a written table, so that Spark decides by its real size whether to broadcast it.
     """
     names = city.select(*([within] if within else []), "id", F.lower(name).alias("__name"))
     starts = F.sequence(F.lit(1), F.greatest(F.length("__name"), F.lit(1)))
@@ -100,7 +102,8 @@ def contains_index(city: DataFrame, name: Column, within: str | None = "county_i
     exploded = names.filter("__name IS NOT NULL").select(
         *([within] if within else []), "id", F.explode(F.array_distinct(parts)).alias("part")
     )
-    return exploded.groupBy(*([within] if within else []), "part").agg(F.min("id").alias("found_id"))
+    index = exploded.groupBy(*([within] if within else []), "part").agg(F.min("id").alias("found_id"))
+    return written(index, "contains-index")
 
 
 def _lookup_part(df: DataFrame, index: DataFrame, text: Column, within: Column | None, out: str) -> DataFrame:

@@ -129,7 +129,7 @@ def detail_pages(spark, sf):
         render.detail_page(
             F.initcap("r_name"), F.replace("n_name", F.lit("_"), F.lit("-Sat-")), F.col("c_mktsegment"),
             F.when(F.col("c_acctbal") < 0, "NU deţinem").otherwise(render.html("07", F.col("c_custkey"))),
-            render.html(F.lit(44) + F.col("c_nationkey") % 4, ".5"), render.html(F.col("c_custkey"), ".25"), images,
+            render.html(F.lit(44) + F.col("c_nationkey") % 4, ".5"), render.html(F.col("c_custkey") % 180, ".25"), images,
         ).alias("html"),
     )
 
