@@ -29,14 +29,17 @@ def extension_pattern(exts=("htm", "php")) -> str:
     return r"(?U)\." + "".join(f"(?!{e})" for e in exts) + r"\w+$"
 
 
-def is_valid_link(url: Column, seed_url: Column, exts=("htm", "php")) -> Column:
+def is_valid_link(
+    url: Column, seed_url: Column, exts=("htm", "php"), pattern: str | None = None
+) -> Column:
+    """At most three dots, a host that the seed has, and no ending that `pattern` (else `exts`) refuses."""
     page = without_fragment(url)
     host = authority(url)
     return (
         (F.length(page) - F.length(F.replace(page, F.lit("."), F.lit(""))) <= 3)
         & (host != "")
         & F.contains(seed_url, host)
-        & ~F.rlike(page, F.lit(extension_pattern(exts)))
+        & ~F.rlike(page, F.lit(pattern or extension_pattern(exts)))
     )
 
 
@@ -69,6 +72,11 @@ def without_thumb(url: Column) -> Column:
     return F.replace(url, F.lit("zz_"), F.lit(""))
 
 
+def county_code(index_url: Column) -> Column:
+    """County code of an index address of the list site, `BV/index.php?menu=BI` -> `BV`."""
+    return F.replace(index_url, F.lit("/index.php?menu=BI"), F.lit(""))
+
+
 # Names accepted by `rewrite_url`, applied in the order given.
 REWRITES = {"listing": listing_url, "large_image": large_image, "no_thumb": without_thumb}
 

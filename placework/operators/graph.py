@@ -19,6 +19,7 @@ def crawl_frontier(
     failed: DataFrame | None = None,
     max_rounds: int | None = None,
     exts=("htm", "php"),
+    pattern: str | None = None,
 ) -> DataFrame:
     """Visited URLs with the round that queued them and whether the page could be used.
 
@@ -29,7 +30,7 @@ def crawl_frontier(
     """
     root = work_folder(spark, "crawl")
     links = edges.select("src", from_parent(F.col("dst"), F.lit(seed_url)).alias("url"))
-    links = links.filter(is_valid_link(F.col("url"), F.lit(seed_url), exts)).distinct()
+    links = links.filter(is_valid_link(F.col("url"), F.lit(seed_url), exts, pattern)).distinct()
     bad = None if failed is None else failed.select("url").distinct().withColumn("__bad", F.lit(True))
 
     def write_round(urls: DataFrame, number: int) -> int:

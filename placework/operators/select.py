@@ -55,10 +55,11 @@ def valid_links(
     url: str = "url",
     exts=("htm", "php"),
     strip_fragment: bool = False,
+    pattern: str | None = None,
 ) -> DataFrame:
-    """Links on the seed's host with an allowed extension."""
+    """Links on the seed's host with an allowed extension; `pattern` refuses endings in place of `exts`."""
     seed = seed_url if isinstance(seed_url, Column) else F.lit(seed_url)
-    out = df.filter(is_valid_link(F.col(url), seed, exts))
+    out = df.filter(is_valid_link(F.col(url), seed, exts, pattern))
     return out.withColumn(url, without_fragment(F.col(url))) if strip_fragment else out
 
 

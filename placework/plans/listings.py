@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.records import place_key
 from ..functions.text import first_number, slugify, title_from_slug
 from ..functions.web import listing_url, platform_of_url
-from ..operators.changes import assign_ids
+from ..operators.changes import assign_ids, upsert
 from ..operators.html import html_trees
 from ..operators.joins import match_nearby, resolve_city, skip_known, with_dimensions
 from ..operators.pages import json_ld, listing_record, result_prices
@@ -41,14 +41,17 @@ def import_listings(
     county: DataFrame,
     existing: DataFrame,
     stamp,
+    priority_counties: list[int] | None = None,
 ) -> dict[str, DataFrame]:
     """New state of the listings, and the new child rows.
 
     pages(url, html); places(id, name, latitude, longitude, place_id); details(place_id, url,
     formatted_phone_number), one row per place; results(hotel_id, html) search result pages. Only pages of
-    listings that are not stored yet are parsed. `failed` lists new rows without a usable page.
+    listings that are not stored yet are parsed; with `priority_counties` only listings stored there are
+    skipped, and the others are read again and replaced. `failed` lists new rows without a usable page.
     """
-    fresh = written(skip_known(csv_rows(csv), existing, "hotel_id"), "new-listings")
+    known = existing.filter(F.col("county_id").isin(*priority_counties)) if priority_counties else existing
+    fresh = written(skip_known(csv_rows(csv), known, "hotel_id"), "new-listings")
     wanted = pages.join(fresh.select("url").distinct(), "url", "left_semi").select("url", "html")
     trees = html_trees(wanted).withColumn("ld", json_ld(F.col("nodes")))
     record = first_per_key(listing_record(trees), ["url"], ["latitude", "longitude"])
@@ -115,9 +118,13 @@ def import_listings(
     ).select("geo_hash_id", "c.type", "src_url", "c.content")
 
     stored = listings.drop("url", "avg_price", "surroundings", "facilities", "capacity", *CONTENT_TYPES)
-    added = assign_ids(stored, existing, "hotel_id").join(last, "hotel_id", "left")
+    # A listing that is read again keeps its id.
+    kept_ids = existing.groupBy("hotel_id").agg(F.min("id").alias("id"))
+    again = stored.join(kept_ids, "hotel_id")
+    brand_new = assign_ids(stored.join(kept_ids, "hotel_id", "left_anti"), existing, "hotel_id")
+    added = again.unionByName(brand_new).join(last, "hotel_id", "left")
     return {
-        "listings": existing.unionByName(added, allowMissingColumns=True),
+        "listings": upsert(existing, added, "hotel_id"),
         "platforms": platforms.filter("platform <> ''"),
         "facilities": facilities,
         "contents": contents.filter("content IS NOT NULL"),

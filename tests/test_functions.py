@@ -189,3 +189,11 @@ def test_addresses(one):
     schema = f"array<struct<address_components:{records.COMPONENTS}>>"
     found = records.first_valid_address(records.unpack_json(F.lit(body), schema), F.lit("Sat"), F.lit("BV"))
     assert one(found) == '{"locality":"Sat","administrative_area_level_1":"BV"}'
+
+
+def test_custom_endings(one):
+    seed = F.lit("http://h.ro/")
+    assert one(web.is_valid_link(F.lit("http://h.ro/a.asp"), seed)) is False
+    assert one(web.is_valid_link(F.lit("http://h.ro/a.asp"), seed, exts=("asp",))) is True
+    assert one(web.is_valid_link(F.lit("http://h.ro/a.asp"), seed, pattern=r"\.pdf$")) is True
+    assert one(web.county_code(F.lit("BV/index.php?menu=BI"))) == "BV"

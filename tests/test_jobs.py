@@ -87,3 +87,30 @@ def test_keys_are_repaired_and_carried(spark):
     assert values(done["points"], "id", "geo_hash_id") == [(5, key)]
     assert values(done["platforms"], "id", "geo_hash_id") == [(1, key), (2, key)]
     assert set(values(done["facilities"], "id", "geo_hash_id")) == {(1, key), (2, "other")}
+
+
+def test_listings_of_other_counties_are_read_again(spark):
+    from placework.plans.listings import import_listings
+
+    city, county = dimensions(spark)
+    csv = spark.createDataFrame(
+        [("1", "http://www.l.example/1.html", "Brasov", "Casa A"), ("2", "http://www.l.example/2.html", "Satu Nou", "Casa B")],
+        "`Hotel ID` string, URL string, City string, Hotels string",
+    )
+    page = lambda k: spark.range(1).select(
+        F.lit(f"http://www.l.example/{k}.ro.html").alias("url"),
+        render.listing_page(
+            F.lit("45.1"), F.lit("25.1"), F.lit("n"), F.lit("c"), F.lit("Str. 1"), F.lit("120"), F.lit(k)
+        ).alias("html"),
+    )
+    stored = spark.createDataFrame([(7, 1, "old", 20), (9, 2, "old", 10)], "id long, hotel_id long, title string, county_id long")
+    places = spark.createDataFrame([], "id long, name string, latitude double, longitude double, place_id string")
+    details = spark.createDataFrame([], "place_id string, url string, formatted_phone_number string")
+    results = spark.createDataFrame([], "hotel_id long, html string")
+    run = lambda counties: import_listings(
+        csv, page(1).union(page(2)), places, details, results, city, county, stored, "2024-01-02 03:04:05", counties
+    )
+    assert values(run(None)["listings"], "id", "title") == [(7, "old"), (9, "old")]
+    done = run([20])
+    assert values(done["listings"], "id", "hotel_id", "title", "county_id") == [(7, 1, "old", 20), (9, 2, "Casa B", 10)]
+    assert values(done["platforms"], "platform", "avg_price") == [("l", "120")]
