@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import distance_m
-from ..functions.text import similarity, similarity_bound
+from ..functions.text import similarity, similarity_bound, similarity_bound_by_edits
 from ..session import written
 
 # A degree of latitude is longer than this everywhere on the sphere that `distance_m` measures.
@@ -151,7 +151,10 @@ def match_nearby(
     Both sides need id, name, latitude, longitude. Equal names need no ratio; of the others each pair of
     names reaches the Python kernel once, wherever and how often it occurs.
     """
-    pairs = written(nearby_pairs(left, right, metres, min_ratio, hot_pairs), "nearby-pairs")
+    near = nearby_pairs(left, right, metres, min_ratio, hot_pairs)
+    # Most pairs fall to the bound by edits, which needs no Python.
+    can_match = similarity_bound_by_edits(F.col("left_name"), F.col("right_name")) > min_ratio - 1e-9
+    pairs = written(near.filter((F.col("left_name") == F.col("right_name")) | can_match), "nearby-pairs")
     names = pairs.filter("left_name <> right_name").select("left_name", "right_name").distinct()
     ratios = names.withColumn("ratio", similarity(F.col("right_name"), F.col("left_name")))
     same = pairs.filter("left_name = right_name").withColumn("ratio", F.lit(1.0))

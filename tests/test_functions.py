@@ -22,6 +22,17 @@ def test_similarity_and_its_bound(spark):
             assert row["r"] <= row["m"]
 
 
+def test_bound_by_edits_holds(spark):
+    import random
+
+    rng = random.Random(3)
+    pairs = [tuple("".join(rng.choice("abc ") for _ in range(rng.randrange(1, 14))) for _ in range(2)) for _ in range(400)]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    bound = text.similarity_bound_by_edits(F.col("a"), F.col("b"))
+    for row in df.select("a", "b", bound.alias("m")).collect():
+        assert SequenceMatcher(None, row["a"], row["b"]).ratio() <= row["m"] + 1e-9
+
+
 @pytest.mark.parametrize(
     "value", ["a", "it's", 'say "x"', "it's \"x\"", "back\\slash", "line\nbreak\ttab", "țară", "a b"]
 )
