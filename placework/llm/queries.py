@@ -7,18 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import work_folder
+from .dart_minhash import near_classes
+from .decontamination import benchmark_matches
 from .exact_dedup import exact_groups
+from .packing import pack_documents
+from .quality import quality_scores
 from .token_counts import count_tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def _vocabulary(name: str = "byte_bpe_50k.json") -> str:
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -29,15 +33,30 @@ def _query(fn):
     return fn
 
 
+@_query
+def op2_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@_query
+def op4_benchmark_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return benchmark_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @_query
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A new cache for each call, so that a result never depends on an earlier run."""
-    return count_tokens(_table(spark, sf_dir, "documents"), work_folder(spark, "token-cache"), _vocabulary())
+    return count_tokens(table(spark, sf_dir, "documents"), work_folder(spark, "token-cache"), vocabulary())
+
+
+@_query
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_classes(table(spark, sf_dir, "documents"))
 
 
 @_query
 def op8_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_groups(_table(spark, sf_dir, "documents")).drop("locator")
+    return exact_groups(table(spark, sf_dir, "documents")).drop("locator")
 
 
 ORACLES["op8_exact_duplicates"] = """
@@ -45,3 +64,8 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
        doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 """
+
+
+@_query
+def op9_packed_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), vocabulary())
