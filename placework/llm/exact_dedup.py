@@ -21,6 +21,8 @@ STATE_SETTINGS = {
     # Of all partitions of the state on an executor together.
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    # No disk space is reserved ahead for the logs of many small partitions.
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 DIGESTS: tuple[Callable[[Column], Column], ...] = (
     lambda text: F.sha2(text, 256),
