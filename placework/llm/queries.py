@@ -10,6 +10,7 @@ from .common import work_folder
 from .dart_minhash import near_classes
 from .decontamination import benchmark_matches
 from .exact_dedup import exact_groups
+from .main_text import extract_main_text
 from .packing import pack_documents
 from .quality import quality_scores
 from .token_counts import count_tokens
@@ -33,6 +34,11 @@ def _query(fn):
     return fn
 
 
+@_query
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 @_query
 def op2_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
