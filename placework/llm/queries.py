@@ -12,6 +12,7 @@ from .decontamination import benchmark_matches
 from .exact_dedup import exact_groups
 from .main_text import extract_main_text
 from .packing import pack_documents
+from .personal_data import personal_data
 from .quality import quality_scores
 from .token_counts import count_tokens
 
@@ -49,6 +50,11 @@ def op4_benchmark_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchmark_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@_query
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
 @_query
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A new cache for each call, so that a result never depends on an earlier run."""
