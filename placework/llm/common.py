@@ -6,8 +6,9 @@ task, session and machine.
 
 from __future__ import annotations
 
-import functools
+import os
 import re
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,7 +55,7 @@ def seeded(seed: int, n: int) -> np.ndarray:
 
 
 _BYTE = seeded(1, 256)
-_STEP = seeded(2, 1 << 16) | U64(1)
+_STEP = seeded(2, 1 << 12) | U64(1)
 _SHINGLE = seeded(3, 64) | U64(1)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -81,10 +82,10 @@ def word_hashes(texts: list[bytes], dropped: np.ndarray | None = None) -> tuple[
     lengths = np.diff(np.searchsorted(letters, np.append(starts, len(data))))
     first = np.cumsum(lengths) - lengths
     place = np.arange(len(letters)) - np.repeat(first, lengths)
-    # Beyond 65,536 bytes a word's steps repeat with another factor, so that order still counts.
-    factor = _STEP[place & 0xFFFF]
-    if lengths.max() > 0xFFFF:
-        factor = factor * mix(place >> 16) | U64(1)
+    # Beyond 4,096 bytes a word's steps repeat with another factor, so that order still counts.
+    factor = _STEP[place & 0xFFF]
+    if lengths.max() > 0xFFF:
+        factor = factor * mix(place >> 12) | U64(1)
     return mix(np.add.reduceat(_BYTE[data[letters]] * factor, first) + lengths.astype(U64)), offsets
 
 
@@ -182,14 +183,19 @@ def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
 # of the characters below, which are the only ones it is used for.
 _SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?[0-9]+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 _PLAIN = re.compile(r"[\t\n\r -~À-ÖØ-öø-ſ]*")
-_MEMO_WORDS = 200_000
+_MEMO_WORDS = 300_000
 
 
-@functools.cache
 def _tokenizer(path: str):
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path), {}
+    """The tokenizer and the ids of words seen, kept in the process: tasks that come with a copy of this module share it."""
+    kept = sys.__dict__.setdefault("_placework_tokenizers", {})
+    if path not in kept:
+        # Tasks are the parallel units; threads of the library would only wait for each other.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        kept[path] = (Tokenizer.from_file(path), {})
+    return kept[path]
 
 
 def token_ids(texts: list[str], path: str) -> list[bytes]:

@@ -16,7 +16,6 @@ to its texts, whatever its size.
 
 from __future__ import annotations
 
-import functools
 import math
 from collections.abc import Iterator
 
@@ -41,7 +40,6 @@ _WAY = seeded(11, 2)
 _BAND = seeded(12, COORDINATES) | U64(1)
 
 
-@functools.cache
 def _poisson(area: float) -> np.ndarray:
     """Probability of up to 0, 1, 2, ... darts in a region of this area."""
     n = np.arange(int(area + 12 * math.sqrt(area) + 24))

@@ -33,7 +33,7 @@ SHORT_ITEM = 16
 # Items that one pass over the documents looks for; more items take more passes.
 BLOCK_BYTES = 8 << 20
 
-_FILTER_BITS = 22
+_FILTER_BITS = 20
 _PUNCTUATION = np.zeros(256, bool)
 _PUNCTUATION[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
 _BITS = seeded(21, WALKS * WALK_STEPS).reshape(WALKS, WALK_STEPS) | U64(1)
@@ -230,10 +230,9 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     schema = "doc_id long, item_id long, distance int, item_words int, first_word int, end_word int"
     found = [spark.createDataFrame([], schema)]
     for items in _blocks(benchmark):
-        shared = spark.sparkContext.broadcast(items)
 
-        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            items, filters = shared.value, None
+        def search(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
+            filters = None
             for batch in batches:
                 filters = filters or items.unpacked()
                 for part, texts in pieces(batch, "text"):
@@ -256,10 +255,9 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that contain no item of the benchmark, all columns as they are."""
     for items in _blocks(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(items)
 
-        def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            items, filters = shared.value, None
+        def clean(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
+            filters = None
             for batch in batches:
                 filters = filters or items.unpacked()
                 for part, texts in pieces(batch, "text"):

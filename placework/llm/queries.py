@@ -14,6 +14,7 @@ from .main_text import extract_main_text
 from .packing import pack_documents
 from .personal_data import personal_data
 from .quality import quality_scores
+from .repeated_spans import remove_repeats
 from .token_counts import count_tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,6 +46,11 @@ def op2_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@_query
+def op3_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 @_query
 def op4_benchmark_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchmark_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
