@@ -10,6 +10,7 @@ from .common import work_folder
 from .dart_minhash import near_classes
 from .decontamination import benchmark_matches
 from .exact_dedup import exact_groups
+from .licenses import license_matches
 from .main_text import extract_main_text
 from .packing import pack_documents
 from .personal_data import personal_data
@@ -87,3 +88,8 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 @_query
 def op9_packed_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary())
+
+
+@_query
+def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_matches(table(spark, sf_dir, "documents"))
