@@ -84,8 +84,8 @@ def word_hashes(texts: list[bytes], dropped: np.ndarray | None = None) -> tuple[
     place = np.arange(len(letters)) - np.repeat(first, lengths)
     # Beyond 4,096 bytes a word's steps repeat with another factor, so that order still counts.
     factor = _STEP[place & 0xFFF]
-    if lengths.max() > 0xFFF:
-        factor = factor * mix(place >> 12) | U64(1)
+    far = np.flatnonzero(place > 0xFFF)
+    factor[far] = (factor[far] * mix(place[far] >> 12)) | U64(1)
     return mix(np.add.reduceat(_BYTE[data[letters]] * factor, first) + lengths.astype(U64)), offsets
 
 
@@ -133,30 +133,36 @@ def pieces(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[
 # ------------------------------------------------------------------------------------------------ classes
 
 
+# Links that one task handles in a round.
+LINKS_PER_TASK = 500_000
+
+
 def link_classes(links: DataFrame, purpose: str) -> DataFrame:
     """Links (a, b) between whole numbers -> (id, root): the smallest id that is reached from each linked id.
 
     Large-star and small-star rounds (Kiveris et al., 2014) until nothing changes. Each round is a written table;
-    only a count and a checksum of it reach the driver.
+    only a count and a checksum of it reach the driver, and the count sets the number of tasks.
     """
-    edges = written(
-        links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), purpose
-    )
+
+    def stored(df, rows):
+        return written(df.coalesce(max(1, -(-2 * rows // LINKS_PER_TASK))), purpose)
 
     def state(df):
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
+    links = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    edges = stored(links, links.count())
     now = state(edges)
     while now[0]:
         both = edges.union(edges.select(F.col("b"), F.col("a")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = written(large.where("a <> b").distinct(), purpose)
+        large = stored(large.where("a <> b").distinct(), now[0])
         # Now a > b in every row: small-star moves the lesser neighbours and the node itself to their least one.
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = small.union(least.select("a", F.col("m").alias("b"))).where("a <> b")
-        edges = written(small.distinct(), purpose)
+        edges = stored(small.distinct(), now[0])
         before, now = now, state(edges)
         if before == now:
             break

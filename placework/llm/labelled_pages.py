@@ -130,8 +130,11 @@ def _block(r: random.Random) -> str:
 
 def _main(r: random.Random) -> str:
     parts = [r.choice([f"<h1>{_words(r, 2, 10)}</h1>", f"<h1>{_words(r, 2, 10)}</h1>", f"<h2>{_words(r, 2, 10)}</h2>", ""])]
-    for _ in range(r.choice([1, 1, 2, 3, 5, 8, 12])):
-        parts.append(_block(r))
+    size = r.choice([1, 1, 2, 3, 5, 8, 12, 12, 40])
+    plain = size == 40 and r.random() < 0.7
+    for _ in range(size):
+        # Long articles of many short paragraphs, too.
+        parts.append(f"<p>{_words(r, 2, 12)}</p>" if plain else _block(r))
         if r.random() < 0.12:
             parts.append(_around(r))
     for _ in range(r.choice([0, 0, 0, 1, 2])):

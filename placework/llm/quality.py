@@ -64,8 +64,8 @@ def passage_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     n = np.bincount(passage, minlength=total)
     some = np.maximum(n, 1)
     letters = shares[:, 2:].sum(axis=1)
-    ends = np.append(starts, len(raw))
-    word_bytes = np.diff(ends)
+    ends = np.flatnonzero(~space & np.append(space[1:], True)) + 1 if len(raw) else starts
+    word_bytes = ends - starts
     keys = mix(words + mix(passage))
     order = np.argsort(keys)
     new = np.concatenate([[True], keys[order][1:] != keys[order][:-1]]) if len(keys) else np.zeros(0, bool)
