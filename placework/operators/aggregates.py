@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.records import encode_id_list, infer_value
-from .windows import HOT_ROWS, collect_in_chunks
+from .windows import collect_in_chunks
 
 # Fixed value: custom field name of a post -> column name of a point.
 POST_FIELDS = {
@@ -47,19 +47,15 @@ def key_uniqueness(df: DataFrame, key: str) -> DataFrame:
     ).withColumn("repeated", F.col("row_count") - F.col("key_count"))
 
 
-def group_items(
-    df: DataFrame, heading: list[str], item: str, order: str, chunk_rows: int = 1000, hot_rows: int = HOT_ROWS
-) -> DataFrame:
+def group_items(df: DataFrame, heading: list[str], item: str, order: str, chunk_rows: int) -> DataFrame:
     """Heading -> ordered items as JSON text, in chunks of at most `chunk_rows` items."""
-    lists = collect_in_chunks(df, heading, order, F.col(item), "items", chunk_rows, hot_rows)
+    lists = collect_in_chunks(df, heading, order, F.col(item), chunk_rows)
     return lists.withColumn("items", F.to_json("items"))
 
 
-def concat_text(
-    df: DataFrame, key: list[str], order, text: str, chunk_rows: int = 1000, hot_rows: int = HOT_ROWS
-) -> DataFrame:
+def concat_text(df: DataFrame, key: list[str], order, text: str, chunk_rows: int) -> DataFrame:
     """Ordered texts joined without a separator, in chunks of at most `chunk_rows` pieces."""
-    lists = collect_in_chunks(df, key, order, F.col(text), "__texts", chunk_rows, hot_rows)
+    lists = collect_in_chunks(df, key, order, F.col(text), chunk_rows, "__texts")
     return lists.select(*key, "chunk", F.array_join("__texts", "").alias(text))
 
 
@@ -108,7 +104,6 @@ def pack_fields(record: DataFrame, mapping: dict[str, str] = POST_FIELDS, post_i
     )
 
 
-
 def crawl_progress(visited: DataFrame) -> DataFrame:
     """Pages visited, failed and queued per round of a crawl."""
     return visited.groupBy("round").agg(

@@ -15,19 +15,13 @@ from ..functions.geo import grid_point, old_place_path, place_path
 from ..functions.text import normal_name
 from ..session import written
 from .nearby import match_nearby, nearby_pairs  # noqa: F401
-from .windows import HOT_ROWS, collect_in_chunks
+from .windows import collect_in_chunks
 
 NO_VALUE = -(2**62)
 
 
 def with_children(
-    parent: DataFrame,
-    child: DataFrame,
-    key: str,
-    order: str = "id",
-    name: str = "children",
-    chunk_rows: int = 1000,
-    hot_rows: int = HOT_ROWS,
+    parent: DataFrame, child: DataFrame, key: str, chunk_rows: int, order: str = "id", name: str = "children"
 ) -> DataFrame:
     """Parents with ordered lists of their children.
 
@@ -35,9 +29,7 @@ def with_children(
     grows without bound; a parent without children comes once with an empty list.
     """
     fields = [c for c in child.columns if c != key]
-    lists = collect_in_chunks(
-        child.filter(F.col(key).isNotNull()), [key], order, F.struct(*fields), name, chunk_rows, hot_rows
-    )
+    lists = collect_in_chunks(child.filter(F.col(key).isNotNull()), [key], order, F.struct(*fields), chunk_rows, name)
     # Inner join and rest instead of one left join: the lists of a hot parent are then a side that can be split.
     with_some = parent.join(lists, key)
     without = parent.join(lists.filter("chunk = 0").select(key), key, "left_anti")

@@ -24,8 +24,9 @@ def page_urls(df: DataFrame, per_page: int = 20, url: str = "url", count: str =
 
 
 def offset_page(df: DataFrame, order, offset: int, number: int = 20) -> DataFrame:
-    """One window of `number` rows."""
-    return df.orderBy(order).offset(offset).limit(number)
+    """One window of `number` rows; a deep one costs no more than the first, and none is gathered by the driver."""
+    numbered = number_all(df, order, name="__row")
+    return numbered.filter(F.col("__row").between(offset, offset + number - 1)).drop("__row")
 
 
 def paged(df: DataFrame, order, number: int = 20) -> DataFrame:

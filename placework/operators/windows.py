@@ -1,8 +1,8 @@
 """First, top-k and numbering per group, and lists collected in chunks of bounded size.
 
 Group limits (`row_number() <= k`) are pushed below the shuffle by Spark, so a hot key sends at most
-k rows per map task. Full numbering cannot be limited that way; there a hot group is cut into slices of
-its order column, the slices are numbered in parallel and shifted by the number of rows before them.
+k rows per map task. Full numbering cannot be limited that way; there rows are dealt by ranges of key and order, each
+range is numbered by itself, and the numbers are shifted by the rows of the key in the ranges before.
 """
 
 from __future__ import annotations
@@ -13,11 +13,10 @@ from pyspark.sql import types as T
 
 from ..session import written
 
-# A group is hot when it holds more than 1/HOT_SHARE of all rows, so there are fewer than
-# HOT_SHARE hot groups, and all of them together are cut into fewer than 2 * HOT_SHARE slices.
-HOT_SHARE = 10_000
-HOT_ROWS = 1_000_000
-NUMBERS = (T.NumericType, T.TimestampType, T.TimestampNTZType, T.DateType)
+# Spark pushes group limits down up to this number of rows (spark.sql.optimizer.windowGroupLimitThreshold).
+PUSHED_LIMIT = 1000
+# Parts of a key in the first step of a larger limit.
+LIMIT_PARTS = 64
 
 
 def _orders(order) -> list:
@@ -29,154 +28,87 @@ def first_per_key(df: DataFrame, key: list[str], order) -> DataFrame:
 
 
 def top_k_per_key(df: DataFrame, key: list[str], order, k: int, rank: str | None = None) -> DataFrame:
-    """The first k rows of each key; `rank` names an optional 1-based number column."""
-    name = rank or "__rank"
-    window = Window.partitionBy(*key).orderBy(*_orders(order))
-    out = df.withColumn(name, F.row_number().over(window)).filter(F.col(name) <= k)
-    return out if rank else out.drop(name)
-
-
-def _as_number(column: str, df: DataFrame) -> Column:
-    kind = df.schema[column].dataType.typeName()
-    if kind in ("timestamp", "timestamp_ntz"):
-        return F.unix_micros(F.col(column).cast("timestamp")).cast("double")
-    if kind == "date":
-        return F.unix_date(F.col(column)).cast("double")
-    return F.col(column).cast("double")
-
+    """The first k rows of each key; `rank` names an optional 1-based number column.
 
-def _position(df: DataFrame, orders: list) -> tuple[Column, Column, float]:
-    """The two numbers a group is cut by, and the step of the first.
-
-    They are the leading order column and, when that one holds whole numbers, the next one, which tells apart
-    the rows that share the leading value.
+    Limits that Spark does not push down are applied to parts of each key first, so a hot key is not sorted by one task.
     """
-    lead, rest = orders[0], orders[1:]
-    whole = df.schema[lead].dataType.typeName() in ("byte", "short", "integer", "long")
-    second = rest[0] if whole and rest and isinstance(rest[0], str) else None
-    if second is not None and not isinstance(df.schema[second].dataType, NUMBERS):
-        second = None
-    return _as_number(lead, df), F.lit(0.0) if second is None else _as_number(second, df), float(whole)
+    name, orders = rank or "__rank", _orders(order)
+    if k > PUSHED_LIMIT:
+        parts = Window.partitionBy(*key, "__part").orderBy(*orders)
+        df = df.withColumn("__part", F.floor(F.rand(1) * LIMIT_PARTS)).withColumn("__first", F.row_number().over(parts))
+        df = df.filter(F.col("__first") <= k).drop("__part", "__first")
+    out = df.withColumn(name, F.row_number().over(Window.partitionBy(*key).orderBy(*orders))).filter(F.col(name) <= k)
+    return out if rank else out.drop(name)
 
 
-def hot_groups(df: DataFrame, key: list[str], order, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Groups that are cut: key, lowest and highest order values, number of slices.
+def _ranged(df: DataFrame, key: list[str], orders: list) -> tuple[DataFrame, list]:
+    """The rows as a written table with the number of their range of key and order, and the full order.
 
-    Fewer than HOT_SHARE rows whatever the input, because each stands for more than that share of it.
+    A digest of the row comes last in the order: rows that tie are not all of one range, and their numbers do not
+    change from run to run.
     """
-    value, second, _ = _position(df, _orders(order))
-    sizes = df.groupBy(*key).agg(
-        F.count("*").alias("__rows"),
-        *[f(v).alias(n) for v, n in ((value, "1"), (second, "2")) for f, n in ((F.min, f"__lo{n}"), (F.max, f"__hi{n}"))],
-    )
-    # The edges are asked for only to make this the same aggregate as the one below, so that it runs once.
-    edges = ["__lo1", "__hi1", "__lo2", "__hi2"]
-    every = F.struct(F.sum("__rows").alias("n"), *[F.max(e) for e in edges])
-    total = sizes.agg(every.alias("t")).scalar()["n"]
-    share = F.greatest(total / F.lit(HOT_SHARE), F.lit(float(hot_rows)))
-    return sizes.filter(F.col("__rows") > share).select(
-        *[F.col(k).alias(f"__k{i}") for i, k in enumerate(key)],
-        *edges,
-        F.ceil(F.col("__rows") / share).alias("__slices"),
-    )
+    plain = [f.name for f in df.schema.fields if isinstance(f.dataType, T.AtomicType)]
+    orders = [*orders, F.xxhash64(*[F.col(f"`{c}`") for c in plain])]
+    return written(df.repartitionByRange(*key, *orders).withColumn("__part", F.spark_partition_id()), "ranges"), orders
 
 
 def number_within(
-    df: DataFrame,
-    key: list[str],
-    order,
-    name: str = "n",
-    start: int = 0,
-    bounded: bool = False,
-    hot_rows: int = HOT_ROWS,
+    df: DataFrame, key: list[str], order, name: str = "n", start: int = 0, bounded: bool = False
 ) -> DataFrame:
     """Running number of each row in its group.
 
-    `bounded=True` says that a group cannot grow with the data (cells of one table row, links of one
-    page). Otherwise the group sizes are looked at first, in a job of its own that reads the key and the
-    leading order columns; without a hot group the numbering is one plain window. The leading order column
-    must be a number, date or time; if it has many ties, a whole number followed by another number.
+    `bounded=True` says that a group cannot grow with the data (cells of one table row, links of one page); then the
+    numbering is one window. The order may be of any type, with columns or sort expressions; NULL keys are a group.
     """
     orders = _orders(order)
-    plain = F.row_number().over(Window.partitionBy(*key).orderBy(*orders))
     if bounded:
+        plain = F.row_number().over(Window.partitionBy(*key).orderBy(*orders))
         return df.withColumn(name, plain + F.lit(start - 1))
-    hot = written(hot_groups(df, key, orders, hot_rows), "hot-groups")
-    if hot.isEmpty():
-        return df.withColumn(name, plain + F.lit(start - 1))
-    on = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(key)]
-    value, second, step = _position(df, orders)
-    fraction = (second - F.col("__lo2")) / (F.col("__hi2") - F.col("__lo2") + 1.0)
-    width = F.nullif(F.col("__hi1") - F.col("__lo1") + step, F.lit(0.0))
-    position = (value - F.col("__lo1") + fraction) / width
-    slice_no = F.coalesce(F.floor(position * F.col("__slices")), F.lit(-1))
-    cut = (
-        df.join(F.broadcast(hot), on, "left")
-        .withColumn("__slice", slice_no)
-        .withColumn("__cut", F.col("__slices").isNotNull())
-        .drop(*[c for c in hot.columns])
-    )
+    ranged, orders = _ranged(df, key, orders)
+    earlier = Window.partitionBy(*key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     before = (
-        cut.filter("__cut")
-        .groupBy(*key, "__slice")
+        ranged.groupBy(*key, "__part")
         .agg(F.count("*").alias("__rows"))
         .select(
             *[F.col(k).alias(f"__k{i}") for i, k in enumerate(key)],
-            F.col("__slice").alias("__s"),
-            F.sum("__rows")
-            .over(Window.partitionBy(*key).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1))
-            .alias("__before"),
+            F.col("__part").alias("__p"),
+            F.coalesce(F.sum("__rows").over(earlier), F.lit(0)).alias("__before"),
         )
     )
-    window = Window.partitionBy(*key, "__slice").orderBy(*orders)
-    numbered = cut.withColumn("__n", F.row_number().over(window))
+    on = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(key)]
+    window = Window.partitionBy(*key, "__part").orderBy(*orders)
     return (
-        numbered.join(F.broadcast(before), [*on, F.col("__slice") == F.col("__s")], "left")
-        .withColumn(name, F.col("__n") + F.coalesce(F.col("__before"), F.lit(0)) + F.lit(start - 1))
-        .drop("__n", "__s", "__before", "__slice", "__cut", *[f"__k{i}" for i in range(len(key))])
+        ranged.withColumn("__n", F.row_number().over(window))
+        .join(before, [*on, F.col("__part") == F.col("__p")])
+        .select(*df.columns, (F.col("__n") + F.col("__before") + F.lit(start - 1)).alias(name))
     )
 
 
-def number_all(df: DataFrame, order, name: str = "n", start: int = 0, slices: int = HOT_SHARE) -> DataFrame:
-    """Running number over the whole input without gathering it: the same cut with a single group."""
-    orders = _orders(order)
-    value = _as_number(orders[0], df)
-    edge = df.agg(F.struct(F.min(value).alias("lo"), F.max(value).alias("hi")).alias("e")).scalar()
-    width = F.nullif(edge["hi"] - edge["lo"], F.lit(0.0))
-    cut = df.withColumn(
-        "__slice", F.coalesce(F.floor((value - edge["lo"]) / width * slices), F.lit(-1))
-    )
-    running = Window.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+def number_all(df: DataFrame, order, name: str = "n", start: int = 0) -> DataFrame:
+    """Running number over the whole input without gathering it: ranges of the order, as for one group."""
+    ranged, orders = _ranged(df, [], _orders(order))
+    earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per range, and there are as many ranges as shuffle partitions.
     before = (
-        cut.groupBy("__slice")
+        ranged.groupBy("__part")
         .agg(F.count("*").alias("__rows"))
-        .select(F.col("__slice").alias("__s"), F.sum("__rows").over(running).alias("__before"))
+        .select(F.col("__part").alias("__p"), F.coalesce(F.sum("__rows").over(earlier), F.lit(0)).alias("__before"))
     )
-    numbered = cut.withColumn("__n", F.row_number().over(Window.partitionBy("__slice").orderBy(*orders)))
     return (
-        numbered.join(F.broadcast(before), F.col("__slice") == F.col("__s"))
-        .withColumn(name, F.col("__n") + F.coalesce(F.col("__before"), F.lit(0)) + F.lit(start - 1))
-        .drop("__n", "__s", "__before", "__slice")
+        ranged.withColumn("__n", F.row_number().over(Window.partitionBy("__part").orderBy(*orders)))
+        .join(F.broadcast(before), F.col("__part") == F.col("__p"))
+        .select(*df.columns, (F.col("__n") + F.col("__before") + F.lit(start - 1)).alias(name))
     )
 
 
 def collect_in_chunks(
-    df: DataFrame,
-    key: list[str],
-    order,
-    value: Column,
-    name: str = "items",
-    chunk_rows: int = 1000,
-    hot_rows: int = HOT_ROWS,
-    bounded: bool = False,
+    df: DataFrame, key: list[str], order, value: Column, chunk_rows: int, name: str = "items", bounded: bool = False
 ) -> DataFrame:
     """Ordered lists per key, at most `chunk_rows` long: key, chunk (0, 1, ...), list.
 
-    A key with few rows gives one list; a hot key gives as many as it needs, spread over tasks.
+    Where one row per item will do, `number_within` is the form without a limit.
     """
-    numbered = number_within(
-        df.withColumn("__value", value), key, order, name="__pos", bounded=bounded, hot_rows=hot_rows
-    )
+    numbered = number_within(df.withColumn("__value", value), key, order, name="__pos", bounded=bounded)
     return (
         numbered.withColumn("chunk", F.floor(F.col("__pos") / chunk_rows))
         .groupBy(*key, "chunk")

@@ -53,7 +53,7 @@ def a4(spark, sf):
        FROM conversations GROUP BY conv_id""",
 )
 def a5(spark, sf):
-    return aggregates.concat_text(table(spark, sf, "conversations"), ["conv_id"], "turn", "text")
+    return aggregates.concat_text(table(spark, sf, "conversations"), ["conv_id"], "turn", "text", chunk_rows=1000)
 
 
 @query(

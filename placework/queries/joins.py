@@ -42,7 +42,7 @@ CITY_SQL = """city AS (SELECT n_nationkey::BIGINT AS id, n_regionkey::BIGINT AS
 def j1(spark, sf):
     parents = table(spark, sf, "orders").select(F.col("o_orderkey").alias("key"))
     children = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("key"), "l_linenumber", "l_partkey")
-    nested = joins.with_children(parents, children, "key", ["l_linenumber", "l_partkey"])
+    nested = joins.with_children(parents, children, "key", 1000, ["l_linenumber", "l_partkey"])
     listed = F.transform(
         "children", lambda c: F.concat_ws(":", c["l_linenumber"].cast("string"), c["l_partkey"].cast("string"))
     )

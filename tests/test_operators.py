@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from placework.operators import aggregates, changes, joins, paging, select, sets, windows
@@ -37,20 +38,64 @@ def skewed(spark, rows=3000):
     return spark.createDataFrame(data, "k string, lead int, i long, v string").repartition(5), data
 
 
-@pytest.mark.parametrize("order", [["i"], ["lead", "i"]])
-def test_numbering_of_hot_groups_equals_plain_numbering(spark, order):
+ORDERS = [
+    ["i"],
+    ["lead", "i"],
+    ["lead", "second", "i"],
+    ["second", "i"],
+    ["large", "i"],
+    ["text", "i"],
+    ["text desc", "i desc"],
+    ["second desc", "i"],
+    ["outlier", "i"],
+]
+
+
+@pytest.mark.parametrize("order", ORDERS, ids=str)
+def test_numbering_equals_the_plain_window(spark, order):
     df, _ = skewed(spark)
-    cut = windows.number_within(df, ["k"], order, hot_rows=100)
+    order = [F.desc(c.split()[0]) if c.endswith(" desc") else c for c in order]
+    df = df.withColumns(
+        {
+            "second": F.when(F.col("i") % 3 > 0, F.col("i") % 7),
+            "large": F.lit(2**60) + F.col("i") % 11,
+            "text": F.when(F.col("i") % 5 > 0, F.concat(F.lit("t"), F.col("i") % 13)),
+            "outlier": F.when(F.col("i") == 9, F.lit(10**15)).otherwise(F.col("i") % 4),
+        }
+    )
+    cut = windows.number_within(df, ["k"], order)
     plain = windows.number_within(df, ["k"], order, bounded=True)
-    assert windows.hot_groups(df, ["k"], order, 100).count() == 1
+    assert cut.columns == plain.columns
     assert values(cut, "k", "i", "n") == values(plain, "k", "i", "n")
-    numbered = windows.number_all(df, ["i"], start=1, slices=37)
-    assert all(r["n"] == r["i"] + 1 for r in numbered.collect())
+    whole = df.withColumn("n", F.row_number().over(Window.orderBy(*order)))
+    assert values(windows.number_all(df, order, start=1), "i", "n") == values(whole, "i", "n")
+
+
+def test_ties_and_empty_tables_are_numbered_without_gaps(spark):
+    df = spark.range(500).select(F.lit(1).alias("k"), F.lit("same").alias("t"))
+    assert sorted(r["n"] for r in windows.number_within(df, ["k"], ["t"]).collect()) == list(range(500))
+    assert sorted(r["n"] for r in windows.number_all(df, "t").collect()) == list(range(500))
+    assert windows.number_within(df.limit(0), ["k"], ["t"]).collect() == []
+    assert windows.number_all(df.limit(0), "t").collect() == []
+
+
+def test_a_deep_page_is_not_gathered(spark):
+    df = spark.range(5000).select(F.concat(F.lit("t"), F.lpad("id", 5, "0")).alias("t"))
+    page = paging.offset_page(df, "t", offset=4321, number=7)
+    assert sorted(r["t"] for r in page.collect()) == [f"t{k:05d}" for k in range(4321, 4328)]
+    assert "TakeOrdered" not in page._jdf.queryExecution().executedPlan().toString()
+
+
+def test_large_limits_are_applied_to_parts_first(spark):
+    df, _ = skewed(spark)
+    got = windows.top_k_per_key(df.unionAll(df), ["k"], ["i"], 1500, rank="n")
+    plain = df.unionAll(df).withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy("i"))).filter("n <= 1500")
+    assert values(got, "k", "i", "n") == values(plain, "k", "i", "n")
 
 
 def test_chunks_hold_everything_once(spark):
     df, data = skewed(spark)
-    chunks = windows.collect_in_chunks(df, ["k"], ["lead", "i"], F.col("v"), "vs", chunk_rows=100, hot_rows=200).collect()
+    chunks = windows.collect_in_chunks(df, ["k"], ["lead", "i"], F.col("v"), 100, "vs").collect()
     assert max(len(r["vs"]) for r in chunks) == 100
     expected = [v for k, _, _, v in sorted((d for d in data if d[0] == "hot"), key=lambda d: (d[1], d[2]))]
     hot = sorted((r for r in chunks if r["k"] == "hot"), key=lambda r: r["chunk"])
@@ -61,7 +106,7 @@ def test_chunks_hold_everything_once(spark):
 def test_children_of_a_hot_parent_come_in_chunks(spark):
     df, data = skewed(spark)
     parents = spark.createDataFrame([("hot",), ("k1",), ("childless",)], "k string")
-    nested = joins.with_children(parents, df.select("k", "i", "v"), "k", ["i"], chunk_rows=300, hot_rows=200).collect()
+    nested = joins.with_children(parents, df.select("k", "i", "v"), "k", 300, ["i"]).collect()
     hot = [r for r in nested if r["k"] == "hot"]
     assert sorted(r["chunk"] for r in hot) == [0, 1, 2, 3] and sum(len(r["children"]) for r in hot) == 1000
     assert [r["children"] for r in nested if r["k"] == "childless"] == [[]]
