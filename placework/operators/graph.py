@@ -26,7 +26,8 @@ def crawl_frontier(
     `edges(src, dst)` are the links of every page, `seeds(url)` the start, `failed(url)` the pages that
     are logged and not expanded. Each round is one written folder of the shared work folder, so no
     lineage grows, a lost executor repeats one round, and the next round is planned with the measured size
-    of the frontier. Only a row count per round comes to the driver.
+    of the frontier. Only a row count per round comes to the driver. With `max_rounds` a column `expanded` says
+    whether the links of a page were followed: pages of the last round are queued only.
     """
     root = work_folder(spark, "crawl")
     links = edges.select("src", from_parent(F.col("dst"), F.lit(seed_url)).alias("url"))
@@ -52,4 +53,5 @@ def crawl_frontier(
         found = links.join(frontier.select(F.col("url").alias("src")), "src", "left_semi").select("url")
         number += 1
         queued = write_round(found.distinct().join(visited, "url", "left_anti"), number)
-    return spark.read.schema(f"{VISITED}, round INT").parquet(root)
+    out = spark.read.schema(f"{VISITED}, round INT").parquet(root)
+    return out if max_rounds is None else out.withColumn("expanded", F.col("ok") & (F.col("round") < max_rounds))

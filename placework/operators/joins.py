@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import grid_point, old_place_path, place_path
 from ..functions.text import normal_name
-from ..session import written
 from .nearby import match_nearby, nearby_pairs  # noqa: F401
 from .windows import collect_in_chunks
 
@@ -74,42 +73,38 @@ def resolve_county(
     )
 
 
-def contains_index(city: DataFrame, name: Column, within: str | None = "county_id") -> DataFrame:
-    """Every substring of every city name -> lowest city id, per county.
+GRAM = 3
 
-    Turns `name LIKE '%text%'` into an equality on `part`, so no pair of text and city is formed; the
-    table grows with the city dimension only (names are short), not with the rows that are resolved. It is
-    a written table, so that Spark decides by its real size whether to broadcast it.
-    """
-    names = city.select(*([within] if within else []), "id", F.lower(name).alias("__name"))
-    starts = F.sequence(F.lit(1), F.greatest(F.length("__name"), F.lit(1)))
-    parts = F.flatten(
-        F.transform(
-            starts,
-            lambda s: F.transform(
-                F.sequence(F.lit(0), F.length("__name") - s + 1), lambda n: F.substring("__name", s, n)
-            ),
-        )
-    )
-    exploded = names.filter("__name IS NOT NULL").select(
-        *([within] if within else []), "id", F.explode(F.array_distinct(parts)).alias("part")
-    )
-    index = exploded.groupBy(*([within] if within else []), "part").agg(F.min("id").alias("found_id"))
-    return written(index, "contains-index")
 
+def _grams(name: Column) -> Column:
+    """Runs of up to GRAM letters of a name, and the empty one."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length(name), F.lit(1)))
 
-def _lookup_part(df: DataFrame, index: DataFrame, text: Column, within: Column | None, out: str) -> DataFrame:
-    keyed = index.withColumnRenamed("part", "__part").withColumnRenamed("found_id", out)
-    probe = df.withColumn("__part", F.lower(text))
-    if within is None:
-        return probe.join(keyed, "__part", "left").drop("__part")
-    county = [c for c in index.columns if c not in ("part", "found_id")][0]
-    keyed = keyed.withColumnRenamed(county, "__within")
-    return (
-        probe.withColumn("__within", within)
-        .join(keyed, ["__within", "__part"], "left")
-        .drop("__within", "__part")
-    )
+    def runs(size: int) -> Column:
+        return F.transform(starts, lambda at: F.substring(name, at, F.lit(size)))
+
+    return F.array_distinct(F.concat(F.array(F.lit("")), *[runs(n) for n in range(1, GRAM + 1)]))
+
+
+def find_contained(
+    df: DataFrame, city: DataFrame, text: Column, within: Column | None, out: str, name: str = "name"
+) -> DataFrame:
+    """The lowest id of a city whose name contains the text, inside a county when `within` is given; else NULL.
+
+    As the comparison of names: without case and accents. Distinct texts meet names on the first GRAM letters of the
+    text, which every name that contains it has among its own runs; rows without a text are not looked up.
+    """
+    wanted = df.withColumns({"__text": normal_name(text), "__in": F.lit(0) if within is None else within})
+    county = F.lit(0) if within is None else F.col("county_id")
+    names = city.select(county.alias("__in"), F.col("id").alias("__id"), normal_name(F.col(name)).alias("__name"))
+    names = names.filter("__name IS NOT NULL").select("*", F.explode(_grams(F.col("__name"))).alias("__gram"))
+    probes = wanted.filter("__text IS NOT NULL AND __in IS NOT NULL").select("__in", "__text").distinct()
+    probes = probes.withColumn("__gram", F.substring("__text", 1, GRAM))
+    hits = probes.join(names, ["__in", "__gram"]).filter(F.contains("__name", "__text"))
+    found = hits.groupBy("__in", "__text").agg(F.min("__id").alias(out))
+    asked = F.col("__text").isNotNull() & F.col("__in").isNotNull()
+    rest = wanted.filter(~asked).withColumn(out, F.lit(None).cast(city.schema["id"].dataType))
+    return wanted.filter(asked).join(found, ["__in", "__text"], "left").unionByName(rest).drop("__in", "__text")
 
 
 def resolve_city(
@@ -118,33 +113,28 @@ def resolve_city(
     text: Column,
     county_id: Column | None = None,
     default_county_id: Column | None = None,
-    city_name: Column | None = None,
+    name: str = "name",
 ) -> DataFrame:
     """`city_id` of the first city whose name contains the text, inside the county when one is given.
 
     `default_county_id` stands in for an unknown county. When the text is not found, it is tried again
-    with `-` replaced by a space.
+    with `-` replaced by a space. Case and accents do not count.
     """
-    name = F.col("name") if city_name is None else city_name
-    index = contains_index(city, name, "county_id" if county_id is not None else None)
     within = county_id
     if within is not None and default_county_id is not None:
         within = F.coalesce(county_id, default_county_id)
     spaced = F.replace(text, F.lit("-"), F.lit(" "))
-    # The second try is only looked up where it can differ; elsewhere its key is NULL and joins nothing.
+    found = find_contained(df, city, text, within, "__first", name)
+    # The second try is only looked up where it can differ.
     second = F.when(F.col("__first").isNull() & (spaced != text), spaced)
-    found = _lookup_part(df, index, text, within, "__first")
-    found = _lookup_part(found, index, second, within, "__second")
+    found = find_contained(found, city, second, within, "__second", name)
     return found.withColumn("city_id", F.coalesce("__first", "__second")).drop("__first", "__second")
 
 
-def resolve_city_prefix(
-    df: DataFrame, city: DataFrame, text: Column, county_id: Column, city_name: Column | None = None
-) -> DataFrame:
-    """`city_id` by the text before the first `-`, plus `-`, inside the county."""
-    index = contains_index(city, F.col("name") if city_name is None else city_name)
+def resolve_city_prefix(df: DataFrame, city: DataFrame, text: Column, county_id: Column, name: str = "name") -> DataFrame:
+    """`city_id` by the text before the first `-`, plus `-`, inside the county. Case and accents do not count."""
     wanted = F.concat(F.substring_index(text, "-", 1), F.lit("-"))
-    return _lookup_part(df, index, wanted, county_id, "city_id")
+    return find_contained(df, city, wanted, county_id, "city_id", name)
 
 
 def skip_known(new: DataFrame, existing: DataFrame, key: str) -> DataFrame:

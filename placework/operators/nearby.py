@@ -1,9 +1,9 @@
 """Match by distance and name similarity.
 
 Points are joined on grid cells, so only neighbours meet. Copies (same name, same place) are reduced to one
-value per side first. A cell where many names of both sides meet is joined on cell and name piece instead: names
-with a ratio above the threshold share enough letter pairs that they must agree on one of the rarest few of
-each, so the names of a hot cell are not all paired with each other, and none that could match is left out.
+value per side first. Sides meet on cell and name piece: names with a ratio above the threshold share enough letter pairs
+that they must agree on one of the rarest few of each, so the names of a hot cell are not all paired with each other,
+and none that could match is left out.
 """
 
 from __future__ import annotations
@@ -17,7 +17,8 @@ from ..session import written
 
 # A degree of latitude is longer than this everywhere on the sphere that `distance_m` measures.
 METRES_PER_DEGREE = 111_000.0
-HOT_PAIRS = 10_000_000
+# Below this ratio names need not share a letter pair or a one-letter deletion, so no index finds all pairs.
+LEAST_RATIO = 0.8
 VALUE = ["name", "latitude", "longitude"]
 CELL = ["__band", "__col"]
 
@@ -60,7 +61,7 @@ def _pieces(name: Column) -> Column:
     )
 
 
-def _hot_part(a: DataFrame, b: DataFrame, min_ratio: float) -> DataFrame:
+def _met(a: DataFrame, b: DataFrame, min_ratio: float) -> DataFrame:
     """Pairs of two sides that agree on a cell and on one of the rarest letter pairs of both."""
     names = a.select("name").union(b.select("name")).distinct()
     pieces = names.select("name", F.explode(_pieces(F.col("name"))).alias("piece"))
@@ -74,9 +75,15 @@ def _hot_part(a: DataFrame, b: DataFrame, min_ratio: float) -> DataFrame:
     needed = _shared_pieces(F.length("name"), min_ratio)
     rarest = F.slice("ranked", 1, F.size("ranked") - needed + 1)
     keys = F.transform(rarest, lambda r: r["piece"])
-    # A name too short to share a pair for sure meets every name it can match by length, under one key.
-    short = F.length("name") < _shortest_sure(min_ratio) * (2 - min_ratio) / min_ratio
-    keyed = ranked.select("name", F.when(short, F.concat(keys, F.array(F.lit("")))).otherwise(keys).alias("keys"))
+    # Names of up to three letters need not share a pair, but then they equal the other name or lack one letter of it
+    # (more than 0.4 * (3 + 4) letters are equal), so both sides of up to four letters are known by their deletions.
+    name = F.col("name")
+    cuts = F.transform(
+        F.sequence(F.lit(1), F.greatest(F.length(name), F.lit(1))),
+        lambda i: F.concat(F.lit("="), F.substring(name, F.lit(1), i - 1), F.substring(name, i + 1, F.length(name))),
+    )
+    short = F.array_distinct(F.concat(keys, F.array(F.concat(F.lit("="), name)), cuts))
+    keyed = ranked.select("name", F.when(F.length(name) <= 4, short).otherwise(keys).alias("keys"))
     keyed = written(keyed, "name-keys")
 
     def side(df: DataFrame, prefix: str) -> DataFrame:
@@ -93,44 +100,17 @@ def _hot_part(a: DataFrame, b: DataFrame, min_ratio: float) -> DataFrame:
     return met.filter(F.col("__key") == first_key).drop("left_keys", "right_keys", "__key")
 
 
-def _shortest_sure(min_ratio: float) -> float:
-    """Names of at least this many letters share a letter pair with every name above the ratio."""
-    return 1 / ((1.5 * min_ratio - 1) * 2 / (2 - min_ratio)) + 1e-6
-
-
-def nearby_pairs(
-    left: DataFrame,
-    right: DataFrame,
-    metres: float = 10.0,
-    min_ratio: float = 0.8,
-    hot_pairs: int = HOT_PAIRS,
-) -> DataFrame:
-    """Pairs of values within `metres` that can have a name ratio above `min_ratio`.
+def nearby_pairs(left: DataFrame, right: DataFrame, metres: float = 10.0, min_ratio: float = LEAST_RATIO) -> DataFrame:
+    """Pairs of values within `metres` that can have a name ratio above `min_ratio` (0.8 or more).
 
-    Both sides need name, latitude, longitude. In light cells the bound is that of the name lengths; in a cell
-    where more than `hot_pairs` pairs would meet it is the tighter one of their letter pairs.
+    Both sides need name, latitude, longitude.
     """
+    if min_ratio < LEAST_RATIO:
+        raise ValueError(f"min_ratio must be at least {LEAST_RATIO}")
     cell = metres / METRES_PER_DEGREE
     a = _with_cells(left.select(*VALUE).filter("name IS NOT NULL").distinct(), cell, 0)
     b = _with_cells(right.select(*VALUE).filter("name IS NOT NULL").distinct(), cell, 1)
-    hot = None
-    if min_ratio > 0.7:
-        sizes_a = a.groupBy(*CELL).agg(F.count("*").alias("__a"))
-        sizes_b = b.groupBy(*CELL).agg(F.count("*").alias("__b"))
-        hot = sizes_a.join(sizes_b, CELL).filter(F.col("__a") * F.col("__b") > hot_pairs).select(*CELL)
-        hot = written(hot, "hot-cells")
-        if hot.isEmpty():
-            hot = None
-
-    def named(df: DataFrame, prefix: str) -> DataFrame:
-        return df.select(*CELL, *[F.col(c).alias(f"{prefix}_{c}") for c in VALUE])
-
-    if hot is None:
-        met = named(a, "left").join(named(b, "right"), CELL)
-    else:
-        light = named(a.join(hot, CELL, "left_anti"), "left").join(named(b, "right"), CELL)
-        crowded = _hot_part(a.join(hot, CELL, "left_semi"), b.join(hot, CELL, "left_semi"), min_ratio)
-        met = light.unionByName(crowded)
+    met = _met(a, b, min_ratio)
     apart = distance_m(F.col("left_latitude"), F.col("left_longitude"), F.col("right_latitude"), F.col("right_longitude"))
     return (
         met.filter(similarity_bound(F.col("left_name"), F.col("right_name")) > min_ratio)
@@ -139,19 +119,13 @@ def nearby_pairs(
     )
 
 
-def match_nearby(
-    left: DataFrame,
-    right: DataFrame,
-    metres: float = 10.0,
-    min_ratio: float = 0.8,
-    hot_pairs: int = HOT_PAIRS,
-) -> DataFrame:
+def match_nearby(left: DataFrame, right: DataFrame, metres: float = 10.0, min_ratio: float = LEAST_RATIO) -> DataFrame:
     """Left rows with every near and similarly named right row: left_id, right_id, right columns, ratio.
 
     Both sides need id, name, latitude, longitude. Equal names need no ratio; of the others each pair of
     names reaches the Python kernel once, wherever and how often it occurs.
     """
-    near = nearby_pairs(left, right, metres, min_ratio, hot_pairs)
+    near = nearby_pairs(left, right, metres, min_ratio)
     # Most pairs fall to the bound by edits, which needs no Python.
     can_match = similarity_bound_by_edits(F.col("left_name"), F.col("right_name")) > min_ratio - 1e-9
     pairs = written(near.filter((F.col("left_name") == F.col("right_name")) | can_match), "nearby-pairs")

@@ -36,7 +36,6 @@ OCCUPANCY_CLASS = "occupancy_multiplier_number"
 BED_CLASS = "bedroom_bed_type"
 IMAGE_CLASS = "hide"
 THUMB_HOOK = "hotel_thumbs_sprite"
-THUMB_LIMIT = 11
 RESULT_CLASS = "rc"
 JSON_LD = "application/ld+json"
 LISTING_LD = "struct<priceRange:string,address:struct<streetAddress:string>>"
@@ -155,19 +154,20 @@ def _cell_text(nodes: Column, cell: Column) -> Column:
 
 
 def page_table(
-    trees: DataFrame, value_of: str | None = None, skip_cells: int = 0
+    trees: DataFrame, value_of: str | list[str] | None = None, skip_cells: int = 0
 ) -> DataFrame:
     """Rows of the first table: row_no and `cells ARRAY<STRUCT<key, text, value>>`.
 
-    Keys are the slugs of the `th` cells that are not empty; a cell beyond them has a NULL key. `value`
-    is the attribute `value_of` of the cell, else that of its first link. Without `value_of` it is the
-    `href` of the first link, else the `title` of the cell. `skip_cells` leading cells are left out.
+    Keys are the slugs of the `th` cells; a cell beyond them has a NULL key. `value` is the attribute `value_of` of the
+    cell, else that of its first link; of several names it is a struct with a field for each. Without `value_of`
+    it is the `href` of the first link, else the `title` of the cell. `skip_cells` leading cells are left out; then
+    empty headings, which stand over them, are none.
     """
     nodes = F.col(NODES)
     table = below(nodes, first(find_all(nodes, "table")))
-    heads = F.filter(
-        F.transform(find_all(table, "th"), lambda n: slugify(text_of(nodes, n))), lambda k: k != ""
-    )
+    heads = F.transform(find_all(table, "th"), lambda n: slugify(text_of(nodes, n)))
+    if skip_cells:
+        heads = F.filter(heads, lambda k: k != "")
     rows = F.filter(
         F.transform(find_all(table, "tr"), lambda r: find_all(below(nodes, r), "td")), lambda c: F.size(c) > 0
     )
@@ -176,7 +176,9 @@ def page_table(
         link = first(find_all(below(nodes, c), "a"))
         if value_of is None:
             return F.coalesce(attr(link, "href"), attr(c, "title"))
-        return F.coalesce(attr(c, value_of), attr(link, value_of))
+        if isinstance(value_of, str):
+            return F.coalesce(attr(c, value_of), attr(link, value_of))
+        return F.struct(*[F.coalesce(attr(c, a), attr(link, a)).alias(a) for a in value_of])
 
     def row_cells(cells):
         kept = F.slice(cells, skip_cells + 1, F.greatest(F.size(cells) - skip_cells, F.lit(0)))
@@ -274,19 +276,27 @@ def _section_entries(nodes: Column, sections: Column, heading: str, clean) -> Co
     )
 
 
-def _last_entries(entries: str) -> Column:
-    """Map from the key/value structs of a column; of equal keys the last value, at the first one's place."""
-    keys = F.array_distinct(F.transform(entries, lambda e: e["k"]))
-    values = F.transform(keys, lambda k: F.element_at(F.filter(entries, lambda e: e["k"] == k), -1)["v"])
-    return F.map_from_arrays(keys, values)
+def _last_by_key(df: DataFrame, column: str) -> DataFrame:
+    """Key/value structs (k, v) of a column without repeated keys: the last value of each, at the first one's place.
+
+    Equal keys are neighbours after a sort, so the work does not grow with keys times entries.
+    """
+    found = F.transform(column, lambda e, i: F.struct(e["k"].alias("k"), i.alias("i"), e["v"].alias("v")))
+    df = df.withColumn("__sorted", F.array_sort(found))
+    at = F.col("__sorted")
+    first = F.filter(at, lambda e, i: (i == 0) | (F.get(at, i - 1)["k"] != e["k"]))
+    last = F.filter(at, lambda e, i: (i == F.size(at) - 1) | (F.get(at, i + 1)["k"] != e["k"]))
+    merged = F.zip_with(first, last, lambda a, b: F.struct(a["i"].alias("i"), a["k"].alias("k"), b["v"].alias("v")))
+    kept = F.transform(F.array_sort(merged), lambda e: F.struct(e["k"].alias("k"), e["v"].alias("v")))
+    return df.withColumn(column, kept).drop("__sorted")
 
 
 def _one_line(s: Column) -> Column:
     return F.replace(F.btrim(s, F.lit(" \t\r\n")), F.lit("\n"), F.lit(""))
 
 
-def listing_record(trees: DataFrame) -> DataFrame:
-    """One record per listing page.
+def listing_record(trees: DataFrame, thumb_limit: int | None = None) -> DataFrame:
+    """One record per listing page; `thumb_limit` keeps that many of its thumbnails, else all are kept.
 
     Coordinates stay text, as they are written in the map link's style; `status` is `error` without two of
     them. surroundings, facilities and capacity are JSON.
@@ -304,16 +314,12 @@ def listing_record(trees: DataFrame) -> DataFrame:
     hidden = F.transform(
         find_all(nodes, "img", where=lambda n: has_class(n, IMAGE_CLASS)), lambda n: large_image(attr(n, "src"))
     )
-    thumbs = F.slice(
-        F.transform(
-            find_all(
-                nodes, "a", where=lambda n: class_contains(n, THUMB_HOOK) & (attr(n, "href") != "#")
-            ),
-            lambda n: large_image(attr(n, "href")),
-        ),
-        1,
-        THUMB_LIMIT,
+    thumbs = F.transform(
+        find_all(nodes, "a", where=lambda n: class_contains(n, THUMB_HOOK) & (attr(n, "href") != "#")),
+        lambda n: large_image(attr(n, "href")),
     )
+    if thumb_limit is not None:
+        thumbs = F.slice(thumbs, 1, thumb_limit)
     summary = first(find_all(nodes, "div", where=lambda n: attr(n, "id") == SUMMARY_ID))
     address = first(find_all(nodes, "span", where=lambda n: has_class(n, ADDRESS_CLASS)))
     record = trees.select(
@@ -336,6 +342,8 @@ def listing_record(trees: DataFrame) -> DataFrame:
         thumbs.alias("__thumbs"),
     )
     kept = [c for c in record.columns if c not in (*_key(trees), "__numbers")]
+    for part in ("surroundings", "facilities"):
+        record = _last_by_key(record, part)
     return record.select(
         *_key(trees),
         F.get("__numbers", 0).alias("latitude"),
@@ -344,8 +352,8 @@ def listing_record(trees: DataFrame) -> DataFrame:
         *kept,
     ).withColumns(
         {
-            "surroundings": F.to_json(_last_entries("surroundings")),
-            "facilities": F.to_json(_last_entries("facilities")),
+            "surroundings": F.to_json(F.map_from_entries("surroundings")),
+            "facilities": F.to_json(F.map_from_entries("facilities")),
             "images": F.when(F.size("__hidden") > 0, F.col("__hidden")).otherwise(F.col("__thumbs")),
         }
     ).drop("__hidden", "__thumbs")
@@ -403,11 +411,9 @@ def wiki_table(trees: DataFrame) -> DataFrame:
         F.when(data, full).alias("__full"),
         F.when(~data, named).alias("__named"),
     )
-    titles = F.array_distinct(F.transform("__named", lambda e: e["title"]))
-    last_named = F.transform(
-        titles, lambda t: F.element_at(F.filter("__named", lambda e: e["title"] == t), -1)
-    )
-    return read.select(
+    read = read.withColumn("__named", F.transform("__named", lambda e: F.struct(e["title"].alias("k"), e.alias("v"))))
+    last_named = F.transform("__named", lambda e: e["v"])
+    return _last_by_key(read, "__named").select(
         *_key(trees), "is_data", F.inline(F.when(F.col("is_data"), F.col("__full")).otherwise(last_named))
     )
 

@@ -46,9 +46,7 @@ def _add_rows(
 ) -> DataFrame:
     fresh = fresh_rows(existing, rows.filter("url IS NOT NULL"), "url", ["page_id", "row_no"])
     found = resolve_county(fresh, county, name=F.col("county_text")).withColumnRenamed("county_id", "said_county")
-    found = resolve_city(
-        found, city, F.col("city_text"), F.col("said_county"), default_county, normal_name(F.col("name"))
-    )
+    found = resolve_city(found, city, F.col("city_text"), F.col("said_county"), default_county)
     of_city = city.select(F.col("id").alias("city_id"), "county_id")
     latitude, longitude = F.col("point.latitude"), F.col("point.longitude")
     added = found.join(of_city, "city_id", "left").select(

@@ -14,8 +14,6 @@ from ..operators.select import select_rows
 from ..session import written
 from .points import WORSHIP
 
-IMAGES_PER_PLACE = 10
-
 
 def photo_audit(
     points: DataFrame,
@@ -83,11 +81,18 @@ def photo_audit(
     return {"audit": result, "changes": changed, "manifest": manifest}
 
 
-def image_manifest(pages: DataFrame, rows: DataFrame, files: DataFrame, city: DataFrame, county: DataFrame) -> DataFrame:
+def image_manifest(
+    pages: DataFrame,
+    rows: DataFrame,
+    files: DataFrame,
+    city: DataFrame,
+    county: DataFrame,
+    images_per_place: int | None = None,
+) -> DataFrame:
     """Images to fetch: source path, target folder and numbered file name.
 
-    For rows with at least two photos and no files yet; the first ten thumbnails of the page (names with
-    `zz_`), as full images.
+    For rows with at least two photos and no files yet; the thumbnails of the page (names with `zz_`), as full images:
+    all, or the first `images_per_place`.
     """
     named = with_dimensions(rows.filter("photo_cnt >= 2"), city, county)
     wanted = named.select(
@@ -100,9 +105,9 @@ def image_manifest(pages: DataFrame, rows: DataFrame, files: DataFrame, city: Da
         find_all(F.col("nodes"), "img", where=lambda n: F.contains(attr(n, "src"), F.lit("zz_"))),
         lambda n: F.concat(F.lit("/"), attr(n, "src")),
     )
-    return trees.select(
-        "id", "folder", F.posexplode(F.slice(full, 1, IMAGES_PER_PLACE)).alias("k", "thumb")
-    ).select(
+    if images_per_place is not None:
+        full = F.slice(full, 1, images_per_place)
+    return trees.select("id", "folder", F.posexplode(full).alias("k", "thumb")).select(
         "id",
         "k",
         without_thumb(F.col("thumb")).alias("source"),

@@ -126,8 +126,9 @@ def reconcile_points(
     key_of_old = pairs.groupBy(F.col("geo_hash_id").alias("old_key")).agg(F.min_by("new_key", "row_id").alias("new_key"))
     changed_rows = pairs.groupBy("row_id").agg(F.lit(True).alias("passed_on"))
 
-    place = ["latitude", "longitude", "city_id"]
-    inserted = first_per_key(matched.filter(~F.col("points_here")), place, "id")
+    # A new place is one row by the coordinates as they are compared.
+    place = ["__lat", "__lon", "__city"]
+    inserted = first_per_key(matched.filter(~F.col("points_here")).select("*", *place_columns()), place, "id").drop(*place)
     new_points = inserted.select(
         F.col("new_key").alias("geo_hash_id"),
         "title",

@@ -12,17 +12,26 @@ from ..schemas import CATALOGUE, LISTING_CSV
 SITEMAP_ROOT = 'urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"'
 
 
-def read_listing_csv(spark: SparkSession, path: str, schema: str = LISTING_CSV) -> DataFrame:
+def read_listing_csv(
+    spark: SparkSession, path: str, schema: str = LISTING_CSV, multi_line: bool = False
+) -> DataFrame:
     """CSV with a header and quoted values, all text; an empty table when nothing is there.
 
-    A value may span lines, so a file is read by one task: deliver large lists as many files.
+    Columns go by the names in the header: those of `schema` come first (NULL when the header lacks one), others are
+    kept after them. All files of a path have the same header; another one is an error when it is read. Files are
+    split among tasks; with `multi_line` values may span lines, and a file is read by one task.
     """
+    names = T.StructType.fromDDL(schema).fieldNames()
     try:
-        return spark.read.csv(path, schema=schema, header=True, multiLine=True, escape='"')
+        rows = spark.read.csv(path, header=True, inferSchema=False, multiLine=multi_line, escape='"', enforceSchema=False)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], schema)
+    # A byte order mark belongs to no name.
+    rows = rows.toDF(*[c.removeprefix("\ufeff") for c in rows.columns])
+    wanted = [F.col(f"`{n}`") if n in rows.columns else F.lit(None).cast("string").alias(n) for n in names]
+    return rows.select(*wanted, *[F.col(f"`{c}`") for c in rows.columns if c not in names])
 
 
 def literal_to_json(line: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import folder_exists
+
 
 def stream_new_keys(
     stream: DataFrame, key: list[str], ts: str | None = None, delay: str | None = None
@@ -23,22 +25,24 @@ def write_new_keys(stream: DataFrame, key: list[str], out: str, checkpoint: str,
     """Start a query that appends unseen keys to the parquet table `out`, and return it.
 
     A micro-batch is reduced to its distinct keys before it is shuffled, so a hot key sends one row per
-    task, and the seen keys are a table rather than operator state. A batch owns the folder `batch=<id>`:
-    a batch that is run again after a failure overwrites what it wrote and looks only at earlier ones.
+    task, and the seen keys are a table rather than operator state. A batch owns the folder `query=<id>/batch=<id>`: a
+    batch that is run again after a failure overwrites what it wrote and looks at everything but itself and later ones.
+    The query's id comes with its checkpoint, so a new checkpoint into the same table keeps all stored keys.
     """
     spark = stream.sparkSession
     fields = ", ".join(f"`{k}` {stream.schema[k].dataType.simpleString()}" for k in key)
 
     def append(batch: DataFrame, batch_id: int) -> None:
+        own = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
         fresh = batch.select(*key).distinct()
-        if batch_id > 0:
-            seen = read_new_keys(spark, out, fields).filter(F.col("batch") < batch_id)
+        if folder_exists(spark, out):
+            seen = read_new_keys(spark, out, fields).filter((F.col("query") != own) | (F.col("batch") < batch_id))
             fresh = fresh.join(seen, [fresh[k].eqNullSafe(seen[k]) for k in key], "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        fresh.write.mode("overwrite").parquet(f"{out}/query={own}/batch={batch_id}")
 
     writer = stream.select(*key).writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
 def read_new_keys(spark: SparkSession, out: str, fields: str) -> DataFrame:
-    return spark.read.schema(f"{fields}, batch BIGINT").parquet(out)
+    return spark.read.schema(f"{fields}, query STRING, batch BIGINT").parquet(out)

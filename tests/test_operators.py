@@ -171,8 +171,7 @@ def brute_pairs(left, right, metres, min_ratio):
 
 
 @pytest.mark.parametrize("centre", [(45.0, 25.0), (0.0, 0.0), (-33.0, 179.99995), (71.0, -179.99995), (89.9999, 10.0)])
-@pytest.mark.parametrize("hot_pairs", [10_000_000, 50])
-def test_nearby_matches_equal_brute_force(spark, centre, hot_pairs):
+def test_nearby_matches_equal_brute_force(spark, centre):
     rng = random.Random(7)
     names = ["casa mare", "casa mare 2", "casa", "vila alba", "vila albă", "hotel central", "hotel centrul", "x"]
 
@@ -187,12 +186,35 @@ def test_nearby_matches_equal_brute_force(spark, centre, hot_pairs):
 
     left, right = side(60, 0), side(60, 1000)
     schema = "id long, name string, latitude double, longitude double"
-    got = joins.match_nearby(
-        spark.createDataFrame(left, schema), spark.createDataFrame(right, schema), hot_pairs=hot_pairs
-    )
+    got = joins.match_nearby(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema))
     assert values(got, "left_id", "right_id") == sorted(brute_pairs(left, right, 10, 0.8), key=repr)
 
 
+def test_short_names_meet_where_they_can_match(spark):
+    from itertools import product
+
+    names = ["".join(p) for n in range(1, 5) for p in product("abc", repeat=n)] + ["abcab", "aabbc"]
+    rows = [(k, n, 45.0, 25.0) for k, n in enumerate(names)]
+    df = spark.createDataFrame(rows, "id long, name string, latitude double, longitude double")
+    got = joins.match_nearby(df, df)
+    assert values(got, "left_id", "right_id") == sorted(brute_pairs(rows, rows, 10, 0.8), key=repr)
+    with pytest.raises(ValueError):
+        joins.match_nearby(df, df, min_ratio=0.6)
+
+
+def test_city_lookups_ignore_accents_and_take_long_names(spark):
+    import time
+
+    city = spark.createDataFrame([(5, "Brașov", 1), (6, "Brașov-Centru", 1), (7, "Târgu Mureș", 1), (8, "x" * 10_000, 2)], "id long, name string, county_id long")
+    rows = spark.createDataFrame([(1, "brasov", 1), (2, "Braşov-Sat", 1), (3, "targu-mures", 1), (4, "BRAŞOV", 2), (5, "x" * 9_000, 2), (6, "", 1)], "row int, said string, county long")
+    start = time.perf_counter()
+    got = joins.resolve_city(rows, city, F.col("said"), F.col("county"))
+    assert values(got, "row", "city_id") == [(1, 5), (2, None), (3, 7), (4, None), (5, 8), (6, 5)]
+    assert time.perf_counter() - start < 30
+    got = joins.resolve_city_prefix(rows, city, F.col("said"), F.col("county"))
+    assert values(got, "row", "city_id") == [(1, 6), (2, 6), (3, None), (4, None), (5, None), (6, 6)]
+
+
 def test_match_kinds(spark):
     points = spark.createDataFrame(
         [(2, "a", 1.0, 2.0), (1, "b", 1.0, 2.0), (3, "c", 5.0, 5.0)], "id long, title string, latitude double, longitude double"
@@ -240,7 +262,11 @@ def test_crawl_does_not_expand_failed_pages(spark):
 def test_files(spark, tmp_path):
     path = tmp_path / "list.csv"
     path.write_bytes('﻿Hotel ID,URL,City,Hotels\r\n1,"a,""b""\nc",Iași,\r\n'.encode())
-    assert values(files.read_listing_csv(spark, str(path)), "Hotel ID", "URL", "City", "Hotels") == [("1", 'a,"b"\nc', "Iași", None)]
+    assert values(files.read_listing_csv(spark, str(path), multi_line=True), "Hotel ID", "URL", "City", "Hotels") == [("1", 'a,"b"\nc', "Iași", None)]
+    (tmp_path / "other.csv").write_text("City,Stars,Hotel ID,URL\nIasi,3,7,http://u\n")
+    got = files.read_listing_csv(spark, str(tmp_path / "other.csv"))
+    assert got.columns == ["Hotel ID", "URL", "City", "Hotels", "Stars"]
+    assert [tuple(r) for r in got.collect()] == [("7", "http://u", "Iasi", None, "3")]
     (tmp_path / "empty.csv").write_bytes(b"")
     assert files.read_listing_csv(spark, str(tmp_path / "empty.csv")).count() == 0
     assert files.read_listing_csv(spark, str(tmp_path / "absent.csv")).count() == 0
@@ -250,3 +276,20 @@ def test_files(spark, tmp_path):
     (tmp_path / "img" / "county" / "sat - x").mkdir(parents=True)
     (tmp_path / "img" / "county" / "sat - x" / "1.jpg").write_bytes(b"123")
     assert values(files.image_inventory(spark, str(tmp_path / "img")), "path", "length") == [("county/sat - x/1.jpg", 3)]
+
+
+def test_keys_outlive_a_checkpoint(spark, tmp_path):
+    from placework.streaming.new_keys import read_new_keys, write_new_keys
+
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+
+    def feed(keys, checkpoint):
+        spark.createDataFrame([(k,) for k in keys], "k long").write.mode("append").parquet(source)
+        stream = spark.readStream.schema("k long").parquet(source)
+        write_new_keys(stream, ["k"], out, str(tmp_path / checkpoint)).awaitTermination()
+        return values(read_new_keys(spark, out, "k long"), "k")
+
+    assert feed([1, 2, 2], "one") == [(1,), (2,)]
+    assert feed([2, 3], "one") == [(1,), (2,), (3,)]
+    assert feed([3, 4], "two") == [(1,), (2,), (3,), (4,)]
+    assert feed([None, 4], "three") == [(1,), (2,), (3,), (4,), (None,)]

@@ -84,8 +84,37 @@ def test_first_value_of_a_label_counts(spark):
 
 def test_thumbnails_are_the_fallback(spark):
     thumbs = "".join(f"<a class='x hotel_thumbs_sprite' href='/max300/{i}'></a>" for i in range(15))
-    got = pages.listing_record(trees(spark, "<a class=hotel_thumbs_sprite href='#'></a>" + thumbs)).collect()[0]
-    assert got["images"] == [f"/max1024x768/{i}" for i in range(11)]
+    page = trees(spark, "<a class=hotel_thumbs_sprite href='#'></a>" + thumbs)
+    for limit, number in ((11, 11), (None, 15)):
+        got = pages.listing_record(page, limit).collect()[0]
+        assert got["images"] == [f"/max1024x768/{i}" for i in range(number)]
+
+
+def test_last_section_of_a_heading_counts_at_the_first_place(spark):
+    import json
+    import time
+
+    def section(head, item):
+        return f"<div class=facilitiesChecklistSection><h5>{head}</h5><ul><li>{item}</li></ul></div>"
+
+    body = section("b", 1) + section("a", 2) + section("b", 3)
+    got = pages.listing_record(trees(spark, body)).collect()[0]
+    assert got["facilities"] == '{"b":["3"],"a":["2"]}'
+    start = time.perf_counter()
+    df = spark.createDataFrame([("u", [(f"k{i % 20_000}", [str(i)]) for i in range(50_000)])], "url string, e array<struct<k:string,v:array<string>>>")
+    kept = pages._last_by_key(df, "e").collect()[0]["e"]
+    assert [e["k"] for e in kept] == [f"k{i}" for i in range(20_000)] and kept[5]["v"] == ["40005"]
+    assert time.perf_counter() - start < 20
+    assert json.loads(got["facilities"])["b"] == ["3"]
+
+
+def test_table_headings_keep_their_places(spark):
+    table = "<table><tr><th></th><th>A</th></tr><tr><td title=x data-k=1>1</td><td>2</td></tr></table>"
+    cells = lambda **kw: [(c["key"], c["text"], c["value"]) for c in pages.page_table(trees(spark, table), **kw).collect()[0]["cells"]]
+    assert cells() == [("", "1", "x"), ("a", "2", None)]
+    assert cells(skip_cells=1) == [("a", "2", None)]
+    several = pages.page_table(trees(spark, table), value_of=["title", "data-k"]).collect()[0]["cells"][0]["value"]
+    assert several.asDict() == {"title": "x", "data-k": "1"}
 
 
 def test_prices_in_text_order(spark):
