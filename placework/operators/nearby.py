@@ -100,17 +100,24 @@ def _met(a: DataFrame, b: DataFrame, min_ratio: float) -> DataFrame:
     return met.filter(F.col("__key") == first_key).drop("left_keys", "right_keys", "__key")
 
 
+def _sides(left: DataFrame, right: DataFrame, metres: float) -> tuple[DataFrame, DataFrame]:
+    cell = metres / METRES_PER_DEGREE
+    a = _with_cells(left.select(*VALUE).filter("name IS NOT NULL").distinct(), cell, 0)
+    return a, _with_cells(right.select(*VALUE).filter("name IS NOT NULL").distinct(), cell, 1)
+
+
 def nearby_pairs(left: DataFrame, right: DataFrame, metres: float = 10.0, min_ratio: float = LEAST_RATIO) -> DataFrame:
-    """Pairs of values within `metres` that can have a name ratio above `min_ratio` (0.8 or more).
+    """Pairs of values within `metres` whose name lengths allow a ratio above `min_ratio`.
 
-    Both sides need name, latitude, longitude.
+    Both sides need name, latitude, longitude. All names of neighbouring cells are paired, as the result asks for;
+    `match_nearby` is the form for crowded places.
     """
-    if min_ratio < LEAST_RATIO:
-        raise ValueError(f"min_ratio must be at least {LEAST_RATIO}")
-    cell = metres / METRES_PER_DEGREE
-    a = _with_cells(left.select(*VALUE).filter("name IS NOT NULL").distinct(), cell, 0)
-    b = _with_cells(right.select(*VALUE).filter("name IS NOT NULL").distinct(), cell, 1)
-    met = _met(a, b, min_ratio)
+    a, b = _sides(left, right, metres)
+    named = [df.select(*CELL, *[F.col(c).alias(f"{side}_{c}") for c in VALUE]) for df, side in ((a, "left"), (b, "right"))]
+    return _within(named[0].join(named[1], CELL), metres, min_ratio)
+
+
+def _within(met: DataFrame, metres: float, min_ratio: float) -> DataFrame:
     apart = distance_m(F.col("left_latitude"), F.col("left_longitude"), F.col("right_latitude"), F.col("right_longitude"))
     return (
         met.filter(similarity_bound(F.col("left_name"), F.col("right_name")) > min_ratio)
@@ -122,10 +129,12 @@ def nearby_pairs(left: DataFrame, right: DataFrame, metres: float = 10.0, min_ra
 def match_nearby(left: DataFrame, right: DataFrame, metres: float = 10.0, min_ratio: float = LEAST_RATIO) -> DataFrame:
     """Left rows with every near and similarly named right row: left_id, right_id, right columns, ratio.
 
-    Both sides need id, name, latitude, longitude. Equal names need no ratio; of the others each pair of
-    names reaches the Python kernel once, wherever and how often it occurs.
+    Both sides need id, name, latitude, longitude; min_ratio is 0.8 or more. Equal names need no ratio; of the others
+    each pair of names reaches the Python kernel once, wherever and how often it occurs.
     """
-    near = nearby_pairs(left, right, metres, min_ratio)
+    if min_ratio < LEAST_RATIO:
+        raise ValueError(f"min_ratio must be at least {LEAST_RATIO}")
+    near = _within(_met(*_sides(left, right, metres), min_ratio), metres, min_ratio)
     # Most pairs fall to the bound by edits, which needs no Python.
     can_match = similarity_bound_by_edits(F.col("left_name"), F.col("right_name")) > min_ratio - 1e-9
     pairs = written(near.filter((F.col("left_name") == F.col("right_name")) | can_match), "nearby-pairs")

@@ -97,9 +97,7 @@ def j3(spark, sf):
     return by_name.unionByName(by_code).select("c_custkey", "way", "county_id", "county_found")
 
 
-@query(
-    "j4_resolve_city",
-    f"""WITH {CITY_SQL},
+_J4_SQL = f"""WITH {CITY_SQL},
          s AS (SELECT c_custkey, lower(CASE WHEN c_mktsegment = 'BUILDING' THEN 'ation-' || c_nationkey
                  WHEN c_mktsegment = 'MACHINERY' THEN 'TION' ELSE 'none' END) AS said,
                  CASE WHEN c_acctbal < 0 THEN 2 ELSE n_regionkey END AS county
@@ -108,9 +106,25 @@ def j3(spark, sf):
                LEFT JOIN city a ON a.county_id = county AND contains(lower(a.name), said)
                LEFT JOIN city b ON b.county_id = county AND contains(lower(b.name), replace(said, '-', ' '))
                GROUP BY c_custkey)
-        SELECT c_custkey, coalesce(first, second) AS city_id FROM m""",
-)
+        SELECT c_custkey, coalesce(first, second) AS city_id FROM m"""
+
+
+@query("j4_resolve_city", _J4_SQL)
 def j4(spark, sf):
+    return _city_of_text(spark, sf, cities(spark, sf))
+
+
+@query("j4_accented_names", _J4_SQL)
+def j4_accents(spark, sf):
+    return _city_of_text(spark, sf, accented(cities(spark, sf)))
+
+
+def accented(city):
+    """The same cities with accents in their names, of both forms in use."""
+    return city.withColumn("name", F.translate("name", "AINRST", "ĂÎŃŔȘŢ"))
+
+
+def _city_of_text(spark, sf, city):
     said = (
         F.when(F.col("c_mktsegment") == "BUILDING", F.concat(F.lit("ATION-"), F.col("c_nationkey").cast("string")))
         .when(F.col("c_mktsegment") == "MACHINERY", "TION")
@@ -125,20 +139,29 @@ def j4(spark, sf):
         )
     )
     found = joins.resolve_city(
-        rows, cities(spark, sf), F.col("said"), F.col("county"), F.lit(2).cast("bigint")
+        rows, city, F.col("said"), F.col("county"), F.lit(2).cast("bigint")
     )
     return found.select("c_custkey", "city_id")
 
 
-@query(
-    "j5_resolve_city_prefix",
-    f"""WITH {CITY_SQL},
+_J5_SQL = f"""WITH {CITY_SQL},
          s AS (SELECT c_custkey, n_regionkey AS county, lower(n_name[1:6]) || '-' AS said
                FROM customer JOIN nation ON n_nationkey = c_nationkey)
         SELECT c_custkey, min(id) AS city_id FROM s
-        LEFT JOIN city ON county_id = county AND contains(lower(name), said) GROUP BY c_custkey""",
-)
+        LEFT JOIN city ON county_id = county AND contains(lower(name), said) GROUP BY c_custkey"""
+
+
+@query("j5_resolve_city_prefix", _J5_SQL)
 def j5(spark, sf):
+    return _city_of_prefix(spark, sf, cities(spark, sf))
+
+
+@query("j5_accented_names", _J5_SQL)
+def j5_accents(spark, sf):
+    return _city_of_prefix(spark, sf, accented(cities(spark, sf)))
+
+
+def _city_of_prefix(spark, sf, city):
     rows = table(spark, sf, "customer").join(
         table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey")
     )
@@ -146,7 +169,7 @@ def j5(spark, sf):
         "c_custkey", F.replace("n_name", F.lit("_"), F.lit("-Sat-")).alias("said"),
         F.col("n_regionkey").cast("bigint").alias("county"),
     )
-    found = joins.resolve_city_prefix(rows, cities(spark, sf), F.col("said"), F.col("county"))
+    found = joins.resolve_city_prefix(rows, city, F.col("said"), F.col("county"))
     return found.select("c_custkey", "city_id")
 
 
@@ -260,6 +283,25 @@ def j9(spark, sf):
     return matched.select("left_id", "right_id", "place_id", F.round("ratio", 6).alias("ratio"))
 
 
+@query(
+    "j9_match_built_names",
+    """WITH p AS (SELECT p_partkey, length(p_name) AS l, p_partkey % 12 AS k FROM part)
+       SELECT p_partkey AS left_id, p_partkey AS right_id, round(2.0::DOUBLE * l / (2 * l + k), 6) AS ratio
+       FROM p WHERE 2.0::DOUBLE * l / (2 * l + k) > 0.8""",
+)
+def j9_built(spark, sf):
+    """Names and themselves with letters added that occur in neither, each pair at a place of its own."""
+    part = table(spark, sf, "part").withColumn("k", (F.col("p_partkey") % 12).cast("int"))
+    at = [
+        F.col("p_partkey").alias("id"),
+        (40.0 + (F.col("p_partkey") % 1000) * 0.001).alias("latitude"),
+        (20.0 + F.floor(F.col("p_partkey") / 1000) * 0.001).alias("longitude"),
+    ]
+    left = part.select(*at, F.col("p_name").alias("name"))
+    right = part.select(*at, F.concat("p_name", F.repeat(F.lit("Z"), F.col("k"))).alias("name"))
+    return joins.match_nearby(left, right).select("left_id", "right_id", F.round("ratio", 6).alias("ratio"))
+
+
 @query(
     "j10_find_term",
     """WITH t AS (SELECT p_name AS name, p_brand AS taxonomy, p_partkey AS term_id FROM part),

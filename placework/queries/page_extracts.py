@@ -203,7 +203,7 @@ def h9(spark, sf):
        FROM customer JOIN nation ON c_nationkey = n_nationkey""",
 )
 def h10(spark, sf):
-    found = pages.listing_record(html_trees(listing_pages(spark, sf).select("page_id", "html")))
+    found = pages.listing_record(html_trees(listing_pages(spark, sf).select("page_id", "html")), thumb_limit=11)
     return found.withColumn("images", F.array_join("images", " "))
 
 

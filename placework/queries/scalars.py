@@ -36,6 +36,30 @@ def x2(spark, sf):
     )
 
 
+@query(
+    "x2_similarity_built",
+    """WITH p AS (SELECT p_partkey, length(p_name) AS l, p_partkey % 17 AS k, 1 + p_partkey % 7 AS i, 1 + p_partkey % 11 AS j FROM part)
+       SELECT p_partkey, round(2.0::DOUBLE * l / (2 * l + k), 6) AS padded,
+              round(greatest(i, j)::DOUBLE / (i + j), 6) AS swapped, 0.0::DOUBLE AS apart FROM p""",
+)
+def x2_built(spark, sf):
+    """Ratios that follow from how names are made: letters of neither added, halves swapped, no letter shared."""
+    key = F.col("p_partkey")
+    made = table(spark, sf, "part").select(
+        "p_partkey",
+        "p_name",
+        F.concat("p_name", F.repeat(F.lit("Z"), (key % 17).cast("int"))).alias("longer"),
+        F.repeat(F.lit("x"), (1 + key % 7).cast("int")).alias("x"),
+        F.repeat(F.lit("y"), (1 + key % 11).cast("int")).alias("y"),
+    )
+    return made.select(
+        "p_partkey",
+        F.round(text.similarity(F.col("p_name"), F.col("longer")), 6).alias("padded"),
+        F.round(text.similarity(F.concat("x", "y"), F.concat("y", "x")), 6).alias("swapped"),
+        text.similarity(F.col("x"), F.col("y")).alias("apart"),
+    )
+
+
 @query(
     "x3_hash_key",
     """SELECT page_id, sha256('(' || page_id || ', ''' || url || ''', None)') AS key,

@@ -27,6 +27,20 @@ def s1(spark, sf):
         F.lit(None).cast("string").alias("Hotels"),
     )
     rows.write.csv(folder, header=True, escape='"')
+    return files.read_listing_csv(spark, folder, multi_line=True)
+
+
+@query(
+    "s1_columns_by_header",
+    """SELECT p_partkey::VARCHAR AS "Hotel ID", p_name AS "URL", p_brand AS "City", NULL::VARCHAR AS "Hotels",
+              p_size::VARCHAR AS "Stars" FROM part""",
+)
+def s1_by_header(spark, sf):
+    folder = work_folder(spark, "csv")
+    rows = table(spark, sf, "part").select(
+        F.col("p_brand").alias("City"), F.col("p_size").alias("Stars"), F.col("p_name").alias("URL"), F.col("p_partkey").alias("Hotel ID")
+    )
+    rows.write.csv(folder, header=True)
     return files.read_listing_csv(spark, folder)
 
 
