@@ -8,6 +8,7 @@ from ..operators.aggregates import crawl_progress
 from ..operators.graph import crawl_frontier
 from ..schemas import CATALOGUE
 from ..session import work_folder
+from ..plans.crawl import crawl_pages, save_crawl
 from ..sources import files
 from ..streaming.new_keys import read_new_keys, stream_new_keys, write_new_keys
 from .registry import query, table
@@ -162,6 +163,41 @@ def g1(spark, sf):
     return crawl(spark, sf).select("url", "ok", "round")
 
 
+_STORED_SQL = """WITH RECURSIVE v(k, round) AS (
+         SELECT 0::BIGINT, 0 UNION ALL
+         SELECT 8 * v.k + i, round + 1 FROM v JOIN customer ON c_custkey = v.k AND c_nationkey <> 24, range(1, 9) t(i)),
+       w AS (SELECT 'http://h.ro/p' || k || '.html' AS url, coalesce(c_nationkey <> 24, false) AS ok, round
+             FROM v LEFT JOIN customer ON c_custkey = k)"""
+
+
+def _stored_crawl(spark, sf):
+    """customer keys as stored pages with links to eight others; pages of one nation have status 404, of another 301."""
+    key, nation = F.col("c_custkey"), F.col("c_nationkey")
+    links = F.transform(
+        F.sequence(8 * key + 1, 8 * key + 8), lambda k: F.concat(F.lit('<li><a class=x href="../p'), k.cast("string"), F.lit('.html">go</a>'))
+    )
+    pages = table(spark, sf, "customer").select(
+        F.concat(F.lit("http://h.ro/p"), key.cast("string"), F.lit(".html")).alias("url"),
+        F.when(nation == 24, 404).when(nation == 3, 301).otherwise(200).alias("status"),
+        F.concat(F.lit("<html><body><a href='http://a.ro/x.html'>out</a><a name=top>top</a><ul>"), F.array_join(links, ""),
+                 F.lit("</ul><p><a href=../p0.html>home</a> <a href='../p.pdf'>print</a></body></html>")).alias("html"),
+    )
+    seeds = spark.createDataFrame([("http://h.ro/p0.html",)], "url string")
+    return crawl_pages(spark, pages, seeds, "http://h.ro/")
+
+
+@query("g1_crawl_stored_pages", f"{_STORED_SQL} SELECT url, ok, round FROM w")
+def g1_stored(spark, sf):
+    return _stored_crawl(spark, sf).select("url", "ok", "round")
+
+
+@query("s4_crawl_sitemap", f"{_STORED_SQL} SELECT DISTINCT url AS loc FROM w WHERE ok")
+def s4_crawl(spark, sf):
+    folder = work_folder(spark, "crawled")
+    save_crawl(_stored_crawl(spark, sf), folder)
+    return files.read_sitemap(spark, f"{folder}/sitemap")
+
+
 @query(
     "a10_crawl_progress",
     f"""{_CRAWL_SQL} SELECT round, count(*) AS queued, count(*) FILTER (c_nationkey <> 24) AS visited,
