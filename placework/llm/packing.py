@@ -107,6 +107,12 @@ def pack_documents(docs: DataFrame, tokenizer: str, size: int = 1024, end_id: in
     )
     ranked = cut.withColumn("number", F.row_number().over(Window.partitionBy("length", "part").orderBy("uid", "start")))
     ranked = ranked.join(bases, ["length", "part"]).withColumn("rank", F.col("base") + F.col("number") - 1)
-    ranked = ranked.join(F.broadcast(places.withColumnRenamed("length", "place_length")), (F.col("length") == F.col("place_length")) & (F.col("low") <= F.col("rank")) & (F.col("rank") < F.col("high")))
-    out = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("first") + F.col("rank") - F.col("low")).alias("sequence_id"), "offset"]
-    return ranked.select(*out, *(["ids"] if keep_ids else []))
+    places = places.withColumnRenamed("length", "place_length")
+    here = (F.col("length") == F.col("place_length")) & (F.col("low") <= F.col("rank")) & (F.col("rank") < F.col("high"))
+    sequence = F.col("first") + F.col("rank") - F.col("low")
+    return ranked.join(F.broadcast(places), here).select(
+        *["doc_id", "start", "length", "ids_crc32", "doc_tokens"],
+        sequence.alias("sequence_id"),
+        "offset",
+        *(["ids"] if keep_ids else []),
+    )

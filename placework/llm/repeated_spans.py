@@ -38,20 +38,19 @@ _BYTE = seeded(31, 256)
 
 def _gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
     """Hash of the `gram` bytes from each place on, by doubling."""
-    total, have, factor = _BYTE[data], 1, U64(0x9E3779B97F4A7C15)
+    total, have, factor = _BYTE[data], 1, np.array([0x9E3779B97F4A7C15], U64)
     out, out_have = None, 0
-    with np.errstate(over="ignore"):
-        while True:
-            if gram & have:
-                if out is None:
-                    out, out_have = total, have
-                else:
-                    k = len(total) - out_have
-                    out, out_have = out[:k] * factor + total[out_have : out_have + k], out_have + have
-            if 2 * have > gram:
-                break
-            total, factor = total[:-have] * factor + total[have:], factor * factor
-            have *= 2
+    while True:
+        if gram & have:
+            if out is None:
+                out, out_have = total, have
+            else:
+                k = len(total) - out_have
+                out, out_have = out[:k] * factor + total[out_have : out_have + k], out_have + have
+        if 2 * have > gram:
+            break
+        total, factor = total[:-have] * factor + total[have:], factor * factor
+        have *= 2
     return out
 
 
@@ -60,7 +59,7 @@ def window_runs(data: bytes, size: int, gram: int) -> tuple[np.ndarray, np.ndarr
     n = len(data)
     if n < size:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U64)
-    hashes = _exact_hashes(np.frombuffer(data, np.uint8), gram)
+    hashes = mix(_gram_hashes(np.frombuffer(data, np.uint8), gram))
     width = size - gram + 1
     windows = n - size + 1
     # Least value over `width` grams by doubling; ties go to the left.
@@ -93,10 +92,6 @@ def window_runs(data: bytes, size: int, gram: int) -> tuple[np.ndarray, np.ndarr
     return np.array(starts), np.array(counts), np.array(values, U64)
 
 
-def _exact_hashes(data: np.ndarray, gram: int) -> np.ndarray:
-    return mix(_gram_hashes(data, gram))
-
-
 def _digest(data: bytes) -> bytes:
     return hashlib.blake2b(data, digest_size=16).digest()
 

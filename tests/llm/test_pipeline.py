@@ -41,6 +41,60 @@ def test_stages_follow_each_other(spark, folder):
     assert packed == before
 
 
+def test_stages_equal_brute_force(spark, folder, vocabulary):
+    """Each stage's decisions on what its predecessor kept, by comparing everything with everything."""
+    from test_tokens import check_packing
+
+    from placework.llm import dart_minhash, decontamination, quality
+
+    stages = dict(corpus_pipeline.STAGES)
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+
+    def run(name, docs):
+        stages[name](spark, docs, FOLDER).write.parquet(folder(name))
+        return spark.read.parquet(folder(name))
+
+    def texts_of(df):
+        return {r.doc_id: r.text or "" for r in df.collect()}
+
+    labels = spark.read.parquet(f"{FOLDER}/labels.parquet")
+    good = {r.doc_id for r in quality.quality_scores(docs, labels).collect() if r.score >= 0.7}
+    docs = run("quality", docs)
+    texts = texts_of(docs)
+    assert set(texts) == good
+    quality_of = {r.doc_id: r.quality for r in labels.collect()}
+    known = [quality_of[d] == (d in good) for d in texts_of(spark.read.parquet(f"{FOLDER}/documents.parquet")) if d in quality_of]
+    assert sum(known) / len(known) > 0.95
+
+    last = {}
+    for doc_id, text in sorted(texts.items()):
+        last[text] = doc_id
+    docs = run("exact_dedup", docs)
+    texts = texts_of(docs)
+    assert set(texts) == set(last.values())
+
+    ids = sorted(texts)
+    root = {d: d for d in ids}
+    for k, a in enumerate(ids):
+        found = dart_minhash.similarities([texts[a].encode()] * k, [texts[b].encode() for b in ids[:k]]) if k else []
+        for b, value in zip(ids, found):
+            if value >= 0.8:
+                low, high = sorted((root[a], root[b]))
+                root = {d: low if r == high else r for d, r in root.items()}
+    docs = run("near_dedup", docs)
+    texts = texts_of(docs)
+    assert set(texts) == set(root.values())
+
+    words = {d: decontamination.words_of([t])[0].tolist() for d, t in texts.items()}
+    items = [decontamination.words_of([r.text])[0].tolist() for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()]
+    leaked = {d for d, w in words.items() for i in items if decontamination.least_distance(i, w)[0] <= int(0.2 * len(i))}
+    docs = run("decontamination", docs)
+    texts = texts_of(docs)
+    assert leaked and set(texts) == set(words) - leaked
+
+    check_packing(stages["packing"](spark, docs, FOLDER).collect(), texts, vocabulary, 1024)
+
+
 def test_stages_on_hard_and_empty_tables(spark, hard):
     docs = hard.select("doc_id", "text", "score", "digest")
     for name, stage in corpus_pipeline.STAGES[:-1]:
