@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Fixed value: the address parts kept from a list of address components.
 ADDRESS_TYPES = (
@@ -174,6 +173,3 @@ def infer_value(text: Column) -> Column:
         number.alias("number"),
         F.when(~is_list & number.isNull(), text).alias("text"),
     )
-
-
-STRING_MAP = T.MapType(T.StringType(), T.StringType())

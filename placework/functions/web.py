@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 # Fixed value: host without scheme, `www.` and last suffix.
 PLATFORM_PATTERN = r"(?U)^(?:https?://)?(?:www\.)?((?:[\w|-]+\.)*[\w|-]+)(?:\.[a-z]+)"
 AUTHORITY_PATTERN = r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)"
+# Fixed value: address of a result page.
 RESULT_PAGE = "https://www.google.com/search?q="
 
 

@@ -37,15 +37,11 @@ def with_children(
 
 
 def with_dimensions(df: DataFrame, city: DataFrame, county: DataFrame) -> DataFrame:
-    """City and county attributes by foreign key; rows without a match stay."""
-    cities = city.select(
-        F.col("id").alias("city_id"), F.col("name").alias("city_name"), F.col("county_id").alias("__county")
-    )
-    counties = county.select(
-        F.col("id").alias("__county"),
-        F.col("name").alias("county_name"),
-        F.col("code").alias("county_code"),
-    )
+    """City and county attributes by foreign key; rows without a match stay, and none is multiplied by a repeated id."""
+    cities = city.groupBy(F.col("id").alias("city_id")).agg(F.min(F.struct("name", "county_id")).alias("c"))
+    cities = cities.select("city_id", F.col("c.name").alias("city_name"), F.col("c.county_id").alias("__county"))
+    counties = county.groupBy(F.col("id").alias("__county")).agg(F.min(F.struct("name", "code")).alias("c"))
+    counties = counties.select("__county", F.col("c.name").alias("county_name"), F.col("c.code").alias("county_code"))
     return (
         df.join(cities, "city_id", "left")
         .join(counties, "__county", "left")

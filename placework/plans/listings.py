@@ -46,7 +46,7 @@ def import_listings(
     """New state of the listings, and the new child rows.
 
     pages(url, html); places(id, name, latitude, longitude, place_id); details(place_id, url,
-    formatted_phone_number), one row per place; results(hotel_id, html) search result pages. Only pages of
+    formatted_phone_number), of which the first per place counts; results(hotel_id, html) search result pages. Only pages of
     listings that are not stored yet are parsed; with `priority_counties` only listings stored there are
     skipped, and the others are read again and replaced. `failed` lists new rows without a usable page.
     """
@@ -82,10 +82,13 @@ def import_listings(
     failed = fresh.join(listings.select("url").distinct(), "url", "left_anti").select("hotel_id", "url")
 
     named = listings.select(F.col("hotel_id").alias("id"), F.col("title").alias("name"), "latitude", "longitude")
+    # One row per place: a repeated one must not multiply listings.
+    of_place = details.groupBy("place_id").agg(F.min(F.struct("url", "formatted_phone_number")).alias("d"))
+    of_place = of_place.select("place_id", F.col("d.url").alias("place_url"), "d.formatted_phone_number")
     near = (
         match_nearby(named, places)
         .select(F.col("left_id").alias("hotel_id"), "right_id", "place_id")
-        .join(details.withColumnRenamed("url", "place_url"), "place_id")
+        .join(of_place, "place_id")
     )
     near = written(near, "near")
     # Of several near places the last one gives the place id and the phone.

@@ -131,6 +131,20 @@ def s8(spark, sf):
     return found.select(F.substring_index("path", "/", 1).alias("folder")).distinct()
 
 
+@query(
+    "s8_image_lengths",
+    """SELECT 'c_nationkey=' || c_nationkey AS folder, sum(length(c_name) + 1)::BIGINT AS bytes
+       FROM customer GROUP BY c_nationkey""",
+)
+def s8_lengths(spark, sf):
+    folder = work_folder(spark, "images")
+    table(spark, sf, "customer").select("c_nationkey", F.col("c_name").alias("value")).write.partitionBy(
+        "c_nationkey"
+    ).text(folder)
+    found = files.image_inventory(spark, folder).filter("path LIKE '%/part-%'")
+    return found.groupBy(F.substring_index("path", "/", 1).alias("folder")).agg(F.sum("length").alias("bytes"))
+
+
 def crawl(spark, sf):
     """customer keys as pages in a tree with eight links each, links back to the root and bad links."""
     key = F.col("c_custkey")

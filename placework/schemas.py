@@ -38,9 +38,3 @@ CATALOGUE = {
 }
 
 LISTING_CSV = "`Hotel ID` STRING, `URL` STRING, `City` STRING, `Hotels` STRING"
-PAGES = "page_id BIGINT, url STRING, status INT, html STRING"
-POSTS = "post_id BIGINT, post_type STRING, title STRING"
-POST_FIELD_ROWS = "post_id BIGINT, pos INT, key STRING, value STRING"
-TERMS = "taxonomy STRING, term_id BIGINT, name STRING, parent BIGINT"
-IMAGE_FILES = "path STRING, length BIGINT, width INT, height INT"
-EDGES = "src STRING, dst STRING"
