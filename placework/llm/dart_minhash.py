@@ -32,6 +32,9 @@ SHINGLE_WORDS = 5
 BANDS, BAND_ROWS = 25, 4
 COORDINATES = BANDS * BAND_ROWS
 NEIGHBOURS = 4
+# Marks are one bit of each coordinate, and those of two texts differ in (1 - J) / 2 of them: at the similarity in more than
+# this number of 100 with probability 2e-6, at a similarity of 0.3 in fewer with probability 0.02.
+MARKS_APART = 25
 # Rows of a bucket that one task orders; a larger bucket is cut by a hash.
 ORDERED_TOGETHER = 5000
 
@@ -107,6 +110,14 @@ def band_hashes(sketch: np.ndarray) -> np.ndarray:
     return mix(parts.sum(axis=2, dtype=U64) + seeded(13, BANDS)).view(np.int64)
 
 
+def sketch_marks(sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One bit of each coordinate, in two whole numbers."""
+    bits = (mix(sketch) >> U64(40)) & U64(1)
+    half = COORDINATES // 2
+    place = np.arange(half, dtype=U64)
+    return tuple((part << place).sum(axis=1, dtype=U64).view(np.int64) for part in (bits[:, :half], bits[:, half:]))
+
+
 def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part, texts in pieces(batch, "content"):
@@ -116,7 +127,10 @@ def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             offsets = np.concatenate([[0], np.cumsum(some * BANDS)]).astype(np.int32)
             kept = [part.column(i) for i in range(part.num_columns) if part.schema.names[i] != "content"]
             bands = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
-            yield pa.RecordBatch.from_arrays([*kept, bands], names=["uid", "doc_id", "digest", "bands"])
+            marks = sketch_marks(sketch) if some.any() else [np.zeros(len(texts), np.int64)] * 2
+            yield pa.RecordBatch.from_arrays(
+                [*kept, bands, *map(pa.array, marks)], names=["uid", "doc_id", "digest", "bands", "mark1", "mark2"]
+            )
 
 
 def similarities(left: list[bytes], right: list[bytes], size: int = SHINGLE_WORDS) -> np.ndarray:
@@ -164,12 +178,13 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     rows = docs.select(
         F.monotonically_increasing_id().alias("uid"), "doc_id", digest_of().alias("digest"), text_of().alias("content")
     )
-    sketched = written(rows.mapInArrow(_band_rows, "uid long, doc_id long, digest string, bands array<long>"), "near-bands")
+    bands = "uid long, doc_id long, digest string, bands array<long>, mark1 long, mark2 long"
+    sketched = written(rows.mapInArrow(_band_rows, bands), "near-bands")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid"))
     groups = sketched.groupBy("digest").agg(first.alias("first")).select("digest", F.col("first.uid").alias("text_uid"))
     of_text = written(sketched.join(groups, "digest").select("uid", "doc_id", "digest", "text_uid"), "near-texts")
     single = of_text.where("uid = text_uid").select("uid", "doc_id", "digest")
-    entries = sketched.join(single.select("uid"), "uid").select("uid", F.explode("bands").alias("bucket"))
+    entries = sketched.join(single.select("uid"), "uid").select("uid", "mark1", "mark2", F.explode("bands").alias("bucket"))
     leaders = entries.groupBy("bucket").agg(F.min("uid").alias("leader"), F.count("*").alias("n")).where("n > 1")
     shared = written(entries.join(leaders, "bucket"), "near-buckets")
 
@@ -178,20 +193,27 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     same = contents["doc_id"].eqNullSafe(wanted["id"]) & (contents["digest"] == wanted["digest"])
     texts = written(contents.join(wanted, same).select("uid", "text").dropDuplicates(["uid"]), "near-contents")
 
-    pairs = written(shared.where("uid <> leader").select(F.col("uid").alias("a"), F.col("leader").alias("b")).distinct(), "near-pairs")
+    # First each text with the least leader of its buckets: that joins most of a crowded group.
+    pairs = shared.where("uid <> leader").groupBy(F.col("uid").alias("a")).agg(F.min("leader").alias("b"))
+    pairs = written(pairs, "near-pairs")
     links = _verified(pairs, texts, similarity)
+    classes = link_classes(links, "near-classes").withColumnRenamed("id", "uid")
     tried, turn = pairs, 0
     while True:
-        classes = link_classes(links, "near-classes").withColumnRenamed("id", "uid")
         turn += 1
-        now = shared.join(classes, "uid", "left").select("bucket", "uid", "n", F.coalesce("root", "uid").alias("root"))
-        mixed = now.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+        now = shared.join(classes, "uid", "left").withColumn("root", F.coalesce("root", "uid")).drop("leader")
+        text = F.struct("uid", "root", "mark1", "mark2")
+        mixed = now.groupBy("bucket").agg(
+            F.min("root").alias("low"), F.max("root").alias("high"), F.min(text).alias("n0")
+        )
         cut = F.pmod(F.xxhash64("uid", F.lit(turn)), F.ceil(F.col("n") / ORDERED_TOGETHER))
         order = Window.partitionBy("bucket", "cut").orderBy(F.xxhash64("uid", "bucket", F.lit(turn)), "uid")
-        near = now.join(mixed.select("bucket"), "bucket").withColumn("cut", cut)
-        near = near.select("uid", "root", *[F.lead(F.struct("uid", "root"), k).over(order).alias(f"n{k}") for k in range(1, NEIGHBOURS + 1)])
-        near = near.select("uid", "root", F.explode(F.array(*[f"n{k}" for k in range(1, NEIGHBOURS + 1)])).alias("other"))
-        new = near.where("other is not null and other.root <> root").select(
+        near = now.join(mixed.where("low < high").select("bucket", "n0"), "bucket").withColumn("cut", cut)
+        next_ = [F.lead(text, k).over(order).alias(f"n{k}") for k in range(1, NEIGHBOURS + 1)]
+        near = near.select("uid", "root", "mark1", "mark2", "n0", *next_)
+        near = near.select("uid", "root", "mark1", "mark2", F.explode(F.array(*[f"n{k}" for k in range(NEIGHBOURS + 1)])).alias("other"))
+        apart = F.expr("bit_count(mark1 ^ other.mark1) + bit_count(mark2 ^ other.mark2)")
+        new = near.where("other is not null and other.root <> root").where(apart <= MARKS_APART).select(
             F.greatest("uid", "other.uid").alias("a"), F.least("uid", "other.uid").alias("b")
         )
         new = written(new.distinct().join(tried, ["a", "b"], "left_anti"), "near-pairs")
@@ -200,6 +222,9 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         found = _verified(new, texts, similarity)
         if found.isEmpty():
             break
+        # Classes are stars, so only the new links take rounds.
+        stars = classes.select(F.col("uid").alias("a"), F.col("root").alias("b")).union(found.select("a", "b"))
+        classes = link_classes(stars, "near-classes").withColumnRenamed("id", "uid")
         links, tried = links.union(found), tried.union(new)
 
     ends = links.select(F.explode(F.array("a", "b")).alias("text_uid")).groupBy("text_uid").agg(F.count("*").alias("n_links"))

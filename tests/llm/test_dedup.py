@@ -112,6 +112,16 @@ def test_sketches_estimate_similarity_whatever_the_weights():
     assert (sketch[0] == sketch[1]).mean() == pytest.approx(np.minimum(a, b).sum() / np.maximum(a, b).sum(), abs=0.03)
 
 
+def test_marks_of_similar_sets_are_near():
+    rng = np.random.default_rng(6)
+    shared, own = rng.integers(1, 1 << 60, 800).astype(np.uint64), rng.integers(1, 1 << 60, 200).astype(np.uint64)
+    elements = np.concatenate([np.append(shared, own[:100]), np.append(shared, own[100:]), own])
+    sketch, _ = D.dart_sketches(elements, np.ones(len(elements)), np.repeat([0, 1, 2], [900, 900, 200]), 3)
+    marks = [[bin(int(v) & (2**64 - 1)) for v in part] for part in D.sketch_marks(sketch)]
+    apart = lambda a, b: sum(bin(int(m[a], 2) ^ int(m[b], 2)).count("1") for m in marks)
+    assert apart(0, 1) <= D.MARKS_APART < apart(0, 2)
+
+
 def test_shingles_do_not_depend_on_the_batch():
     texts = [b"a b c d e f a b c d e", b"", b"x y", b" ", b"q " * 50]
     shingles, counts, owner = counted_shingles(texts)
