@@ -11,7 +11,9 @@ Bands of coordinates are joined, pairs are verified on all shingles, and links b
 text here, so a group of copies is never paired. In a bucket every text is compared with the bucket's first
 text; then texts that are still of different classes are compared with their neighbours in a random order of the bucket,
 and that is repeated with new orders until a round finds no link. So a bucket sends a number of pairs in proportion
-to its texts, whatever its size.
+to its texts, whatever its size. Texts of larger buckets that are still of different classes then go through an exact
+join on their rarest shingles (prefix filter): two texts at the similarity share one among the rarest of each, and
+what a crowd has in common comes last in the order, so it makes no pairs below the similarity.
 """
 
 from __future__ import annotations
@@ -37,6 +39,10 @@ NEIGHBOURS = 4
 MARKS_APART = 25
 # Rows of a bucket that one task orders; a larger bucket is cut by a hash.
 ORDERED_TOGETHER = 5000
+# Counters of shingles; shingles that share one are taken as equally frequent, which changes the order but no result.
+COUNTERS = 1 << 20
+# Candidates of the exact join that are looked at together, and in how many of them a group of rows is taken apart by class.
+LOOKED_AT, TAKEN_APART = 1 << 20, 1 << 16
 
 _FIRST_RANK = 0.25
 _WAY = seeded(11, 2)
@@ -165,6 +171,132 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return written(both.mapInArrow(_compare, "a long, b long, similarity double").where(F.col("similarity") >= least), "near-links")
 
 
+def _shingle_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(COUNTERS, np.int64)
+    for batch in batches:
+        for _, texts in pieces(batch, "text"):
+            shingles, _, _ = counted_shingles([t.encode() for t in texts], SHINGLE_WORDS)
+            counts += np.bincount((shingles % U64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+    some = np.flatnonzero(counts)
+    for k in range(0, len(some), 1 << 16):
+        slots = some[k : k + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(counts[slots])], names=["slot", "n"])
+
+
+def _prefixes(counts: np.ndarray, least: float):
+    """Rarest shingles of each text up to a share of 1 - least of its weight, with the weight before each."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in pieces(batch, "text"):
+                shingles, weights, owner = counted_shingles([t.encode() for t in texts], SHINGLE_WORDS)
+                times = counts[(shingles % U64(COUNTERS)).astype(np.int64)]
+                order = np.lexsort((shingles, times, owner))
+                shingles, weights, times = shingles[order], weights[order], times[order]
+                length = np.bincount(owner, weights, len(texts)).astype(np.int64)
+                before = np.cumsum(weights) - weights
+                starts = np.searchsorted(owner, np.arange(len(texts)))
+                before -= before[starts[owner]] if len(owner) else 0
+                # A shingle that no other text has is only weight.
+                at = np.flatnonzero((before <= (1 - least) * length[owner] + 1e-6) & (times > 1))
+                of = owner[at]
+                uid, root = (np.asarray(part.column(part.schema.get_field_index(c)))[of] for c in ("uid", "root"))
+                columns = (shingles[at].view(np.int64), uid, root, length[of], before[at])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=_PREFIX)
+
+    return rows
+
+
+_PREFIX = ["shingle", "uid", "root", "length", "before"]
+
+
+def _ranged(short, long, columns, least):
+    """Pairs (rows of columns) of a shorter and a longer text of one group and different classes that may be similar.
+
+    Texts of the lengths L and M at the similarity share least / (1 + least) * (L + M) of weight, and from their first
+    common shingle on each has at least that. `short` and `long` are rows in the order of group and length.
+    """
+    group, root, length, before = columns
+    share = least / (1 + least)
+    key = (group << 36) + length
+    most = np.floor(np.minimum((length[short] - before[short]) / share - length[short], length[short] / least) + 1e-6)
+    low = np.searchsorted(key[long], key[short], "left")
+    high = np.searchsorted(key[long], (group[short] << 36) + np.maximum(most, 0).astype(np.int64), "right")
+    counts = np.maximum(high - low, 0)
+    ends = np.cumsum(counts)
+    for k in range(0, int(ends[-1]) if len(ends) else 0, LOOKED_AT):
+        number = np.arange(k, min(k + LOOKED_AT, int(ends[-1])))
+        source = np.searchsorted(ends, number, "right")
+        a, b = short[source], long[low[source] + number - (ends - counts)[source]]
+        both = share * (length[a] + length[b]) - 1e-6
+        kept = (root[a] != root[b]) & (length[b] - before[b] >= both)
+        yield a[kept], b[kept]
+
+
+def _group_pairs(rows, columns, least):
+    """Pairs of one group: a class that has much of it is paired with the rest and leaves, so that few pairs are of one class."""
+    root = columns[1]
+    while len(rows):
+        roots, sizes = np.unique(root[rows], return_counts=True)
+        if sizes.max() * 8 <= len(rows):
+            break
+        of = root[rows] == roots[sizes.argmax()]
+        one, rest = rows[of], rows[~of]
+        yield from _ranged(one, rest, columns, least)
+        yield from _ranged(rest, one, columns, least)
+        rows = rest
+    yield from _ranged(rows, rows, columns, least)
+
+
+def _prefix_pairs(least: float):
+    def found(table: np.ndarray) -> Iterator[pa.RecordBatch]:
+        table = table[:, np.lexsort((table[3], table[0]))]
+        shingle, uid, root, length, before = table
+        new = np.concatenate([[True], shingle[1:] != shingle[:-1]])
+        starts = np.flatnonzero(new)
+        sizes = np.diff(np.append(starts, len(shingle)))
+        columns = (np.cumsum(new) - 1, root, length, before)
+        large = sizes.astype(np.int64) ** 2 > TAKEN_APART
+        small = np.flatnonzero(np.repeat(~large, sizes))
+        parts = [_ranged(small, small, columns, least)]
+        parts += [_group_pairs(np.arange(s, s + n), columns, least) for s, n in zip(starts[large], sizes[large])]
+        for part in parts:
+            for a, b in part:
+                pairs = np.unique(np.stack([np.maximum(uid[a], uid[b]), np.minimum(uid[a], uid[b])]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(p) for p in pairs], names=["a", "b"])
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, rows = [], 0
+        for batch in batches:
+            table = np.stack([np.asarray(c) for c in batch.columns]) if batch.num_rows else np.zeros((5, 0), np.int64)
+            waiting.append(table)
+            rows += table.shape[1]
+            if rows >= LOOKED_AT:
+                table = np.concatenate(waiting, axis=1)
+                # The last group may go on in the next batch.
+                last = int(np.searchsorted(table[0], table[0, -1], "left"))
+                if last:
+                    yield from found(table[:, :last])
+                waiting, rows = [table[:, last:]], table.shape[1] - last
+        if rows:
+            yield from found(np.concatenate(waiting, axis=1))
+
+    return pairs
+
+
+def _rare_pairs(crowded: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """All pairs (a > b) of the texts in crowded (uid, root) that may be similar and have different roots, none missing."""
+    bags = written(texts.join(crowded, "uid").select("uid", "root", "text"), "near-crowded")
+    counted = bags.select("text").mapInArrow(_shingle_counts, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    # One number per counter reaches the driver, whatever the size of the table.
+    seen = counted.where("n > 1").toArrow()
+    counts = np.ones(COUNTERS, np.int64)
+    counts[seen["slot"].to_numpy()] = seen["n"].to_numpy()
+    rare = bags.mapInArrow(_prefixes(counts, least), ", ".join(f"{c} long" for c in _PREFIX))
+    rare = rare.repartition("shingle").sortWithinPartitions("shingle")
+    return rare.mapInArrow(_prefix_pairs(least), "a long, b long").distinct()
+
+
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One row per row of docs: doc_id, class_id, class_size, n_links, kept, text_sha256.
 
@@ -227,6 +359,17 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         classes = link_classes(stars, "near-classes").withColumnRenamed("id", "uid")
         links, tried = links.union(found), tried.union(new)
 
+    # Buckets up to this size were compared whole; of the larger ones only texts of different classes are left.
+    crowded = now.where(F.col("n") > NEIGHBOURS + 1).join(mixed.where("low < high").select("bucket"), "bucket")
+    crowded = written(crowded.select("uid", "root").distinct(), "near-crowded")
+    if not crowded.isEmpty():
+        new = written(_rare_pairs(crowded, texts, similarity).join(tried, ["a", "b"], "left_anti"), "near-pairs")
+        found = _verified(new, texts, similarity)
+        if not found.isEmpty():
+            stars = classes.select(F.col("uid").alias("a"), F.col("root").alias("b")).union(found.select("a", "b"))
+            classes = link_classes(stars, "near-classes").withColumnRenamed("id", "uid")
+            links = links.union(found)
+
     ends = links.select(F.explode(F.array("a", "b")).alias("text_uid")).groupBy("text_uid").agg(F.count("*").alias("n_links"))
     of_class = classes.withColumnRenamed("uid", "text_uid")
     placed = of_text.join(of_class, "text_uid", "left").join(ends, "text_uid", "left")

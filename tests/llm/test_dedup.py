@@ -150,3 +150,25 @@ def test_link_classes(spark):
     assert got == {n: root[n] for n in linked}
     assert link_classes(spark.createDataFrame([], "a long, b long"), "test").collect() == []
     assert work_folder(spark, "x") != work_folder(spark, "x")
+
+
+def test_rare_pairs_lose_none(spark, monkeypatch):
+    r = random.Random(5)
+    words = [f"w{k}" for k in range(300)]
+    texts = []
+    for _ in range(30):
+        base = [r.choice(words) for _ in range(r.choice([3, 12, 80, 200]))]
+        for rate in (0, 0.005, 0.01, 0.02, 0.04):
+            texts.append(" ".join(r.choice(words) if r.random() < rate else w for w in base + base[: r.randrange(9)]))
+    texts = sorted(set(texts))
+    root = [k if r.random() < 0.5 else -r.randrange(3) for k in range(len(texts))]
+    want = {(a, b) for a in range(len(texts)) for b in range(a) if root[a] != root[b] and D.similarities([texts[a].encode()], [texts[b].encode()])[0] >= D.SIMILARITY}
+    assert len(want) > 60
+    rows = spark.createDataFrame(list(enumerate(texts)), "uid long, text string")
+    crowded = spark.createDataFrame(list(enumerate(root)), "uid long, root long")
+    for counters, apart in [(D.COUNTERS, D.TAKEN_APART), (64, 0)]:
+        monkeypatch.setattr(D, "COUNTERS", counters)
+        monkeypatch.setattr(D, "TAKEN_APART", apart)
+        monkeypatch.setattr(D, "LOOKED_AT", 1 << 20 if apart else 50)
+        got = {(x.a, x.b) for x in D._rare_pairs(crowded, rows, D.SIMILARITY).collect()}
+        assert want <= got and all(root[a] != root[b] for a, b in got)
