@@ -152,6 +152,59 @@ def test_link_classes(spark):
     assert work_folder(spark, "x") != work_folder(spark, "x")
 
 
+def crowd_texts(crowd=2400, planted=40, seed=8):
+    """Texts with a common template, 0.75 to 0.79 to each other, and pairs of them at about 0.81 that nothing else links."""
+    r = random.Random(seed)
+    template = [f"t{k}" for k in range(300)]
+    rows = []
+    for k in range(crowd):
+        own = [f"o{k}-{j}" for j in range(r.randint(39, 44))]
+        rows.append(" ".join(template + own))
+        if k < planted:
+            # 14 more words in common than the template: (296 + 14) / (2 * 335 - 310) and above.
+            rows.append(" ".join(template + own[:10] + [f"p{k}-{j}" for j in range(len(own) - 10)]))
+    order = list(range(len(rows)))
+    r.shuffle(order)
+    return [rows[k] for k in order]
+
+
+def all_links(texts, least=D.SIMILARITY):
+    """Links of all pairs, by a matrix of the shingles' weights."""
+    from collections import Counter, defaultdict
+
+    bags = [Counter(zip(*[t.split()[k:] for k in range(5)])) for t in texts]
+    have = defaultdict(list)
+    for k, bag in enumerate(bags):
+        for shingle, n in bag.items():
+            have[shingle].append((k, n))
+    shared = np.zeros((len(texts), len(texts)), np.int32)
+    crowds = Counter()
+    for rows in have.values():
+        if len(rows) == len(texts) and all(n == 1 for _, n in rows):
+            crowds["all"] += 1
+            continue
+        ids, counts = np.array([k for k, _ in rows]), np.array([n for _, n in rows], np.int32)
+        if len(ids) > 1:
+            shared[np.ix_(ids, ids)] += np.minimum.outer(counts, counts)
+    shared += crowds["all"]
+    total = np.array([sum(b.values()) for b in bags])
+    similar = shared / (np.add.outer(total, total) - shared)
+    return similar, {(a, b) for a, b in np.argwhere(similar >= least).tolist() if a < b}
+
+
+@pytest.mark.parametrize("neighbours, together", [(D.NEIGHBOURS, D.ORDERED_TOGETHER), (1, 50)])
+def test_pairs_inside_a_crowd_are_found(spark, monkeypatch, neighbours, together):
+    monkeypatch.setattr(D, "NEIGHBOURS", neighbours)
+    monkeypatch.setattr(D, "ORDERED_TOGETHER", together)
+    texts = crowd_texts()
+    similar, links = all_links(texts)
+    inside = similar[np.triu_indices(len(texts), 1)]
+    assert len(links) == 40 and 0.74 < inside.min() and np.median(inside) < 0.79 and similar[tuple(zip(*links))].max() < 0.85
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.class_id for r in D.near_classes(docs).collect()}
+    assert {(a, b) for b, a in got.items() if a != b} == links
+
+
 def test_rare_pairs_lose_none(spark, monkeypatch):
     r = random.Random(5)
     words = [f"w{k}" for k in range(300)]
