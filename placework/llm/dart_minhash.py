@@ -35,7 +35,7 @@ BANDS, BAND_ROWS = 25, 4
 COORDINATES = BANDS * BAND_ROWS
 NEIGHBOURS = 4
 # Marks are one bit of each coordinate, and those of two texts differ in (1 - J) / 2 of them: at the similarity in more than
-# this number of 100 with probability 2e-6, at a similarity of 0.3 in fewer with probability 0.02.
+# this number of 100 with probability 4e-6, at a similarity of 0.3 in fewer with probability 0.02.
 MARKS_APART = 25
 # Rows of a bucket that one task orders; a larger bucket is cut by a hash.
 ORDERED_TOGETHER = 5000
