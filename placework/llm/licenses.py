@@ -4,7 +4,8 @@ Texts are sequences of words (lower case, without ASCII punctuation). Runs of GR
 neighbouring hashes the least is a fingerprint (Schleimer, Wilkerson and Aiken, 2003), so any GRAM + WINDOW - 1 words
 that two texts share give a common one. The inverted index leads from a fingerprint to templates and places. Hits of a
 template on neighbouring diagonals of a document name a candidate, which is aligned in a band around them: matches
-count 2, replaced, added and missing words -1. Matches that cover enough of the template are reported.
+count 2, replaced, added and missing words -1. All matches of a candidate that do not overlap and cover enough of the
+template are reported.
 """
 
 from __future__ import annotations
@@ -121,7 +122,8 @@ def scan(index: Index, text: str | None, coverage: float = COVERAGE) -> list[tup
     while k < len(hits):
         template, low = int(hits[k, 0]), int(hits[k, 1])
         size = len(index.words[template])
-        band = max(BAND_WORDS, int(BAND_SHARE * size))
+        # Copies that touch are as many diagonals apart as the template has words.
+        band = min(max(BAND_WORDS, int(BAND_SHARE * size)), size - 1)
         stop = k + 1
         while stop < len(hits) and hits[stop, 0] == template and hits[stop, 1] <= low + band:
             stop += 1
@@ -134,9 +136,13 @@ def scan(index: Index, text: str | None, coverage: float = COVERAGE) -> list[tup
         run = words[max(begin, 0) : high + size + wide].tolist()
         # Places before the text are words that equal none.
         run = [-1] * max(-begin, 0) + run
-        matched, first, end = align(index.words[template], run, wide)
-        if matched >= coverage * size:
+        while True:
+            matched, first, end = align(index.words[template], run, wide)
+            if not matched or matched < coverage * size:
+                break
             found.append((template, matched, first + begin, end + begin))
+            # What was found equals no word any more.
+            run[first:end] = [-1] * (end - first)
     found.sort(key=lambda m: (-m[1], m[2], m[0]))
     kept: list[tuple[int, int, int, int]] = []
     for match in found:

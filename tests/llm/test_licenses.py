@@ -62,3 +62,16 @@ def test_hard_rows(spark, hard, empty):
     twice = spark.createDataFrame([(None, "All RIGHTS  reserved. x All rights reserved"), (2, "Licensed under CC BY-NC 4.0")], "doc_id long, text string")
     got = sorted((r.template, r.start, r.end) for r in L.license_matches(twice).collect())
     assert got == [("All-rights-reserved", 0, 21), ("All-rights-reserved", 24, 43), ("CC-BY-NC-notice", 0, 27)]
+
+
+def test_copies_that_touch():
+    index = L.Index(TEMPLATES)
+    for name, text in TEMPLATES.items():
+        own = words_of([text])[0]
+        for copies in (2, 5):
+            got = [m for m in L.scan(index, "before it " + " ".join([text] * copies) + " after it") if index.names[m[0]] == name]
+            assert [m[2:] for m in got] == [(2 + k * len(own), 2 + (k + 1) * len(own)) for k in range(copies)]
+    for before in ("", "all rights ", "rights reserved ", "reserved all "):
+        for between in ("", "all ", "rights reserved "):
+            text = before + between.join(["All rights reserved. "] * 4)
+            assert len([m for m in L.scan(index, text) if index.names[m[0]] == "All-rights-reserved"]) == 4
