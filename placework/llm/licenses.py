@@ -2,10 +2,10 @@
 
 Texts are sequences of words (lower case, without ASCII punctuation). Runs of GRAM words are hashed; of each WINDOW
 neighbouring hashes the least is a fingerprint (Schleimer, Wilkerson and Aiken, 2003), so any GRAM + WINDOW - 1 words
-that two texts share give a common one. The inverted index leads from a fingerprint to templates and places. Hits of a
-template on neighbouring diagonals of a document name a candidate, which is aligned in a band around them: matches
-count 2, replaced, added and missing words -1. All matches of a candidate that do not overlap and cover enough of the
-template are reported.
+that two texts share give a common one. For templates of fewer than SHORT words all runs of a document are taken. The
+inverted index leads from a fingerprint to templates and places. Hits of a template on neighbouring diagonals of a
+document name a candidate, which is aligned in a band around them: matches count 2, replaced, added and missing words -1.
+All matches of a candidate that do not overlap and cover enough of the template are reported.
 """
 
 from __future__ import annotations
@@ -25,8 +25,9 @@ GRAM, WINDOW = 2, 2
 COVERAGE = 0.8
 # Words by which a match may shift: at least, and as a share of the template.
 BAND_WORDS, BAND_SHARE = 3, 0.1
-# Share of a template's fingerprints that a candidate has; a match of the coverage above has more.
-HITS = 0.15
+# Share of a template's fingerprints that a candidate has. A match of the coverage above whose other words are replaced has
+# more: with fewer than SHORT words it may consist of runs of GRAM words, of which winnowing can drop each.
+HITS, SHORT = 0.15, 10
 
 _FILTER_BITS = 20
 _MASK = U64((1 << _FILTER_BITS) - 1)
@@ -66,17 +67,28 @@ class Index:
         self.keys = keys[order]
         self.owner = np.concatenate([*owner, np.zeros(0, np.int64)])[order].astype(np.int64)
         self.place = np.concatenate([*place, np.zeros(0, np.int64)])[order].astype(np.int64)
-        self.filter = np.zeros(1 << _FILTER_BITS, bool)
-        self.filter[self.keys & _MASK] = True
+        self.short = np.array([len(own) < SHORT for own in self.words], bool)[self.owner]
+        # Filters of the longer and of the short templates' runs.
+        self.filters = np.zeros((2, 1 << _FILTER_BITS), bool)
+        self.filters[self.short.astype(int), (self.keys & _MASK).astype(np.int64)] = True
+
+    def near(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes of runs of words that may be a template's, their places, and whether winnowing keeps them."""
+        grams = _grams(words, min(GRAM, max(len(words), 1)))
+        winnowed = np.zeros(len(grams), bool)
+        winnowed[fingerprints(words)[1]] = True
+        slots = (grams & _MASK).astype(np.int64)
+        places = np.flatnonzero((winnowed & self.filters[0][slots]) | self.filters[1][slots])
+        return grams[places], places, winnowed[places]
 
     def hits(self, words: np.ndarray) -> np.ndarray:
         """Rows (template, diagonal, place in the document) by template and diagonal."""
-        prints, places = fingerprints(words)
-        open_ = self.filter[prints & _MASK]
-        prints, places = prints[open_], places[open_]
+        prints, places, winnowed = self.near(words)
         low, high = np.searchsorted(self.keys, prints, "left"), np.searchsorted(self.keys, prints, "right")
         source = np.repeat(np.arange(len(prints)), high - low)
         entry = low[source] + np.arange(len(source)) - np.repeat(np.cumsum(high - low) - (high - low), high - low)
+        taken = winnowed[source] | self.short[entry]
+        source, entry = source[taken], entry[taken]
         rows = np.stack([self.owner[entry], places[source] - self.place[entry], places[source]], axis=1)
         return rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
 
@@ -171,8 +183,7 @@ def license_matches(docs: DataFrame, templates: dict[str, str] | None = None, co
                 ids, rows = part.column(part.schema.get_field_index("doc_id")).to_pylist(), []
                 words, offsets = words_of(texts)
                 # Only texts that share a fingerprint with a template are looked at one by one.
-                prints, places = fingerprints(words)
-                near = places[index.filter[prints & _MASK]] if len(words) else places
+                near = index.near(words)[1]
                 named = np.searchsorted(offsets, near, "right") - 1
                 # A text as short as a window has no window of its own among the others' words.
                 short = np.flatnonzero(np.diff(offsets) < GRAM + WINDOW)

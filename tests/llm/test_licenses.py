@@ -75,3 +75,19 @@ def test_copies_that_touch():
         for between in ("", "all ", "rights reserved "):
             text = before + between.join(["All rights reserved. "] * 4)
             assert len([m for m in L.scan(index, text) if index.names[m[0]] == "All-rights-reserved"]) == 4
+
+
+def test_short_templates_with_a_replaced_word(spark):
+    index = L.Index(TEMPLATES)
+    rows = []
+    for name, text in TEMPLATES.items():
+        words = text.split()
+        if len(words_of([text])[0]) != 5:
+            continue
+        for k in range(300):
+            other = [*words[:2], f"n{k}", *words[3:]]
+            rows.append((len(rows), f"z{k} " + " ".join(other) + f" y{k}"))
+            assert any(m[1] == 4 for m in L.scan(index, rows[-1][1])), rows[-1]
+    assert len(rows) >= 600
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r.doc_id for r in L.license_matches(docs).collect()} == {k for k, _ in rows}
