@@ -1,4 +1,7 @@
-"""Public licence texts and notices that are searched for. The wording is the licences' own."""
+"""Parts of public licence texts, headers and notices that are searched for; README says which parts.
+
+Fixed values: the wording is the licences' own, but the texts are shortened, and coverage is that of the part given here.
+"""
 
 TEMPLATES: dict[str, str] = {
     "MIT-text": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
