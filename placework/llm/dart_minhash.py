@@ -266,18 +266,20 @@ def _prefix_pairs(least: float):
                 yield pa.RecordBatch.from_arrays([pa.array(p) for p in pairs], names=["a", "b"])
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting, rows = [], 0
+        waiting, rows, enough = [], 0, LOOKED_AT
         for batch in batches:
             table = np.stack([np.asarray(c) for c in batch.columns]) if batch.num_rows else np.zeros((5, 0), np.int64)
             waiting.append(table)
             rows += table.shape[1]
-            if rows >= LOOKED_AT:
+            if rows >= enough:
                 table = np.concatenate(waiting, axis=1)
                 # The last group may go on in the next batch.
                 last = int(np.searchsorted(table[0], table[0, -1], "left"))
                 if last:
                     yield from found(table[:, :last])
                 waiting, rows = [table[:, last:]], table.shape[1] - last
+                # A group larger than that is put together few times.
+                enough = max(LOOKED_AT, 2 * rows)
         if rows:
             yield from found(np.concatenate(waiting, axis=1))
 
