@@ -7,13 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import work_folder
+from .conversation_repair import planted_report
 from .dart_minhash import near_classes
 from .decontamination import benchmark_matches
 from .exact_dedup import exact_groups
 from .licenses import license_matches
 from .main_text import extract_main_text
 from .packing import pack_documents
+from .periodic_runs import periodic_runs, run_digests, with_planted_period
 from .personal_data import personal_data
+from .piece_codes import code_digests
 from .quality import quality_scores
 from .repeated_spans import remove_repeats
 from .token_counts import count_tokens
@@ -93,3 +96,18 @@ def op9_packed_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_matches(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op11_piece_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code_digests(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
+@_query
+def op12_repaired_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return planted_report(table(spark, sf_dir, "conversations"))
+
+
+@_query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digests(periodic_runs(with_planted_period(table(spark, sf_dir, "documents"))))

@@ -38,3 +38,8 @@ def hard(spark):
 @pytest.fixture
 def empty(hard):
     return hard.limit(0)
+
+
+@pytest.fixture
+def sf_dir():
+    return "/root/testdata/sf0.001"
