@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .windows import first_per_key, number_all
+from ..session import written
+from .windows import first_per_key, number_all, number_by_hash
 
 
 def upsert(target: DataFrame, rows: DataFrame, key: str = "id", ordinal: str | None = None) -> DataFrame:
@@ -36,6 +37,46 @@ def assign_ids(rows: DataFrame, stored: DataFrame, order, key: str = "id") -> Da
     return number_all(rows.drop(key), order, name=key, start=1).withColumn(key, F.col(key) + highest)
 
 
+def assign_ids_by_hash(rows: DataFrame, stored: DataFrame, unique: list[str], key: str = "id") -> DataFrame:
+    """The same in the order of a hash of columns that are unique together; rows are computed once."""
+    highest = stored.agg(F.coalesce(F.max(key), F.lit(0)).alias("m")).scalar()
+    return number_by_hash(rows.drop(key), unique, name=key, start=1).withColumn(key, F.col(key) + highest)
+
+
+def replace_children(
+    stored: DataFrame, fresh: DataFrame, slots: DataFrame, on: list[str], passing: tuple[str, ...] = (), key: str = "id"
+) -> DataFrame:
+    """The child table after the rows of some slots were read again.
+
+    A slot is what is replaced as a whole, named by the columns `on`: all children of a parent, or those of one type.
+    Stored rows of the given slots go, fresh rows come; rows of other slots stay as they are. A fresh row equal to a
+    stored one of its slot in all columns but the key and the `passing` ones (time stamps) keeps that row's key, others
+    get keys that follow the highest stored one, in the order of the columns. So the same rows read twice change nothing.
+    Equal fresh rows are one. Fresh rows of a slot that is not given are not written; a NULL in `on` is a value.
+    """
+    columns = [c for c in stored.columns if c != key]
+    compared = [c for c in columns if c not in passing]
+    missing = [F.lit(None).cast(stored.schema[c].dataType).alias(c) for c in columns if c not in fresh.columns]
+    present = [F.col(c).cast(stored.schema[c].dataType).alias(c) for c in columns if c in fresh.columns]
+    changed = slots.select(*[F.col(c).alias(f"__{c}") for c in on]).distinct()
+
+    def of_slot(rows: DataFrame) -> list:
+        return [rows[c].eqNullSafe(changed[f"__{c}"]) for c in on]
+
+    incoming = fresh.select(*present, *missing)
+    incoming = incoming.join(changed, of_slot(incoming), "left_semi")
+    latest = [F.max(c).alias(c) for c in columns if c in passing]
+    incoming = incoming.groupBy(*compared).agg(*latest) if latest else incoming.distinct()
+    out_of_place = stored.join(changed, of_slot(stored), "left_semi")
+    known = out_of_place.groupBy(*[F.col(c).alias(f"__{c}") for c in compared]).agg(F.min(key).alias(key))
+    same = [incoming[c].eqNullSafe(known[f"__{c}"]) for c in compared]
+    matched = written(incoming.join(known, same, "left").select(key, *columns), "children")
+    again = matched.filter(F.col(key).isNotNull())
+    added = assign_ids(matched.filter(F.col(key).isNull()), stored, compared, key)
+    kept = stored.join(changed, of_slot(stored), "left_anti")
+    return kept.unionByName(again).unionByName(added)
+
+
 def delete_by_id(target: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
     return target.join(ids.select(key).distinct(), key, "left_anti")
 

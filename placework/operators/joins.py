@@ -8,6 +8,8 @@ measured size is below the session threshold and sorts and merges beyond it.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,37 +72,83 @@ def resolve_county(
 
 
 GRAM = 3
+# How often runs of letters occur in names is counted in so many places; runs that share one count together.
+RUN_COUNTS = 16_384
+
+
+def _runs(name: Column, size: int) -> Column:
+    """All runs of `size` letters of a text that has at least as many."""
+    starts = F.sequence(F.lit(1), F.length(name) - (size - 1))
+    return F.when(F.length(name) >= size, F.transform(starts, lambda at: F.substring(name, at, F.lit(size))))
 
 
-def _grams(name: Column) -> Column:
-    """Runs of up to GRAM letters of a name, and the empty one."""
-    starts = F.sequence(F.lit(1), F.greatest(F.length(name), F.lit(1)))
+def _place(run: Column) -> Column:
+    return F.pmod(F.xxhash64(run), F.lit(RUN_COUNTS)).cast("int")
 
-    def runs(size: int) -> Column:
-        return F.transform(starts, lambda at: F.substring(name, at, F.lit(size)))
 
-    return F.array_distinct(F.concat(F.array(F.lit("")), *[runs(n) for n in range(1, GRAM + 1)]))
+def _run_levels(names: DataFrame) -> Column:
+    """How common each run of GRAM letters is in the names, by place: RUN_COUNTS bytes, six steps for each doubling."""
+    runs = names.select(F.explode(F.array_distinct(_runs(F.col("__name"), GRAM))).alias("run"))
+    counted = runs.groupBy(_place(F.col("run")).alias("at")).agg(F.count("*").alias("n")).collect()
+    levels = bytearray(RUN_COUNTS)
+    for row in counted:  # at most RUN_COUNTS rows
+        levels[row["at"]] = min(255, int(6 * math.log2(row["n"] + 1)))
+    return F.lit(bytes(levels))
+
+
+def _names_by_run(names: DataFrame) -> DataFrame:
+    """(county, run) -> ids and names that contain it.
+
+    A text of GRAM letters or more is looked up by a run of GRAM letters. Shorter texts are runs themselves, so for
+    those the lowest id is the answer and the list has one entry.
+    """
+    every = F.concat(
+        F.array(F.lit("")), *[F.coalesce(_runs(F.col("__name"), n), F.array().cast("array<string>")) for n in range(1, GRAM + 1)]
+    )
+    entry = F.struct(F.col("__id").alias("id"), F.col("__name").alias("name"))
+    exploded = names.select("__in", entry.alias("__entry"), F.explode(F.array_distinct(every)).alias("__run"))
+    short = F.length("__run") < GRAM
+    first, longer = F.min(F.when(short, F.col("__entry"))), F.collect_list(F.when(~short, F.col("__entry")))
+    return exploded.groupBy("__in", "__run").agg(F.when(first.isNotNull(), F.array(first)).otherwise(longer).alias("__names"))
+
+
+def _lowest_holding(names: Column, text: Column) -> Column:
+    return F.array_min(F.transform(F.filter(names, lambda n: F.contains(n["name"], text)), lambda n: n["id"]))
 
 
 def find_contained(
-    df: DataFrame, city: DataFrame, text: Column, within: Column | None, out: str, name: str = "name"
+    df: DataFrame, city: DataFrame, texts: list[Column], within: Column | None, out: str, name: str = "name"
 ) -> DataFrame:
-    """The lowest id of a city whose name contains the text, inside a county when `within` is given; else NULL.
+    """The lowest id of a city whose name contains the first text, else of one that contains the next, ...; else NULL.
 
-    As the comparison of names: without case and accents. Distinct texts meet names on the first GRAM letters of the
-    text, which every name that contains it has among its own runs; rows without a text are not looked up.
+    Inside a county when `within` is given. Compared as names are: without case and accents. Rows are read once: each
+    text of a row looks up the names that share its rarest run of GRAM letters, of which one list per county and
+    run is kept, and the names of the list are compared in the row. The row side is the one that may be skewed. A list is as
+    long as the names of one county with the same run; texts that are shorter than a run need one entry only.
     """
-    wanted = df.withColumns({"__text": normal_name(text), "__in": F.lit(0) if within is None else within})
-    county = F.lit(0) if within is None else F.col("county_id")
-    names = city.select(county.alias("__in"), F.col("id").alias("__id"), normal_name(F.col(name)).alias("__name"))
-    names = names.filter("__name IS NOT NULL").select("*", F.explode(_grams(F.col("__name"))).alias("__gram"))
-    probes = wanted.filter("__text IS NOT NULL AND __in IS NOT NULL").select("__in", "__text").distinct()
-    probes = probes.withColumn("__gram", F.substring("__text", 1, GRAM))
-    hits = probes.join(names, ["__in", "__gram"]).filter(F.contains("__name", "__text"))
-    found = hits.groupBy("__in", "__text").agg(F.min("__id").alias(out))
-    asked = F.col("__text").isNotNull() & F.col("__in").isNotNull()
-    rest = wanted.filter(~asked).withColumn(out, F.lit(None).cast(city.schema["id"].dataType))
-    return wanted.filter(asked).join(found, ["__in", "__text"], "left").unionByName(rest).drop("__in", "__text")
+    names = city.select(
+        (F.lit(0) if within is None else F.col("county_id")).alias("__in"),
+        F.col("id").alias("__id"),
+        normal_name(F.col(name)).alias("__name"),
+    ).filter("__name IS NOT NULL AND __in IS NOT NULL")
+    levels, index = _run_levels(names), _names_by_run(names)
+    rows = df.withColumn("__in", F.lit(0) if within is None else within)
+    rows = rows.withColumns({f"__text{k}": normal_name(text) for k, text in enumerate(texts)})
+    found = []
+    for k in range(len(texts)):
+        text = F.col(f"__text{k}")
+        if k:
+            # A text that was tried already is not tried again.
+            text = F.when(~F.coalesce(text.eqNullSafe(F.col(f"__text{k - 1}")), F.lit(False)), text)
+        ranked = F.transform(
+            _runs(text, GRAM), lambda r: F.struct(F.substring(levels, _place(r) + 1, F.lit(1)).alias("level"), r.alias("run"))
+        )
+        run = F.when(F.length(text) < GRAM, text).otherwise(F.array_min(ranked)["run"])
+        list_k = index.select(F.col("__in"), F.col("__run").alias(f"__run{k}"), F.col("__names").alias(f"__names{k}"))
+        rows = rows.withColumn(f"__run{k}", run).join(list_k, ["__in", f"__run{k}"], "left")
+        found.append(_lowest_holding(F.col(f"__names{k}"), F.col(f"__text{k}")))
+    kept = [F.col(f"`{c}`") for c in df.columns if c != out]
+    return rows.select(*kept, F.coalesce(*found).alias(out))
 
 
 def resolve_city(
@@ -120,17 +168,13 @@ def resolve_city(
     if within is not None and default_county_id is not None:
         within = F.coalesce(county_id, default_county_id)
     spaced = F.replace(text, F.lit("-"), F.lit(" "))
-    found = find_contained(df, city, text, within, "__first", name)
-    # The second try is only looked up where it can differ.
-    second = F.when(F.col("__first").isNull() & (spaced != text), spaced)
-    found = find_contained(found, city, second, within, "__second", name)
-    return found.withColumn("city_id", F.coalesce("__first", "__second")).drop("__first", "__second")
+    return find_contained(df, city, [text, spaced], within, "city_id", name)
 
 
 def resolve_city_prefix(df: DataFrame, city: DataFrame, text: Column, county_id: Column, name: str = "name") -> DataFrame:
     """`city_id` by the text before the first `-`, plus `-`, inside the county. Case and accents do not count."""
     wanted = F.concat(F.substring_index(text, "-", 1), F.lit("-"))
-    return find_contained(df, city, wanted, county_id, "city_id", name)
+    return find_contained(df, city, [wanted], county_id, "city_id", name)
 
 
 def skip_known(new: DataFrame, existing: DataFrame, key: str) -> DataFrame:

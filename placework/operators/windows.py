@@ -84,21 +84,47 @@ def number_within(
     )
 
 
-def number_all(df: DataFrame, order, name: str = "n", start: int = 0) -> DataFrame:
-    """Running number over the whole input without gathering it: ranges of the order, as for one group."""
-    ranged, orders = _ranged(df, [], _orders(order))
+def _numbered_parts(parts: DataFrame, name: str, start: int) -> DataFrame:
+    """Rows with their place (from 0) in a numbered part, `__n` and `__part` -> running number over all parts."""
     earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    # One row per range, and there are as many ranges as shuffle partitions.
     before = (
-        ranged.groupBy("__part")
+        parts.groupBy("__part")
         .agg(F.count("*").alias("__rows"))
         .select(F.col("__part").alias("__p"), F.coalesce(F.sum("__rows").over(earlier), F.lit(0)).alias("__before"))
     )
-    return (
-        ranged.withColumn("__n", F.row_number().over(Window.partitionBy("__part").orderBy(*orders)))
-        .join(F.broadcast(before), F.col("__part") == F.col("__p"))
-        .select(*df.columns, (F.col("__n") + F.col("__before") + F.lit(start - 1)).alias(name))
-    )
+    # One row per part; there are as many parts as shuffle partitions or slices.
+    joined = parts.join(F.broadcast(before), F.col("__part") == F.col("__p"))
+    kept = [c for c in parts.columns if c not in ("__part", "__n")]
+    return joined.select(*kept, (F.col("__n") + F.col("__before") + F.lit(start)).alias(name))
+
+
+def number_all(df: DataFrame, order, name: str = "n", start: int = 0) -> DataFrame:
+    """Running number over the whole input without gathering it.
+
+    Rows are dealt by ranges of the order and sorted there, so the place inside a range is that in its file; numbers are
+    shifted by the rows of the ranges before. Ties are told apart by a digest of the row.
+    """
+    plain = [f.name for f in df.schema.fields if isinstance(f.dataType, T.AtomicType)]
+    orders = [*_orders(order), F.xxhash64(*[F.col(f"`{c}`") for c in plain])]
+    dealt = df.repartitionByRange(*orders).sortWithinPartitions(*orders)
+    # The low 33 bits of this id count the rows of a partition.
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    parts = written(dealt.select("*", F.spark_partition_id().alias("__part"), place.alias("__n")), "ranges")
+    return _numbered_parts(parts, name, start)
+
+
+SLICES = 4096
+
+
+def number_by_hash(df: DataFrame, key: list[str], name: str = "n", start: int = 0) -> DataFrame:
+    """Running number in the order of a hash of the key, which should be unique: any fixed order will do.
+
+    Hashes fill their range evenly, so equal slices of it need no sample of the input, which is computed once.
+    """
+    hash_ = F.xxhash64(*key)
+    sliced = df.withColumn("__part", F.shiftright(hash_, 64 - (SLICES.bit_length() - 1)).cast("int"))
+    ordered = Window.partitionBy("__part").orderBy(hash_, *key)
+    return _numbered_parts(written(sliced.withColumn("__n", F.row_number().over(ordered) - 1), "slices"), name, start)
 
 
 def collect_in_chunks(

@@ -10,7 +10,7 @@ from ..functions.records import place_key
 from ..functions.text import normal_name, parse_grouped_int, slugify
 from ..functions.web import point_from_map_link
 from ..operators.aggregates import incomplete_groups
-from ..operators.changes import assign_ids, fresh_rows, update_by_id
+from ..operators.changes import assign_ids_by_hash, fresh_rows, update_by_id
 from ..operators.html import html_trees
 from ..operators.joins import resolve_city, resolve_city_prefix, resolve_county
 from ..operators.pages import attr, cell, detail_fields, find_all, first, has_class, page_table
@@ -44,7 +44,9 @@ def list_rows(pages: DataFrame) -> DataFrame:
 def _add_rows(
     rows: DataFrame, city: DataFrame, county: DataFrame, existing: DataFrame, default_county: Column | None
 ) -> DataFrame:
-    fresh = fresh_rows(existing, rows.filter("url IS NOT NULL"), "url", ["page_id", "row_no"])
+    # The parsed rows are a table before anything is looked up: pages are parsed once.
+    rows = written(rows.filter("url IS NOT NULL"), "listed")
+    fresh = fresh_rows(existing, rows, "url", ["page_id", "row_no"])
     found = resolve_county(fresh, county, name=F.col("county_text")).withColumnRenamed("county_id", "said_county")
     found = resolve_city(found, city, F.col("city_text"), F.col("said_county"), default_county)
     of_city = city.select(F.col("id").alias("city_id"), "county_id")
@@ -62,9 +64,7 @@ def _add_rows(
         "url",
         F.lit("new").alias("stage"),
     )
-    # Ids follow the hash of the address, which spreads evenly over the slices of the numbering.
-    added = written(added.withColumn("__at", F.xxhash64("url")), "added")
-    return assign_ids(added, existing, ["__at", "url"]).drop("__at")
+    return assign_ids_by_hash(added, existing, ["url"])
 
 
 def ingest_catalogue(pages: DataFrame, city: DataFrame, county: DataFrame, existing: DataFrame) -> DataFrame:
@@ -109,7 +109,7 @@ def enrich_details(rows: DataFrame, pages: DataFrame, city: DataFrame, county: D
     usable, _ = load_pages(wanted)
     link = first(find_all(F.col("nodes"), "a", where=lambda n: has_class(n, MAP_LINK_CLASS)))
     trees = html_trees(usable.select("url", "html")).withColumn("point", point_from_map_link(attr(link, "href")))
-    fields = first_per_key(detail_fields(trees), ["url"], ["address", "contacts"]).select(
+    fields = first_per_key(written(detail_fields(trees), "details"), ["url"], ["address", "contacts"]).select(
         "url",
         F.col("county").alias("page_county"),
         F.col("city").alias("page_city"),
@@ -127,7 +127,7 @@ def enrich_details(rows: DataFrame, pages: DataFrame, city: DataFrame, county: D
     ).withColumnRenamed("city_id", "new_city")
     latitude, longitude = F.col("point.latitude"), F.col("point.longitude")
     can_key = latitude.isNotNull() & longitude.isNotNull()
-    done = written(located.filter(~F.col("needs_key") | can_key), "enriched")
+    done = located.filter(~F.col("needs_key") | can_key)
     rekeyed = F.col("needs_key")
     changes = done.select(
         "id",

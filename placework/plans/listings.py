@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.records import place_key
 from ..functions.text import first_number, slugify, title_from_slug
 from ..functions.web import listing_url, platform_of_url
-from ..operators.changes import assign_ids, upsert
+from ..operators.changes import assign_ids, replace_children, upsert
 from ..operators.html import html_trees
 from ..operators.joins import match_nearby, resolve_city, skip_known, with_dimensions
 from ..operators.pages import json_ld, listing_record, result_prices
 from ..operators.sets import platform_rows
 from ..operators.windows import first_per_key
+from ..schemas import CATALOGUE
 from ..session import written
+from .outputs import Outputs
 
 FACILITY_TYPES = {"facilities": "facilities", "capacity": "capacity", "vecinity": "surroundings"}
 CONTENT_TYPES = ("short_description", "long_description")
@@ -31,6 +35,13 @@ def csv_rows(csv: DataFrame) -> DataFrame:
     return first_per_key(rows.filter("hotel_id IS NOT NULL"), ["hotel_id"], ["url", "title"])
 
 
+CHILDREN = {
+    "platforms": "booking_listings_platform",
+    "facilities": "booking_listings_facility",
+    "contents": "booking_listings_content",
+}
+
+
 def import_listings(
     csv: DataFrame,
     pages: DataFrame,
@@ -42,94 +53,108 @@ def import_listings(
     existing: DataFrame,
     stamp,
     priority_counties: list[int] | None = None,
-) -> dict[str, DataFrame]:
-    """New state of the listings, and the new child rows.
+    children: dict[str, DataFrame] | None = None,
+) -> Outputs:
+    """New state of the listings and of their child tables `platforms`, `facilities` and `contents`.
 
     pages(url, html); places(id, name, latitude, longitude, place_id); details(place_id, url,
-    formatted_phone_number), of which the first per place counts; results(hotel_id, html) search result pages. Only pages of
-    listings that are not stored yet are parsed; with `priority_counties` only listings stored there are
-    skipped, and the others are read again and replaced. `failed` lists new rows without a usable page.
+    formatted_phone_number), of which the first per place counts; results(hotel_id, html) search result pages; children: the
+    stored child tables (default: empty). Only pages of listings that are not stored yet are parsed; with `priority_counties`
+    only listings stored there are skipped, and the others are read again and replaced, their stored children (those
+    of their old key too) with them. Children that come again as they were keep their ids. `failed` lists new
+    rows without a usable page. Each output is planned when it is looked up; the pages are parsed once for all.
     """
+    spark = csv.sparkSession
     known = existing.filter(F.col("county_id").isin(*priority_counties)) if priority_counties else existing
-    fresh = written(skip_known(csv_rows(csv), known, "hotel_id"), "new-listings")
-    wanted = pages.join(fresh.select("url").distinct(), "url", "left_semi").select("url", "html")
-    trees = html_trees(wanted).withColumn("ld", json_ld(F.col("nodes")))
-    record = first_per_key(listing_record(trees), ["url"], ["latitude", "longitude"])
-    usable = record.filter("status IS NULL").drop("status").withColumnRenamed("address", "page_address")
-
-    placed = with_dimensions(resolve_city(fresh, city, F.col("city_text")), city, county)
-    listings = placed.join(usable, "url").select(
-        "hotel_id",
-        "title",
-        "url",
-        F.col("city_county_id").alias("county_id"),
-        "city_id",
-        F.col("latitude").cast("double").alias("latitude"),
-        F.col("longitude").cast("double").alias("longitude"),
-        place_key(F.col("longitude"), F.col("latitude"), F.col("hotel_id")).alias("geo_hash_id"),
-        F.coalesce("ld.address.streetAddress", "page_address").alias("address"),
-        first_number(F.col("ld.priceRange")).alias("avg_price"),
-        F.concat(
-            F.lit("/Booking/"), slugify(F.col("county_name")), F.lit("/"), "city_name", F.lit(" "), "title"
-        ).alias("photos"),
-        "surroundings",
-        "facilities",
-        "capacity",
-        *CONTENT_TYPES,
-    )
-    # Every result below is derived from this table; the pages are parsed once.
-    listings = written(listings, "listings")
-    failed = fresh.join(listings.select("url").distinct(), "url", "left_anti").select("hotel_id", "url")
-
-    named = listings.select(F.col("hotel_id").alias("id"), F.col("title").alias("name"), "latitude", "longitude")
-    # One row per place: a repeated one must not multiply listings.
-    of_place = details.groupBy("place_id").agg(F.min(F.struct("url", "formatted_phone_number")).alias("d"))
-    of_place = of_place.select("place_id", F.col("d.url").alias("place_url"), "d.formatted_phone_number")
-    near = (
-        match_nearby(named, places)
-        .select(F.col("left_id").alias("hotel_id"), "right_id", "place_id")
-        .join(of_place, "place_id")
-    )
-    near = written(near, "near")
-    # Of several near places the last one gives the place id and the phone.
-    last = near.groupBy("hotel_id").agg(
-        F.max_by("place_id", "right_id").alias("place_id"),
-        F.max_by("formatted_phone_number", "right_id").alias("telephone"),
-    )
-    keys = listings.select("hotel_id", "geo_hash_id")
-    own = listings.select("geo_hash_id", "url", "avg_price")
-    maps = near.join(keys, "hotel_id").select("geo_hash_id", F.col("place_url").alias("url"))
-    # Result pages are parsed for new listings only.
-    found = result_prices(html_trees(results.join(keys, "hotel_id")))
-    search = found.select("geo_hash_id", F.col("href").alias("url"), F.col("price").alias("avg_price"))
-    platforms = platform_rows(own, maps, search).select(
-        "geo_hash_id", platform_of_url(F.col("url")).alias("platform"), "url", "avg_price",
-        F.lit(stamp).cast("timestamp").alias("last_modified"),
-    )
-    facilities = listings.select(
-        "geo_hash_id",
-        F.explode(
-            F.array(*[F.struct(F.lit(t).alias("type"), F.col(c).alias("content")) for t, c in FACILITY_TYPES.items()])
-        ).alias("f"),
-    ).select("geo_hash_id", "f.*")
-    contents = listings.select(
-        "geo_hash_id",
-        F.col("url").alias("src_url"),
-        F.explode(
-            F.array(*[F.struct(F.lit(t).alias("type"), F.col(t).alias("content")) for t in CONTENT_TYPES])
-        ).alias("c"),
-    ).select("geo_hash_id", "c.type", "src_url", "c.content")
-
-    stored = listings.drop("url", "avg_price", "surroundings", "facilities", "capacity", *CONTENT_TYPES)
-    # A listing that is read again keeps its id.
-    kept_ids = existing.groupBy("hotel_id").agg(F.min("id").alias("id"))
-    again = stored.join(kept_ids, "hotel_id")
-    brand_new = assign_ids(stored.join(kept_ids, "hotel_id", "left_anti"), existing, "hotel_id")
-    added = again.unionByName(brand_new).join(last, "hotel_id", "left")
-    return {
-        "listings": upsert(existing, added, "hotel_id"),
-        "platforms": platforms.filter("platform <> ''"),
-        "facilities": facilities,
-        "contents": contents.filter("content IS NOT NULL"),
-        "failed": failed,
-    }
+    fresh = skip_known(csv_rows(csv), known, "hotel_id")
+
+    @functools.cache
+    def listings() -> DataFrame:
+        wanted = pages.join(fresh.select("url").distinct(), "url", "left_semi").select("url", "html")
+        trees = html_trees(wanted).withColumn("ld", json_ld(F.col("nodes")))
+        record = first_per_key(listing_record(trees), ["url"], ["latitude", "longitude"])
+        usable = record.filter("status IS NULL").drop("status").withColumnRenamed("address", "page_address")
+        placed = with_dimensions(resolve_city(fresh, city, F.col("city_text")), city, county)
+        found = placed.join(usable, "url").select(
+            "hotel_id",
+            "title",
+            "url",
+            F.col("city_county_id").alias("county_id"),
+            "city_id",
+            F.col("latitude").cast("double").alias("latitude"),
+            F.col("longitude").cast("double").alias("longitude"),
+            place_key(F.col("longitude"), F.col("latitude"), F.col("hotel_id")).alias("geo_hash_id"),
+            F.coalesce("ld.address.streetAddress", "page_address").alias("address"),
+            first_number(F.col("ld.priceRange")).alias("avg_price"),
+            F.concat(
+                F.lit("/Booking/"), slugify(F.col("county_name")), F.lit("/"), "city_name", F.lit(" "), "title"
+            ).alias("photos"),
+            "surroundings",
+            "facilities",
+            "capacity",
+            *CONTENT_TYPES,
+        )
+        # Every output is derived from this table; the pages are parsed once.
+        return written(found, "listings")
+
+    @functools.cache
+    def near() -> DataFrame:
+        named = listings().select(F.col("hotel_id").alias("id"), F.col("title").alias("name"), "latitude", "longitude")
+        # One row per place: a repeated one must not multiply listings.
+        of_place = details.groupBy("place_id").agg(F.min(F.struct("url", "formatted_phone_number")).alias("d"))
+        of_place = of_place.select("place_id", F.col("d.url").alias("place_url"), "d.formatted_phone_number")
+        found = match_nearby(named, places).select(F.col("left_id").alias("hotel_id"), "right_id", "place_id")
+        return written(found.join(of_place, "place_id"), "near")
+
+    def new_state() -> DataFrame:
+        # Of several near places the last one gives the place id and the phone.
+        last = near().groupBy("hotel_id").agg(
+            F.max_by("place_id", "right_id").alias("place_id"),
+            F.max_by("formatted_phone_number", "right_id").alias("telephone"),
+        )
+        stored = listings().drop("url", "avg_price", "surroundings", "facilities", "capacity", *CONTENT_TYPES)
+        # A listing that is read again keeps its id.
+        kept_ids = existing.groupBy("hotel_id").agg(F.min("id").alias("id"))
+        again = stored.join(kept_ids, "hotel_id")
+        brand_new = assign_ids(stored.join(kept_ids, "hotel_id", "left_anti"), existing, "hotel_id")
+        return upsert(existing, again.unionByName(brand_new).join(last, "hotel_id", "left"), "hotel_id")
+
+    def platforms() -> DataFrame:
+        keys = listings().select("hotel_id", "geo_hash_id")
+        own = listings().select("geo_hash_id", "url", "avg_price")
+        maps = near().join(keys, "hotel_id").select("geo_hash_id", F.col("place_url").alias("url"))
+        # Result pages are parsed for new listings only.
+        found = result_prices(html_trees(results.join(keys, "hotel_id")))
+        search = found.select("geo_hash_id", F.col("href").alias("url"), F.col("price").alias("avg_price"))
+        rows = platform_rows(own, maps, search).select(
+            "geo_hash_id", platform_of_url(F.col("url")).alias("platform"), "url", "avg_price",
+            F.lit(stamp).cast("timestamp").alias("last_modified"),
+        )
+        return merged("platforms", rows.filter("platform <> ''"))
+
+    def facilities() -> DataFrame:
+        each = [F.struct(F.lit(t).alias("type"), F.col(c).alias("content")) for t, c in FACILITY_TYPES.items()]
+        rows = listings().select("geo_hash_id", F.explode(F.array(*each)).alias("f"))
+        return merged("facilities", rows.select("geo_hash_id", "f.*"))
+
+    def contents() -> DataFrame:
+        each = [F.struct(F.lit(t).alias("type"), F.col(t).alias("content")) for t in CONTENT_TYPES]
+        rows = listings().select("geo_hash_id", F.col("url").alias("src_url"), F.explode(F.array(*each)).alias("c"))
+        rows = rows.select("geo_hash_id", "c.type", "src_url", "c.content")
+        return merged("contents", rows.filter("content IS NOT NULL"))
+
+    def merged(name: str, rows: DataFrame) -> DataFrame:
+        empty = spark.createDataFrame([], CATALOGUE[CHILDREN[name]])
+        stored = (children or {}).get(name, empty)
+        passing = ("last_modified",) if name == "platforms" else ()
+        # What a listing had under its old key goes too.
+        now = listings().select("geo_hash_id")
+        if "geo_hash_id" in existing.columns:
+            old = existing.join(listings().select("hotel_id").distinct(), "hotel_id", "left_semi").select("geo_hash_id")
+            now = now.unionByName(old)
+        return replace_children(stored, rows, now.filter("geo_hash_id IS NOT NULL"), ["geo_hash_id"], passing)
+
+    def failed() -> DataFrame:
+        return fresh.join(listings().select("url").distinct(), "url", "left_anti").select("hotel_id", "url")
+
+    return Outputs(listings=new_state, platforms=platforms, facilities=facilities, contents=contents, failed=failed)

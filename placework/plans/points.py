@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.records import COMPONENTS, first_valid_address, map_diff, packed_address, place_key, unpack_json
 from ..functions.web import platform_of_url
 from ..operators.aggregates import POST_FIELDS, typed_fields, unpack_fields
-from ..operators.changes import assign_ids, update_by_id
+from ..operators.changes import assign_ids, replace_children, update_by_id
 from ..operators.joins import (
     first_platform,
     join_first_term,
@@ -18,8 +18,10 @@ from ..operators.joins import (
     with_dimensions,
 )
 from ..operators.windows import first_per_key
+from ..schemas import CATALOGUE
 from ..session import written
 from ..sources.files import load_posts
+from .outputs import Outputs
 
 WORSHIP = "place_of_worship"
 GEOCODES = f"array<struct<address_components:{COMPONENTS}>>"
@@ -32,14 +34,18 @@ def backfill_contacts(
     city: DataFrame,
     county: DataFrame,
     stamp,
-) -> dict[str, DataFrame]:
+    platforms: DataFrame | None = None,
+    facilities: DataFrame | None = None,
+) -> Outputs:
     """Move legacy website/telephone columns to child rows and fill missing addresses.
 
     points may carry website, telephone, address; details(place_id, body) and geocodes(id, body) hold stored
     responses, one row per key. Only points without `address_coord` change. The address comes from the place
     details; for a point without the legacy address a reverse-geocoded one that names its city and
-    county code is preferred.
+    county code is preferred. platforms and facilities: the stored child tables (default: empty), which come back in their
+    new state: a point's contact row, and its rows of the platform its site is on, are replaced.
     """
+    spark = points.sparkSession
     for column in ("website", "telephone", "address"):
         if column not in points.columns:
             points = points.withColumn(column, F.lit(None).cast("string"))
@@ -49,20 +55,28 @@ def backfill_contacts(
     has_site = open_point & (F.coalesce("website", F.lit("")) != "")
     has_phone = open_point & (F.coalesce("telephone", F.lit("")) != "")
 
-    child = points.select("*", has_site.alias("has_site"), has_phone.alias("has_phone"))
-    platforms = child.filter("has_site").select(
-        "geo_hash_id",
-        platform_of_url(F.col("website")).alias("platform"),
-        F.col("website").alias("url"),
-        F.lit(stamp).cast("timestamp").alias("last_modified"),
-    )
-    contact = F.struct(
-        F.when(F.col("has_site"), F.col("website")).alias("website"),
-        F.when(F.col("has_phone"), F.col("telephone")).alias("telephone"),
-    )
-    facilities = child.filter("has_site OR has_phone").select(
-        "geo_hash_id", F.lit("contact").alias("type"), F.to_json(contact).alias("content")
-    )
+    child = points.select("*", has_site.alias("has_site"), has_phone.alias("has_phone")).filter("geo_hash_id IS NOT NULL")
+
+    def new_platforms() -> DataFrame:
+        stored = spark.createDataFrame([], CATALOGUE["interest_points_platform"]) if platforms is None else platforms
+        rows = child.filter("has_site").select(
+            "geo_hash_id",
+            platform_of_url(F.col("website")).alias("platform"),
+            F.col("website").alias("url"),
+            F.lit(stamp).cast("timestamp").alias("last_modified"),
+        )
+        return replace_children(stored, rows, rows, ["geo_hash_id", "platform"], ("last_modified",))
+
+    def new_facilities() -> DataFrame:
+        stored = spark.createDataFrame([], CATALOGUE["interest_points_facility"]) if facilities is None else facilities
+        contact = F.struct(
+            F.when(F.col("has_site"), F.col("website")).alias("website"),
+            F.when(F.col("has_phone"), F.col("telephone")).alias("telephone"),
+        )
+        rows = child.filter("has_site OR has_phone").select(
+            "geo_hash_id", F.lit("contact").alias("type"), F.to_json(contact).alias("content")
+        )
+        return replace_children(stored, rows, rows, ["geo_hash_id", "type"])
 
     detail = details.select(
         "place_id",
@@ -94,7 +108,7 @@ def backfill_contacts(
             for c in points.columns
         ]
     )
-    return {"points": new_state, "platforms": platforms, "facilities": facilities}
+    return Outputs(points=lambda: new_state, platforms=new_platforms, facilities=new_facilities)
 
 
 def reconcile_points(

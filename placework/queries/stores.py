@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
 from ..operators.aggregates import crawl_progress
@@ -9,7 +11,7 @@ from ..operators.graph import crawl_frontier
 from ..schemas import CATALOGUE
 from ..session import work_folder
 from ..plans.crawl import crawl_pages, save_crawl
-from ..sources import files
+from ..sources import catalogue, files
 from ..streaming.new_keys import read_new_keys, stream_new_keys, write_new_keys
 from .registry import query, table
 
@@ -28,7 +30,7 @@ def s1(spark, sf):
         F.lit(None).cast("string").alias("Hotels"),
     )
     rows.write.csv(folder, header=True, escape='"')
-    return files.read_listing_csv(spark, folder, multi_line=True)
+    return files.read_listing_csv(spark, folder)
 
 
 @query(
@@ -83,12 +85,88 @@ def s5(spark, sf):
         F.col("c_custkey").alias("id"), F.col("c_name").alias("title"), F.col("c_nationkey").alias("city_id"),
         F.col("c_acctbal").alias("latitude"),
     )
-    files.save_table(rows, folder, "booking_listings")
-    read = files.load_catalogue(spark, folder, tables=["booking_listings"])["booking_listings"]
+    catalogue.save_table(rows, folder, "booking_listings")
+    read = catalogue.load_catalogue(spark, folder, tables=["booking_listings"])["booking_listings"]
     width = F.lit(len(read.columns) if "check" not in CATALOGUE["booking_listings"] else 0)
     return read.select("id", "title", "city_id", "latitude", "status", width.alias("columns"))
 
 
+def _catalogue(spark, sf):
+    """All catalogue tables from region, nation, customer and supplier."""
+    customer, supplier = table(spark, sf, "customer"), table(spark, sf, "supplier")
+    nation = table(spark, sf, "nation")
+    of_nation = nation.select("n_nationkey", F.col("n_regionkey").alias("county_id"))
+
+    def owners(df, prefix, key):
+        id_, name, city = F.col(f"{prefix}_{key}"), F.col(f"{prefix}_name"), F.col(f"{prefix}_nationkey")
+        placed = df.join(of_nation, city == F.col("n_nationkey"))
+        return placed.select(
+            id_.alias("id"), F.concat(F.lit(prefix), id_.cast("string")).alias("geo_hash_id"), name.alias("title"), city.alias("city_id"), "county_id"
+        )
+
+    lodgings, places = owners(customer, "c", "custkey"), owners(supplier, "s", "suppkey")
+    child = lambda df, column: df.select("id", "geo_hash_id", F.lit(column).alias("type"), F.col("title").alias(column))
+    return {
+        "account_county": table(spark, sf, "region").select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name")),
+        "account_city": nation.select(F.col("n_nationkey").alias("id"), F.col("n_regionkey").alias("county_id"), F.col("n_name").alias("name")),
+        "booking_listings": lodgings,
+        "booking_listings_content": child(lodgings, "content"),
+        "booking_listings_facility": child(lodgings, "content"),
+        "booking_listings_platform": child(lodgings, "url"),
+        "biserici_romania": places,
+        "interest_points": places,
+        "interest_points_platform": child(places, "url"),
+        "interest_points_content": child(places, "content"),
+        "interest_points_facility": child(places, "content"),
+    }
+
+
+_SHOWN = {"account_county": "name", "account_city": "name", "booking_listings_platform": "url", "interest_points_platform": "url"}
+_LINKED = {"account_county": None, "account_city": "county_id"}
+_CATALOGUE_SQL = """SELECT 'account_county' AS name, r_regionkey::BIGINT AS id, NULL::VARCHAR AS link, r_name AS said, 3 AS columns FROM region
+   UNION ALL SELECT 'account_city', n_nationkey, n_regionkey::VARCHAR, n_name, 8 FROM nation
+   UNION ALL SELECT t.name, c_custkey, 'c' || c_custkey, c_name, t.n FROM customer, (VALUES ('booking_listings', 14),
+             ('booking_listings_content', 5), ('booking_listings_facility', 4), ('booking_listings_platform', 6)) t(name, n)
+   UNION ALL SELECT t.name, s_suppkey, 's' || s_suppkey, s_name, t.n FROM supplier, (VALUES ('biserici_romania', 14), ('interest_points', 14),
+             ('interest_points_content', 5), ('interest_points_facility', 4), ('interest_points_platform', 6)) t(name, n)"""
+
+
+@query("s5_all_tables", _CATALOGUE_SQL)
+def s5_all(spark, sf):
+    """All eleven tables, checked, written and read back."""
+    folder = work_folder(spark, "catalogue")
+    catalogue.save_catalogue(_catalogue(spark, sf), folder)
+    shown = []
+    for name, df in catalogue.load_catalogue(spark, folder, check=True).items():
+        said = _SHOWN.get(name, "content" if "type" in df.columns and name != "booking_listings" else "title")
+        link = _LINKED.get(name, "geo_hash_id")
+        link = F.lit(None).cast("string") if link is None else F.col(link).cast("string")
+        shown.append(df.select(F.lit(name).alias("name"), "id", link.alias("link"), F.col(said).alias("said"), F.lit(len(df.columns)).alias("columns")))
+    return functools.reduce(lambda a, b: a.unionByName(b), shown)
+
+
+@query(
+    "s5_key_violations",
+    """SELECT 'booking_listings_content' AS "table", 'unknown' AS rule, 'geo_hash_id' AS "column", 'x' || c_custkey % 100 AS value,
+              count(*) AS rows FROM customer WHERE c_custkey % 5 = 0 GROUP BY c_custkey % 100
+       UNION ALL SELECT 'account_city', 'unknown', 'county_id', '77', count(*) FROM nation WHERE n_regionkey = 2
+       UNION ALL SELECT 'interest_points', 'repeated', 'id', s_suppkey::VARCHAR, 2 FROM supplier WHERE s_nationkey < 5
+       UNION ALL SELECT 'interest_points', 'missing', 'id', NULL, count(*) FROM supplier WHERE s_nationkey = 7 HAVING count(*) > 0
+       UNION ALL SELECT 'booking_listings', 'unknown', 'city_id', '99', count(*) FROM customer WHERE c_nationkey = 3 HAVING count(*) > 0""",
+)
+def s5_violations(spark, sf):
+    tables = _catalogue(spark, sf)
+    key = F.col("id")
+    tables["booking_listings_content"] = tables["booking_listings_content"].withColumn(
+        "geo_hash_id", F.when(key % 5 == 0, F.concat(F.lit("x"), (key % 100).cast("string"))).otherwise(F.col("geo_hash_id"))
+    )
+    tables["booking_listings"] = tables["booking_listings"].withColumn("city_id", F.when(F.col("city_id") == 3, 99).otherwise(F.nullif("city_id", F.lit(4))))
+    tables["account_city"] = tables["account_city"].withColumn("county_id", F.when(F.col("county_id") == 2, 77).otherwise(F.col("county_id")))
+    points = tables["interest_points"].withColumn("id", F.when(F.col("city_id") != 7, key))
+    tables["interest_points"] = points.unionByName(points.filter("city_id < 5"))
+    return catalogue.key_violations(tables)
+
+
 @query(
     "s6_load_pages",
     """SELECT page_id, CASE WHEN length(html) < 2000 THEN 'failed' ELSE 'ok' END AS part FROM pages""",

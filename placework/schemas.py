@@ -37,4 +37,24 @@ CATALOGUE = {
     "interest_points_facility": _FACILITY,
 }
 
+PRIMARY_KEY = "id"
+_TOWN = [("county_id", "account_county", "id"), ("city_id", "account_city", "id")]
+_OF_LISTING = [("geo_hash_id", "booking_listings", "geo_hash_id")]
+_OF_POINT = [("geo_hash_id", "interest_points", "geo_hash_id")]
+
+# Table -> (column, parent table, parent column).
+FOREIGN_KEYS = {
+    "booking_listings": _TOWN,
+    "booking_listings_content": _OF_LISTING,
+    "booking_listings_facility": _OF_LISTING,
+    "booking_listings_platform": _OF_LISTING,
+    "account_city": _TOWN[:1],
+    "account_county": [],
+    "biserici_romania": _TOWN,
+    "interest_points": _TOWN[1:],
+    "interest_points_platform": _OF_POINT,
+    "interest_points_content": _OF_POINT,
+    "interest_points_facility": _OF_POINT,
+}
+
 LISTING_CSV = "`Hotel ID` STRING, `URL` STRING, `City` STRING, `Hotels` STRING"

@@ -1,4 +1,4 @@
-"""Text, CSV, XML and catalogue files."""
+"""Text, CSV, XML files, stored pages and posts, image folders."""
 
 from __future__ import annotations
 
@@ -7,19 +7,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..schemas import CATALOGUE, LISTING_CSV
+from ..schemas import LISTING_CSV
+from .folders import FolderListing, reachable
 
 SITEMAP_ROOT = 'urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"'
 
 
 def read_listing_csv(
-    spark: SparkSession, path: str, schema: str = LISTING_CSV, multi_line: bool = False
+    spark: SparkSession, path: str, schema: str = LISTING_CSV, multi_line: bool = True
 ) -> DataFrame:
     """CSV with a header and quoted values, all text; an empty table when nothing is there.
 
     Columns go by the names in the header: those of `schema` come first (NULL when the header lacks one), others are
-    kept after them. All files of a path have the same header; another one is an error when it is read. Files are
-    split among tasks; with `multi_line` values may span lines, and a file is read by one task.
+    kept after them. All files of a path have the same header; another one is an error when it is read. Quoted values may
+    span lines, so a file is read by one task; `multi_line=False` splits large files, for lists whose values have no
+    line breaks.
     """
     names = T.StructType.fromDDL(schema).fieldNames()
     try:
@@ -85,34 +87,6 @@ def read_sitemap(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("xml").schema("loc STRING").options(rowTag="url").load(path)
 
 
-def load_catalogue(
-    spark: SparkSession, path: str | None = None, jdbc: dict | None = None, tables=None
-) -> dict[str, DataFrame]:
-    """Typed catalogue tables from a folder of parquet tables, or from a database.
-
-    `jdbc` holds reader options (url, driver, ...). For a large table add partitionColumn, lowerBound,
-    upperBound and numPartitions, or the read is a single task.
-    """
-    out = {}
-    for name in tables or CATALOGUE:
-        if jdbc is not None:
-            out[name] = spark.read.format("jdbc").options(**jdbc, dbtable=name).load()
-        else:
-            out[name] = spark.read.schema(CATALOGUE[name]).parquet(f"{path.rstrip('/')}/{name}")
-    return out
-
-
-def save_table(df: DataFrame, path: str, name: str, mode: str = "overwrite") -> None:
-    """Write a catalogue table with its fixed columns and types."""
-    fields = T.StructType.fromDDL(CATALOGUE[name]).fields
-    have = set(df.columns)
-    typed = [
-        (F.col(f"`{f.name}`") if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name)
-        for f in fields
-    ]
-    df.select(*typed).write.mode(mode).parquet(f"{path.rstrip('/')}/{name}")
-
-
 def load_pages(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Stored page snapshots, split into (usable, failed)."""
     good = (F.col("status") == 200) & F.col("html").isNotNull()
@@ -130,7 +104,14 @@ def save_posts(posts: DataFrame, path: str) -> None:
 
 
 def image_inventory(spark: SparkSession, root: str) -> DataFrame:
-    """Files below an image root: path relative to the root, length. File contents are not read."""
+    """Files below an image root: path relative to the root, length. File contents are not read.
+
+    Folders are listed by tasks where Arrow reaches the store (`sources.folders`); other stores are listed by
+    Spark's file index, which holds all names in the driver.
+    """
+    if reachable(root):
+        spark.dataSource.register(FolderListing)
+        return spark.read.format(FolderListing.name()).option("path", root).load()
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     relative = F.regexp_replace(F.col("path"), r"^[a-z0-9]+:/+", "/")
     clean = root.split(":", 1)[-1].rstrip("/") + "/"
