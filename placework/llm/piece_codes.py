@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 import sys
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,9 +31,11 @@ from .common import pieces, text_of
 SPACE = "▁"
 # Words of up to this many characters are kept, up to this many of them; others are encoded each time.
 KEPT_LENGTH = 48
-KEPT_WORDS = 300_000
+KEPT_WORDS = 400_000
 KEPT_PAIRS = 1_000_000
-# A character that is no piece of its own, as an id of the table: -1 - its code point.
+# In the table a character that is no piece of its own has its code point from here on; START stands before a text.
+UNKNOWN = 1 << 21
+START = 1 << 22
 
 
 class PieceTable:
@@ -65,7 +68,7 @@ class PieceTable:
         inside = {c for name in self.ids if len(name) > 1 for c in name} - {SPACE}
         merging = "".join(map(re.escape, sorted(inside)))
         self.words = re.compile(f"{SPACE}*[{merging}]+|{SPACE}+|(?s:.)" if apart else f"[{SPACE}{merging}]+|(?s:.)")
-        self.pairs: dict[tuple, bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.memo = _Words(self)
         # For decoding: the bytes of each piece, in one buffer.
         own = [b"" if model.is_control(i) else names[i].replace(SPACE, " ").encode() for i in range(size)]
@@ -82,23 +85,51 @@ class PieceTable:
     # -------------------------------------------------------------------------------------------- encoding
 
     def _name(self, piece: int) -> str:
-        return self.names[piece] if piece >= 0 else chr(-1 - piece)
+        return self.names[piece] if piece < UNKNOWN else chr(piece - UNKNOWN)
 
     def compatible(self, left: int, right: int) -> bool:
-        """Whether merging the two pieces' characters anew keeps the border between them and makes both."""
-        known = self.pairs.get((left, right))
-        if known is None:
-            if len(self.pairs) >= KEPT_PAIRS:
-                self.pairs.clear()
-            known = self.pairs[left, right] = self._merged(self._name(left) + self._name(right), len(self._name(left)))
+        """Whether merging the characters of two pieces anew makes these two; for START, whether it makes the right one."""
+        head, tail = "" if left == START else self._name(left), self._name(right)
+        known = self._merged(head + tail, len(head))
+        if len(self.pairs) >= KEPT_PAIRS:
+            self.pairs.clear()
+        self.pairs[left << 24 | right] = known
         return known
 
-    def reachable(self, piece: int) -> bool:
-        """Whether the merges of a piece's characters end in the piece itself."""
-        known = self.pairs.get((piece, piece, 0))
-        if known is None:
-            known = self.pairs[piece, piece, 0] = self._merged(self._name(piece), 0)
-        return known
+    def encode_word(self, word: str) -> bytes:
+        """The ids of a part of a text that no piece crosses, as 32-bit little-endian numbers."""
+        # Of each prefix: its last piece, and where that piece starts.
+        last, before, pairs = [START], [0], self.pairs.get
+        have = 1
+        for end, (piece, length) in self.ends.iter(word):
+            if end + 1 < have:
+                continue
+            while have <= end:  # characters at which no piece ends
+                last.append(UNKNOWN + ord(word[have - 1]))
+                before.append(have - 1)
+                have += 1
+            at = have - length
+            left = last[at]
+            fits = pairs(left << 24 | piece)
+            if fits is None:
+                fits = self.compatible(left, piece)
+            if fits:
+                last.append(piece)
+                before.append(at)
+                have += 1
+        for k in range(have, len(word) + 1):
+            last.append(UNKNOWN + ord(word[k - 1]))
+            before.append(k - 1)
+        found, at = [], len(word)
+        while at:
+            piece = last[at]
+            if piece < UNKNOWN:
+                found.append(piece)
+            else:
+                found.extend(self.bytes_of[b] for b in reversed(word[at - 1].encode()))
+            at = before[at]
+        found.reverse()
+        return array("i", found).tobytes()
 
     def _merged(self, text: str, border: int) -> bool:
         """Whether the merges of a text end in the parts before and after the border (0: in one part)."""
@@ -115,35 +146,6 @@ class PieceTable:
                 return False
             del cuts[at]
 
-    def encode_word(self, word: str) -> bytes:
-        """The ids of a part of a text that no piece crosses, as 32-bit little-endian numbers."""
-        size = len(word)
-        last: list = [None] * (size + 1)
-        done = 0
-        for end, (piece, length) in self.ends.iter(word):
-            at = end + 1
-            while done < end:  # characters without a fitting piece that ends there
-                done += 1
-                if last[done] is None:
-                    last[done] = (-1 - ord(word[done - 1]), 1)
-            if last[at] is None:
-                before = last[at - length]
-                if self.reachable(piece) if at == length else self.compatible(before[0], piece):
-                    last[at] = (piece, length)
-        for at in range(1, size + 1):
-            if last[at] is None:
-                last[at] = (-1 - ord(word[at - 1]), 1)
-        found = []
-        at = size
-        while at:
-            piece, length = last[at]
-            if piece >= 0:
-                found.append(piece)
-            else:
-                found.extend(self.bytes_of[b] for b in reversed(word[at - 1].encode()))
-            at -= length
-        return np.array(found[::-1], "<i4").tobytes()
-
     def encode(self, text: str, end: bool = True) -> bytes:
         memo = self.memo
         body = [memo[w] for w in self.words.findall(SPACE + text.replace(" ", SPACE))] if text else []
@@ -185,13 +187,18 @@ class PieceTable:
 
 
 class _Words(dict):
+    """The ids of short words; when there are too many, those not seen since the last time go."""
+
     def __init__(self, table: PieceTable):
-        self.table = table
+        self.table, self.old = table, {}
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.table.encode_word(word)
+        ids = self.old.get(word)
+        if ids is None:
+            ids = self.table.encode_word(word)
         if len(word) <= KEPT_LENGTH:
             if len(self) >= KEPT_WORDS:
+                self.old = dict(self)
                 self.clear()
             self[word] = ids
         return ids
