@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import pages
 from ..operators.html import html_nodes, html_trees
+from ..functions.text import squash_spaces
 from . import render
 from .registry import query, table
 
@@ -314,3 +315,44 @@ def h15_lines(spark, sf):
         F.col("doc_id").alias("page_id"), render.html("<body><p>", escaped, "</p></body>").alias("html")
     )
     return pages.page_content(html_trees(rendered)).select("page_id", "key", "line")
+
+
+_PUNCTUATION_SQL = r"'[!-/:-@\[-`{-~]', '', 'g'"
+
+
+def _inline_sql(text):
+    clean = f"regexp_replace({text}, {_PUNCTUATION_SQL})"
+    return f"CASE WHEN length({text}) - length({clean}) < 2 THEN {clean} ELSE ' ' END"
+
+
+@query(
+    "h15_inline_marks",
+    rf"""WITH l AS (SELECT doc_id, trim(regexp_replace(unnest(string_split(text, chr(10))),
+                                  '[\s\x0b\x{{85}}\p{{Z}}]+', ' ', 'g')) AS line FROM documents),
+             w AS (SELECT doc_id, string_split(line, ' ') AS w FROM l WHERE line <> ''),
+             p AS (SELECT doc_id, array_to_string(w[1:4], ' ') AS a, trim(array_to_string(w[5:9], ' ')) AS b,
+                          array_to_string(w[10:12], ' ') AS c, array_to_string(w[13:14], ' ') AS d, array_to_string(w[15:], ' ') AS e FROM w),
+             t AS (SELECT doc_id, trim(regexp_replace(a || ' ' || {_inline_sql('b')} || ' ' || c || ' ' || {_inline_sql('d')} || ' ' || e,
+                                                      ' +', ' ', 'g')) AS line FROM p),
+             c AS (SELECT *, regexp_replace(line, {_PUNCTUATION_SQL}) AS clean FROM t)
+        SELECT DISTINCT doc_id AS page_id, md5(line) AS key, line FROM c
+        WHERE length(line) - length(clean) < 15 AND length(clean) > 40""",
+)
+def h15_inline(spark, sf):
+    """Lines of documents as paragraphs in which some words are marked: a mark inside a mark, and a mark by itself."""
+    escaped = F.col("text")
+    for raw, written in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        escaped = F.replace(escaped, F.lit(raw), F.lit(written))
+
+    def paragraph(line):
+        words = F.split(squash_spaces(line), " ")
+        some = lambda at, n: F.array_join(F.slice(words, at, n), " ")
+        rest = F.array_join(F.slice(words, F.lit(15), F.greatest(F.size(words), F.lit(1))), " ")
+        return render.html(
+            "<p>", some(1, 4), " <span>", some(5, 3), " <i>", some(8, 2), "</i></span> ", some(10, 3), " <b>", some(13, 2), "</b> ", rest, "</p>"
+        )
+
+    lines = F.filter(F.split(escaped, "\n"), lambda line: squash_spaces(line) != "")
+    body = F.array_join(F.transform(lines, paragraph), "")
+    rendered = table(spark, sf, "documents").select(F.col("doc_id").alias("page_id"), render.html("<body>", body, "</body>").alias("html"))
+    return pages.page_content(html_trees(rendered)).select("page_id", "key", "line")
