@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import random
 
-PAGES = 500
+PAGES = 1200
 
 _SYLLABLES = "an er in on re st ti es en at ou th ed nd ha to or ea hi is ar te se al".split()
 
@@ -81,7 +81,7 @@ def _around(r: random.Random) -> str:
         inside = f"<p>{_words(r, 4, 50)}</p>" if r.random() < 0.6 else _words(r, 4, 50)
         tag = r.choice(["div", "div", "section", "p", "aside"])
         inside += r.choice(["", f"<button>{_words(r, 1, 2)}</button>", f"<a href='/c'>{_words(r, 1, 2)}</a>"])
-        return f"<{tag}{off} {_name(r, 'cookie', 'cookies', 'consent', 'notice', 'alert', 'gdpr', 'popup', 'modal', 'overlay', 'disclaimer', 'message', 'warning', 'paywall', 'announcement')}>{inside}</{tag}>"
+        return f"<{tag}{off} {_name(r, 'cookie', 'cookies', 'consent', 'notice', 'alert', 'gdpr', 'popup', 'modal', 'overlay', 'disclaimer', 'warning', 'paywall', 'announcement')}>{inside}</{tag}>"
     if kind == "form":
         return r.choice([_form(r).replace("<form", f"<form{off}", 1), f"<div{off} {_name(r, 'search', 'newsletter', 'subscribe', 'signup', 'login', 'subscription', 'contact')}>{_heading(r)}{_form(r)}</div>"])
     if kind == "comments":
@@ -128,13 +128,62 @@ def _block(r: random.Random) -> str:
     return f"<div>{_block(r)}</div>"
 
 
+# Names of wrappers inside an article that say little, though words in them are those of notices and adverts too.
+_WRAPPERS = (
+    "message message-body ad-free no-ads text-block alert-text notice-text row col content-inner inner wrap box block group "
+    "paragraph rich-text comment-free promo-text side-by-side header-text cookie-recipe social-history"
+).split()
+
+
+def _wrapped(r: random.Random) -> str:
+    """Paragraphs of an article in a wrapper of their own."""
+    inside = "".join(f"<p>{_inline(r, _words(r, 12, 120))}</p>" for _ in range(r.choice([1, 1, 2, 3])))
+    return f'<div class="{r.choice(_WRAPPERS)}">{inside}</div>'
+
+
+def _nested(r: random.Random, inside: str) -> str:
+    depth = r.choice([1, 2, 3, 8, 40])
+    return "<div>" * depth + inside + "</div>" * depth
+
+
+def _plain_text(r: random.Random) -> str:
+    """Main text without paragraphs: lines with breaks between them."""
+    lines = [_inline(r, _words(r, 8, 120)) for _ in range(r.choice([1, 2, 3, 6]))]
+    return r.choice(["<br><br>", "<br>", "<br/>\n<br/>"]).join(lines)
+
+
+def _plain_page(r: random.Random, before: str, after: str) -> str:
+    """Pages whose main text has no element with a telling name around it."""
+    on, off = ' data-main="1"', ' data-main="0"'
+    text = _plain_text(r) if r.random() < 0.6 else "".join(f"<p>{_inline(r, _words(r, 10, 90))}</p>" for _ in range(r.choice([1, 2, 4, 9])))
+    kind = r.choice(["body", "body", "div", "div", "nested", "nested", "table", "table", "links", "links", "center"])
+    if kind == "body":
+        # Text and what stands around it are children of the body; or nothing but text.
+        return f"<body{on}>{before if r.random() < 0.6 else ''}{text}{after if r.random() < 0.6 else ''}</body>"
+    if kind == "div":
+        return f"<body>{before}<div{on}>{text}</div>{after}</body>"
+    if kind == "nested":
+        return f"<body>{before}{_nested(r, f'<div{on}>{text}</div>')}{after}</body>"
+    if kind == "table":
+        menu = f"<td{off}>{_links(r)}</td>"
+        cells = r.choice([menu + f"<td{on}>{text}</td>", f"<td{on}>{text}</td>" + menu, menu + f"<td{on}>{text}</td>" + menu])
+        top = r.choice(["", f"<tr{off}><td colspan=2>{_words(r, 1, 5)}</td></tr>", f"<tr{off}><td>{_links(r)}</td></tr>"])
+        bottom = r.choice(["", f"<tr{off}><td>&copy; {_words(r, 2, 9)}</td></tr>"])
+        return f"<body>{before if r.random() < 0.3 else ''}<table>{top}<tr>{cells}</tr>{bottom}</table>{after if r.random() < 0.3 else ''}</body>"
+    if kind == "links":
+        linked = "".join(f'<p><a href="/{k}">{_words(r, 6, 40)}</a></p>' for k in range(r.choice([3, 5, 8])))
+        title = r.choice(["", f"<h1>{_words(r, 2, 8)}</h1>"])
+        return f"<body>{before}<article{on}>{title}{linked}</article>{after}</body>"
+    return f"<body>{before}<center{on}>{text}</center>{after}</body>"
+
+
 def _main(r: random.Random) -> str:
     parts = [r.choice([f"<h1>{_words(r, 2, 10)}</h1>", f"<h1>{_words(r, 2, 10)}</h1>", f"<h2>{_words(r, 2, 10)}</h2>", ""])]
     size = r.choice([1, 1, 2, 3, 5, 8, 12, 12, 40])
     plain = size == 40 and r.random() < 0.7
     for _ in range(size):
         # Long articles of many short paragraphs, too.
-        parts.append(f"<p>{_words(r, 2, 12)}</p>" if plain else _block(r))
+        parts.append(f"<p>{_words(r, 2, 12)}</p>" if plain else _wrapped(r) if r.random() < 0.06 else _block(r))
         if r.random() < 0.12:
             parts.append(_around(r))
     for _ in range(r.choice([0, 0, 0, 1, 2])):
@@ -155,7 +204,13 @@ def labelled_pages(pages: int = PAGES, seed: int = 3) -> list[str]:
         before = "".join(_around(r) for _ in range(r.choice([0, 1, 2, 2, 3, 4])))
         after = "".join(_around(r) for _ in range(r.choice([0, 1, 1, 2, 3, 4])))
         head = f"<head><title>{_words(r, 2, 9)}</title>{r.choice(['', '<style>p{margin:0}</style>', '<script>track(1);</script>'])}</head>"
-        middle = before + _main(r) + after
+        if r.random() < 0.3:
+            out.append(f"<!DOCTYPE html><html>{head}{_plain_page(r, before, after)}</html>")
+            continue
+        main = _main(r)
+        if r.random() < 0.08:
+            main = _nested(r, main)
+        middle = before + main + after
         if r.random() < 0.3:
             middle = f'<div {_name(r, "page", "container", "wrapper", "layout")}>{middle}</div>'
         out.append(f"<!DOCTYPE html><html>{head}<body>{middle}" + r.choice(["</body></html>", "</body></html>", ""]))

@@ -3,7 +3,8 @@
 Every node of a page's tree (elements and text) has a hidden state, main text or not. A node's potential comes from its
 tag, the words in its class, id and role, and how long and how linked the text below it is; a potential between
 parent and child, by kind of child, says how states go on downwards. Sum-product messages upwards from the leaves and downwards from
-the root give the exact probability of each state. The weights are fitted to labelled pages by the gradient of their
+the root give the exact probability of each state. An only child has its parent's state: what is nested in one another
+is one thing, however deep. The weights are fitted to labelled pages by the gradient of their
 likelihood: observed minus expected counts, from the same messages.
 
 Messages of all pages of a batch go together, one depth at a time.
@@ -34,8 +35,11 @@ _NEVER = frozenset("#raw script style noscript template head title iframe svg te
 # Kinds of children for the parent-child potentials.
 _KINDS = {"#text": 1, **dict.fromkeys("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd pre blockquote table tbody tr td th figure figcaption br".split(), 2), **dict.fromkeys("b i em strong span code a u small sub sup font label".split(), 3), **dict.fromkeys("article main".split(), 4), "div": 6, "section": 7, **dict.fromkeys("nav header footer aside form script style".split(), 5)}
 _KIND_COUNT = 8
+# States of an only child and its parent that differ are ruled out.
+_SAME = np.array([[0.0, -1e9], [-1e9, 0.0]])
 _LENGTHS = np.array([1, 10, 25, 60, 120, 250, 600])
 _LINKED = np.array([0.01, 0.1, 0.3, 0.6, 0.9])
+NODES_TOGETHER = 100_000
 _WORD = re.compile(r"[a-z]+")
 
 
@@ -49,11 +53,18 @@ class Trees:
     depth: np.ndarray
     tags: np.ndarray
     texts: list
+    only: np.ndarray
     features: list[np.ndarray]
     attributes: list[tuple[int, str, str]]
     pages: int
 
 
+def name_words(value: str) -> list[str]:
+    """The words of a class, id or role, and each name that is put together of several: `ad-free` is not `ad`."""
+    names = [n for n in value.split() if not _WORD.fullmatch(n)]
+    return [w for n in value.split() for w in ([n] if n in names else []) + _WORD.findall(n)]
+
+
 def read_trees(nodes: pa.ListArray, weights_of: dict[str, int]) -> Trees:
     offsets = nodes.offsets.to_numpy()
     flat = nodes.flatten()
@@ -76,6 +87,12 @@ def read_trees(nodes: pa.ListArray, weights_of: dict[str, int]) -> Trees:
     owner = np.searchsorted(maps.offsets.to_numpy(), wanted, "right") - 1 if len(wanted) else []
     attributes = [(int(o), names[int(k)].as_py(), (values[int(k)].as_py() or "").lower()) for o, k in zip(owner, wanted)]
 
+    # Nodes without a sibling that says anything (white space says nothing).
+    said = (tags != "#text") | (lengths > 0)
+    siblings = np.bincount(parent[(parent >= 0) & said], minlength=n) if n else np.zeros(0, np.int64)
+    # The page as a whole is no thing of that kind.
+    only = (parent >= 0) & said & (siblings[parent] == 1) & ~np.isin(tags[parent], ["html", "body"])
+
     # Text below a node, and how much of it is inside links.
     total = np.concatenate([[0], np.cumsum(lengths)])
     linked = np.zeros(n + 1, np.int64)
@@ -95,18 +112,28 @@ def read_trees(nodes: pa.ListArray, weights_of: dict[str, int]) -> Trees:
     inline = np.array([_KINDS.get(t, 0) in (1, 3) for t in tags], bool)
     tag_number = {t: number(f"tag {t}") for t in set(tags.tolist())}
     under = {t: number(f"in {t}") for t in tag_number}
+    plain = {t: number(f"plain {t}") for t in tag_number}
+    named = np.zeros(n, bool)
+    named[[o for o, name, _ in attributes if name != "data-main"]] = True
+    # A wrapper in a wrapper adds to its parent's features nothing but its names; where other elements without a name stand
+    # says more than their tag.
+    wrapper = only & np.array([t in ("div", "span") for t in tags], bool)
+    inline |= wrapper
+    skipped = named | is_text | wrapper
     features = [
-        np.array([tag_number[t] for t in tags], np.int64),
+        np.where(wrapper, -1, np.array([tag_number[t] for t in tags], np.int64)),
         np.array([under[tags[p]] if p >= 0 and x else -1 for p, x in zip(parent, is_text)], np.int64),
+        np.array([-1 if skip else plain[t] for t, skip in zip(tags, skipped)], np.int64),
+        np.array([-1 if skip or p < 0 else number(f"plain {t} in {tags[p]}") for t, p, skip in zip(tags, parent, skipped)], np.int64),
         np.where(inline, -1, number("length 0") + np.searchsorted(_LENGTHS, below, "right")),
         np.where(inline, -1, number("linked 0") + np.searchsorted(_LINKED, share, "right")),
         np.where(is_text, number("text 0") + np.searchsorted(_LENGTHS, lengths, "right"), -1),
     ]
-    # Words of class, id and role: one feature column per occurrence, as (node, weight) pairs.
-    found = [(o, number(f"word {w}")) for o, name, value in attributes if name != "data-main" for w in _WORD.findall(value)]
+    # Words of class, id and role, and whole names of several words, as (node, weight) pairs.
+    found = [(o, number(f"word {w}")) for o, name, value in attributes if name != "data-main" for w in name_words(value)]
     found = [f for f in found if f[1] >= 0]
     features.append(np.array(found, np.int64).reshape(-1, 2))
-    return Trees(np.repeat(np.arange(len(counts)), counts), parent, end, depth, tags, text, features, attributes, len(counts))
+    return Trees(np.repeat(np.arange(len(counts)), counts), parent, end, depth, tags, text, only, features, attributes, len(counts))
 
 
 def _potentials(trees: Trees, weights: np.ndarray) -> np.ndarray:
@@ -130,6 +157,8 @@ def sum_product(trees: Trees, weights: np.ndarray, edges: np.ndarray):
     n = len(trees.tags)
     own = np.stack([np.zeros(n), _potentials(trees, weights)], axis=1)
     kinds = np.array([_KINDS.get(t, 0) for t in trees.tags], np.int64)
+    kinds[trees.only] = _KIND_COUNT
+    edges = np.concatenate([edges, _SAME[None]])
     order = np.argsort(trees.depth, kind="stable")
     levels = np.split(order, np.flatnonzero(np.diff(trees.depth[order])) + 1) if n else []
     up = np.zeros((n, 2))  # message to the parent, by state of the parent
@@ -165,16 +194,20 @@ def _labels(trees: Trees) -> np.ndarray:
     for node, name, value in trees.attributes:
         if name == "data-main":
             labels[node : trees.end[node] + 1] = int(value)
+    # What holds a single thing is that thing.
+    for node in np.flatnonzero(trees.only)[::-1].tolist():
+        labels[trees.parent[node]] = labels[node]
     return labels
 
 
-def train_tree_model(nodes: pa.ListArray, rounds: int = 120, rate: float = 0.1, decay: float = 1e-3) -> TreeModel:
+def train_tree_model(nodes: pa.ListArray, rounds: int = 150, rate: float = 0.15, decay: float = 3e-4) -> TreeModel:
     """Fit to the trees of labelled pages (attribute data-main)."""
     flat = nodes.flatten()
     tags = sorted(set(flat.field(flat.type.get_field_index("tag")).to_pylist()))
     first = read_trees(nodes, {})
-    words = sorted({w for _, name, value in first.attributes if name != "data-main" for w in _WORD.findall(value)})
-    names = [f"tag {t}" for t in tags] + [f"in {t}" for t in tags] + [f"word {w}" for w in words]
+    words = sorted({w for _, name, value in first.attributes if name != "data-main" for w in name_words(value)})
+    pairs = sorted({f"plain {t} in {first.tags[p]}" for t, p in zip(first.tags, first.parent) if p >= 0 and t != "#text"})
+    names = pairs + [f"tag {t}" for t in tags] + [f"in {t}" for t in tags] + [f"plain {t}" for t in tags] + [f"word {w}" for w in words]
     names += [f"length {k}" for k in range(len(_LENGTHS) + 1)] + [f"text {k}" for k in range(len(_LENGTHS) + 1)] + [f"linked {k}" for k in range(len(_LINKED) + 1)]
     weights_of = {name: k for k, name in enumerate(names)}
     trees = read_trees(nodes, weights_of)
@@ -193,8 +226,9 @@ def train_tree_model(nodes: pa.ListArray, rounds: int = 120, rate: float = 0.1,
         g += np.bincount(pairs[:, 1], miss[pairs[:, 0]], size + 1)
         seen = np.zeros_like(joint)
         seen[child, y[trees.parent[child]], y[child]] = 1
-        ge = np.zeros((_KIND_COUNT, 2, 2))
+        ge = np.zeros((_KIND_COUNT + 1, 2, 2))
         np.add.at(ge, kinds[child], (seen - joint)[child])
+        ge = ge[:_KIND_COUNT]
         grad = np.concatenate([g[:size], ge.ravel()]) / trees.pages - decay * flat_weights
         moment[0] = 0.9 * moment[0] + 0.1 * grad
         moment[1] = 0.99 * moment[1] + 0.01 * grad**2
@@ -222,6 +256,17 @@ def page_texts(trees: Trees, main: np.ndarray) -> list[str]:
     return [" ".join("".join(parts).split()) for parts in out]
 
 
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with up to NODES_TOGETHER nodes; a larger page is a part of its own."""
+    ends = batch.column(batch.schema.get_field_index("nodes")).offsets.to_numpy()
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + NODES_TOGETHER, "right")) - 1)
+        # A slice keeps the offsets of the whole, so it is copied.
+        yield pa.Table.from_batches([batch.slice(at, to - at)]).take(pa.array(range(to - at))).combine_chunks().to_batches()[0]
+        at = to
+
+
 def fit_main_text(spark) -> TreeModel:
     """The model of the labelled pages, trained on the driver; their number is fixed."""
     pages = spark.createDataFrame([(k, page) for k, page in enumerate(labelled_pages())], "page_id int, html string")
@@ -239,7 +284,7 @@ def extract_main_text(pages: DataFrame, model: TreeModel | None = None, threshol
     model = model or fit_main_text(pages.sparkSession)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in _parts(whole)):
             trees = read_trees(batch.column(batch.schema.get_field_index("nodes")), model.weights_of)
             p, _, _ = sum_product(trees, model.weights, model.edges)
             never = np.zeros(len(trees.tags) + 1, np.int64)

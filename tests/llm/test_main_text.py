@@ -22,11 +22,12 @@ def trees(spark, pages, weights_of):
 def test_messages_give_exact_marginals(spark, model):
     tree = trees(spark, ["<div><p>a b c</p><a href='x'>d</a></div><p>e</p>"], model.weights_of)
     own = M._potentials(tree, model.weights)
-    kinds = [M._KINDS.get(t, 0) for t in tree.tags]
+    kinds = np.where(tree.only, M._KIND_COUNT, [M._KINDS.get(t, 0) for t in tree.tags])
+    edges = np.concatenate([model.edges, M._SAME[None]])
     total, main = 0.0, np.zeros(len(own))
     for states in itertools.product((0, 1), repeat=len(own)):
         energy = sum(o for o, s in zip(own, states) if s)
-        energy += sum(model.edges[kinds[k], states[p], states[k]] for k, p in enumerate(tree.parent) if p >= 0)
+        energy += sum(edges[kinds[k], states[p], states[k]] for k, p in enumerate(tree.parent) if p >= 0)
         total += np.exp(energy)
         main += np.exp(energy) * np.array(states)
     p, _, _ = M.sum_product(tree, model.weights, model.edges)
@@ -82,3 +83,30 @@ def test_stored_articles(spark, model):
         article = re.search(r"<article>(.*?)</article>", r.html, re.S).group(1)
         plain = re.sub(r"<[^>]*>", "", re.sub(r"</?(?:h1|p|br)>", " ", article))
         assert got[r.page_id] == " ".join(entities.unescape(plain).split())
+
+
+LONG = "Many people came to see the new bridge over the river and stayed there until late in the evening."
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f"<html><body><nav><a href=x>Home</a> <a href=y>News</a></nav>{LONG}<footer>c 2020</footer></body></html>", LONG),
+        (LONG, LONG),
+        (f"<html><body><div><a href=x>Home</a></div><div>{LONG}<br><br>{LONG}</div></body></html>", f"{LONG} {LONG}"),
+        (
+            f"<html><body><table><tr><td><a href=x>Home</a><a href=y>News</a><a href=z>About</a></td><td>{LONG}<br>{LONG}</td></tr></table></body></html>",
+            f"{LONG} {LONG}",
+        ),
+        (
+            "<html><body><nav><a href=x>Home</a></nav><article>" + "".join(f"<p><a href='/{k}'>{LONG}</a></p>" for k in range(8)) + "</article></body></html>",
+            " ".join([LONG] * 8),
+        ),
+        (f"<html><body><article><h1>News</h1><p>{LONG}</p><div class='message'><p>{LONG}</p></div></article></body></html>", f"News {LONG} {LONG}"),
+        (f"<html><body><article><h1>News</h1><p>{LONG}</p><div class='ad-free'><p>{LONG}</p></div></article></body></html>", f"News {LONG} {LONG}"),
+        ("<html><body>" + "<div>" * 3000 + f"<p>{LONG}</p><p>{LONG}</p>" + "</div>" * 3000 + "</body></html>", f"{LONG} {LONG}"),
+    ],
+    ids=["body", "no tags", "breaks", "table", "link article", "message", "ad-free", "deep"],
+)
+def test_plain_layouts_keep_their_text(spark, model, page, text):
+    assert extract(spark, model, page)[0].text == text
