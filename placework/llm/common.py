@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 import re
 import sys
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -189,7 +190,8 @@ def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
 # of the characters below, which are the only ones it is used for.
 _SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?[0-9]+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 _PLAIN = re.compile(r"[\t\n\r -~À-ÖØ-öø-ſ]*")
-_MEMO_WORDS = 300_000
+# Words kept since the last time that there were so many, and those kept then; longer words are encoded each time.
+_MEMO_WORDS, _MEMO_LENGTH = 600_000, 48
 
 
 def _tokenizer(path: str):
@@ -200,7 +202,7 @@ def _tokenizer(path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        kept[path] = (Tokenizer.from_file(path), {})
+        kept[path] = (Tokenizer.from_file(path), {}, {})
     return kept[path]
 
 
@@ -208,24 +210,41 @@ def token_ids(texts: list[str], path: str) -> list[bytes]:
     """The ids of each text as unsigned 32-bit little-endian numbers, as `tokenizers` gives them without added tokens.
 
     A byte-level vocabulary encodes the words of its split one by one, so each process keeps the ids of words it has
-    seen and encodes only new ones. Texts with characters for which the split was not checked, and those that
-    may hold a special string, are encoded whole.
+    seen and encodes only new ones, those of all texts together. Texts with characters for which the split was not
+    checked, and those that may hold a special string, are encoded whole.
     """
-    tokenizer, memo = _tokenizer(path)
-    out = []
+    tokenizer, memo, old = _tokenizer(path)
+    words, out, missing = [], [], set()
     for text in texts:
-        if "<|" in text or not _PLAIN.fullmatch(text):
-            out.append(np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
+        plain = "<|" not in text and _PLAIN.fullmatch(text) is not None
+        mine = _SPLIT.findall(text) if plain else None
+        words.append(mine)
+        if mine is None:
+            out.append(array("I", tokenizer.encode(text, add_special_tokens=False).ids).tobytes())
             continue
-        words = _SPLIT.findall(text)
-        new = [w for w in set(words) if w not in memo]
-        if new:
-            if len(memo) > _MEMO_WORDS:
-                memo.clear()
-                new = list(set(words))
-            for word, encoded in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                memo[word] = np.array(encoded.ids, "<u4").tobytes()
-        out.append(b"".join([memo[w] for w in words]))
+        ids = list(map(memo.get, mine))
+        if None in ids:
+            missing.update([word for word, own in zip(mine, ids) if own is None])
+            out.append(None)
+        else:
+            out.append(b"".join(ids))
+    new, long_ones = [], {}
+    for word in missing:
+        ids = old.get(word)
+        if ids is None:
+            new.append(word)
+        else:
+            memo[word] = ids
+    for word, encoded in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+        (memo if len(word) <= _MEMO_LENGTH else long_ones)[word] = array("I", encoded.ids).tobytes()
+    have = memo.__getitem__ if not long_ones else lambda w: memo[w] if w in memo else long_ones[w]
+    for k, ids in enumerate(out):
+        if ids is None:
+            out[k] = b"".join(map(have, words[k]))
+    if len(memo) > _MEMO_WORDS:
+        old.clear()
+        old.update(memo)
+        memo.clear()
     return out
 
 
