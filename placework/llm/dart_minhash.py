@@ -9,11 +9,12 @@ hash per element and a number of darts that does not depend on its length.
 
 Bands of coordinates are joined, pairs are verified on all shingles, and links become classes. Equal texts are one
 text here, so a group of copies is never paired. In a bucket every text is compared with the bucket's first
-text; then texts that are still of different classes are compared with their neighbours in a random order of the bucket,
-and that is repeated with new orders until a round finds no link. So a bucket sends a number of pairs in proportion
-to its texts, whatever its size. Texts of larger buckets that are still of different classes then go through an exact
+text; then texts that are still of different classes are compared with the nearest, by one-bit marks, of their neighbours in a
+random order of each bucket, and that is repeated with new orders until a round finds no link. So a text sends a bounded
+number of pairs, whatever the size of its buckets. Texts of larger buckets that are still of different classes then go through an exact
 join on their rarest shingles (prefix filter): two texts at the similarity share one among the rarest of each, and
-what a crowd has in common comes last in the order, so it makes no pairs below the similarity.
+what a crowd has in common comes last in the order. Before two texts that share a rare shingle become a pair, bounds on
+their lengths, places and parity bits are looked at inside the task; none of them rules out a similar pair.
 """
 
 from __future__ import annotations
@@ -33,7 +34,8 @@ SHINGLE_WORDS = 5
 # A pair at the similarity misses all bands with probability (1 - 0.8^4)^25 = 2e-6.
 BANDS, BAND_ROWS = 25, 4
 COORDINATES = BANDS * BAND_ROWS
-NEIGHBOURS = 4
+# A text looks at so many neighbours on each bucket's random order, and is compared with so many of all of them, those nearest by marks.
+NEIGHBOURS, NEAREST = 4, 4
 # Marks are one bit of each coordinate, and those of two texts differ in (1 - J) / 2 of them: at the similarity in more than
 # this number of 100 with probability 4e-6, at a similarity of 0.3 in fewer with probability 0.02.
 MARKS_APART = 25
@@ -42,7 +44,11 @@ ORDERED_TOGETHER = 5000
 # Counters of shingles; shingles that share one are taken as equally frequent, which changes the order but no result.
 COUNTERS = 1 << 20
 # Candidates of the exact join that are looked at together, and in how many of them a group of rows is taken apart by class.
-LOOKED_AT, TAKEN_APART = 1 << 20, 1 << 16
+LOOKED_AT, TAKEN_APART = 1 << 18, 1 << 16
+# Words of 64 bits of a text's parity bits in the exact join.
+PARITY_WORDS = 8
+# Rows of a shingle that are paired in one task; the rows of a more frequent one are cut into blocks, and each two blocks meet.
+PAIRED_TOGETHER = 8192
 
 _FIRST_RANK = 0.25
 _WAY = seeded(11, 2)
@@ -183,13 +189,28 @@ def _shingle_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(counts[slots])], names=["slot", "n"])
 
 
+def parity_bits(shingles: np.ndarray, weights: np.ndarray, owner: np.ndarray, texts: int) -> np.ndarray:
+    """PARITY_WORDS words of each text: each occurrence of a shingle turns the bit it is hashed to.
+
+    Two texts whose shingles differ by n occurrences differ in at most n bits, whatever collides, so these never rule out a
+    pair that is similar.
+    """
+    number = np.arange(int(weights.sum())) - np.repeat(np.cumsum(weights) - weights, weights)
+    token = mix(np.repeat(shingles, weights) + number.astype(U64) * U64(0x9E3779B97F4A7C15))
+    size = 64 * PARITY_WORDS
+    at = np.repeat(owner, weights) * size + (token % U64(size)).astype(np.int64)
+    odd = (np.bincount(at, minlength=texts * size) & 1).astype(bool)
+    return np.packbits(odd.reshape(texts, size), axis=1, bitorder="little").view(np.int64)
+
+
 def _prefixes(counts: np.ndarray, least: float):
-    """Rarest shingles of each text up to a share of 1 - least of its weight, with the weight before each."""
+    """Rarest shingles of each text up to a share of 1 - least of its weight, with the weight before each, and parity bits."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in pieces(batch, "text"):
                 shingles, weights, owner = counted_shingles([t.encode() for t in texts], SHINGLE_WORDS)
+                parity = parity_bits(shingles, weights, owner, len(texts))
                 times = counts[(shingles % U64(COUNTERS)).astype(np.int64)]
                 order = np.lexsort((shingles, times, owner))
                 shingles, weights, times = shingles[order], weights[order], times[order]
@@ -201,22 +222,25 @@ def _prefixes(counts: np.ndarray, least: float):
                 at = np.flatnonzero((before <= (1 - least) * length[owner] + 1e-6) & (times > 1))
                 of = owner[at]
                 uid, root = (np.asarray(part.column(part.schema.get_field_index(c)))[of] for c in ("uid", "root"))
-                columns = (shingles[at].view(np.int64), uid, root, length[of], before[at])
+                columns = (shingles[at].view(np.int64), uid, root, length[of], before[at], *parity[of].T)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=_PREFIX)
 
     return rows
 
 
-_PREFIX = ["shingle", "uid", "root", "length", "before"]
+_PREFIX = ["shingle", "uid", "root", "length", "before", *(f"bits{k}" for k in range(PARITY_WORDS))]
+# Which half of a pair of blocks a row is in; WHOLE: it meets every row of its group.
+WHOLE = 2
 
 
 def _ranged(short, long, columns, least):
     """Pairs (rows of columns) of a shorter and a longer text of one group and different classes that may be similar.
 
     Texts of the lengths L and M at the similarity share least / (1 + least) * (L + M) of weight, and from their first
-    common shingle on each has at least that. `short` and `long` are rows in the order of group and length.
+    common shingle on each has at least that. They differ in at most (1 - least) / (1 + least) * (L + M) occurrences, and
+    so in at most as many parity bits. `short` and `long` are rows in the order of group and length.
     """
-    group, root, length, before = columns
+    group, root, length, before, side, *bits = columns
     share = least / (1 + least)
     key = (group << 36) + length
     most = np.floor(np.minimum((length[short] - before[short]) / share - length[short], length[short] / least) + 1e-6)
@@ -229,7 +253,10 @@ def _ranged(short, long, columns, least):
         source = np.searchsorted(ends, number, "right")
         a, b = short[source], long[low[source] + number - (ends - counts)[source]]
         both = share * (length[a] + length[b]) - 1e-6
-        kept = (root[a] != root[b]) & (length[b] - before[b] >= both)
+        kept = (root[a] != root[b]) & (length[b] - before[b] >= both) & ((side[a] != side[b]) | (side[a] == WHOLE))
+        a, b = a[kept], b[kept]
+        apart = sum(np.bitwise_count((word[a] ^ word[b]).view(U64)).astype(np.int32) for word in bits)
+        kept = apart <= (1 - least) / (1 + least) * (length[a] + length[b]) + 1e-6
         yield a[kept], b[kept]
 
 
@@ -251,11 +278,11 @@ def _group_pairs(rows, columns, least):
 def _prefix_pairs(least: float):
     def found(table: np.ndarray) -> Iterator[pa.RecordBatch]:
         table = table[:, np.lexsort((table[3], table[0]))]
-        shingle, uid, root, length, before = table
+        shingle, uid, root, length, before, *bits, side = table
         new = np.concatenate([[True], shingle[1:] != shingle[:-1]])
         starts = np.flatnonzero(new)
         sizes = np.diff(np.append(starts, len(shingle)))
-        columns = (np.cumsum(new) - 1, root, length, before)
+        columns = (np.cumsum(new) - 1, root, length, before, side, *bits)
         large = sizes.astype(np.int64) ** 2 > TAKEN_APART
         small = np.flatnonzero(np.repeat(~large, sizes))
         parts = [_ranged(small, small, columns, least)]
@@ -268,7 +295,7 @@ def _prefix_pairs(least: float):
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting, rows, enough = [], 0, LOOKED_AT
         for batch in batches:
-            table = np.stack([np.asarray(c) for c in batch.columns]) if batch.num_rows else np.zeros((5, 0), np.int64)
+            table = np.stack([np.asarray(c) for c in batch.columns]) if batch.num_rows else np.zeros((batch.num_columns, 0), np.int64)
             waiting.append(table)
             rows += table.shape[1]
             if rows >= enough:
@@ -294,9 +321,20 @@ def _rare_pairs(crowded: DataFrame, texts: DataFrame, least: float) -> DataFrame
     seen = counted.where("n > 1").toArrow()
     counts = np.ones(COUNTERS, np.int64)
     counts[seen["slot"].to_numpy()] = seen["n"].to_numpy()
-    rare = bags.mapInArrow(_prefixes(counts, least), ", ".join(f"{c} long" for c in _PREFIX))
-    rare = rare.repartition("shingle").sortWithinPartitions("shingle")
-    return rare.mapInArrow(_prefix_pairs(least), "a long, b long").distinct()
+    rare = written(bags.mapInArrow(_prefixes(counts, least), ", ".join(f"{c} long" for c in _PREFIX)), "near-rare")
+    # A frequent shingle's rows go to each pair of blocks that their own block is in, half against half.
+    groups = rare.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
+    groups = groups.select("shingle", F.ceil(F.col("n") / PAIRED_TOGETHER).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int")
+    dealt = rare.join(groups, "shingle").withColumn("own", own)
+    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    pair = F.xxhash64("shingle", F.least("own", "other"), F.greatest("own", "other"))
+    side = F.when(F.col("own") == F.col("other"), WHOLE).when(F.col("own") < F.col("other"), 0).otherwise(1).cast("long")
+    # Rows of a block meet each other once, where the block is paired with itself.
+    group = F.when(F.col("blocks") == 1, F.col("shingle")).otherwise(pair)
+    dealt = dealt.select(group.alias("shingle"), *_PREFIX[1:], side.alias("side"))
+    dealt = dealt.repartition("shingle").sortWithinPartitions("shingle")
+    return dealt.mapInArrow(_prefix_pairs(least), "a long, b long").distinct()
 
 
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -344,13 +382,19 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         order = Window.partitionBy("bucket", "cut").orderBy(F.xxhash64("uid", "bucket", F.lit(turn)), "uid")
         near = now.join(mixed.where("low < high").select("bucket", "n0"), "bucket").withColumn("cut", cut)
         next_ = [F.lead(text, k).over(order).alias(f"n{k}") for k in range(1, NEIGHBOURS + 1)]
-        near = near.select("uid", "root", "mark1", "mark2", "n0", *next_)
-        near = near.select("uid", "root", "mark1", "mark2", F.explode(F.array(*[f"n{k}" for k in range(NEIGHBOURS + 1)])).alias("other"))
+        near = near.select("uid", "root", "mark1", "mark2", "n", "n0", *next_)
+        # A bucket's first text is looked at once.
+        others = F.array(*[f"n{k}" for k in range(min(turn - 1, 1), NEIGHBOURS + 1)])
+        near = near.select("uid", "root", "mark1", "mark2", "n", F.explode(others).alias("other"))
         apart = F.expr("bit_count(mark1 ^ other.mark1) + bit_count(mark2 ^ other.mark2)")
-        new = near.where("other is not null and other.root <> root").where(apart <= MARKS_APART).select(
-            F.greatest("uid", "other.uid").alias("a"), F.least("uid", "other.uid").alias("b")
-        )
-        new = written(new.distinct().join(tried, ["a", "b"], "left_anti"), "near-pairs")
+        near = near.where("other is not null and other.root <> root").select("uid", "n", F.col("other.uid").alias("other"), apart.alias("apart"))
+        near = near.where(F.col("apart") <= MARKS_APART)
+        # At most BANDS * (NEIGHBOURS + 1) texts are looked at from one. The only pair of a bucket of two is always compared.
+        nearest = F.slice(F.array_sort(F.collect_set(F.struct("apart", "other"))), 1, NEAREST)
+        chosen = near.where("n > 2").groupBy("uid").agg(nearest.alias("nearest")).select("uid", F.explode("nearest.other").alias("other"))
+        new = near.where("n = 2").select("uid", "other").union(chosen)
+        new = new.select(F.greatest("uid", "other").alias("a"), F.least("uid", "other").alias("b")).distinct()
+        new = written(new.join(tried, ["a", "b"], "left_anti"), "near-pairs")
         if new.isEmpty():
             break
         found = _verified(new, texts, similarity)
@@ -361,8 +405,8 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         classes = link_classes(stars, "near-classes").withColumnRenamed("id", "uid")
         links, tried = links.union(found), tried.union(new)
 
-    # Buckets up to this size were compared whole; of the larger ones only texts of different classes are left.
-    crowded = now.where(F.col("n") > NEIGHBOURS + 1).join(mixed.where("low < high").select("bucket"), "bucket")
+    # Buckets of two were compared; of the larger ones texts of different classes are left.
+    crowded = now.where("n > 2").join(mixed.where("low < high").select("bucket"), "bucket")
     crowded = written(crowded.select("uid", "root").distinct(), "near-crowded")
     if not crowded.isEmpty():
         new = written(_rare_pairs(crowded, texts, similarity).join(tried, ["a", "b"], "left_anti"), "near-pairs")

@@ -219,9 +219,68 @@ def test_rare_pairs_lose_none(spark, monkeypatch):
     assert len(want) > 60
     rows = spark.createDataFrame(list(enumerate(texts)), "uid long, text string")
     crowded = spark.createDataFrame(list(enumerate(root)), "uid long, root long")
-    for counters, apart in [(D.COUNTERS, D.TAKEN_APART), (64, 0)]:
+    for counters, apart, together in [(D.COUNTERS, D.TAKEN_APART, D.PAIRED_TOGETHER), (64, 0, 3), (D.COUNTERS, 0, 1)]:
         monkeypatch.setattr(D, "COUNTERS", counters)
         monkeypatch.setattr(D, "TAKEN_APART", apart)
         monkeypatch.setattr(D, "LOOKED_AT", 1 << 20 if apart else 50)
+        monkeypatch.setattr(D, "PAIRED_TOGETHER", together)
         got = {(x.a, x.b) for x in D._rare_pairs(crowded, rows, D.SIMILARITY).collect()}
         assert want <= got and all(root[a] != root[b] for a, b in got)
+
+
+def slotted_texts(n, slots=12, values=20, planted=10, seed=3):
+    """Texts of one template of 300 words with slots of some values each, about 0.68 to each other, and pairs that differ in two words."""
+    r = random.Random(seed)
+    template = [f"t{k}" for k in range(300)]
+    rows = []
+    for _ in range(n):
+        words = list(template)
+        for slot in range(slots):
+            words[24 * slot + 9] = f"s{slot}v{r.randrange(values)}"
+        rows.append(words)
+    for k in range(planted):
+        words = list(rows[k])
+        words[3], words[150] = f"x{k}", f"y{k}"
+        rows.append(words)
+    return [" ".join(words) for words in rows]
+
+
+def test_pairs_of_a_slotted_template_grow_with_its_texts(spark):
+    made = {}
+    for n in (250, 500, 1000):
+        texts = slotted_texts(n)
+        rows = spark.createDataFrame(list(enumerate(texts)), "uid long, text string").repartition(4)
+        got = {(x.a, x.b) for x in D._rare_pairs(rows.selectExpr("uid", "uid as root"), rows, D.SIMILARITY).collect()}
+        assert {(n + k, k) for k in range(10)} <= got
+        made[n] = len(got)
+    # All pairs would be 31,125, 124,750 and 499,500; nearly all that are left are the planted ones and chance likenesses.
+    assert made[1000] <= 2 * made[500] + 500 and made[1000] < 3000
+
+
+def test_classes_of_a_slotted_template_are_those_of_all_pairs(spark):
+    texts = slotted_texts(600)
+    _, links = all_links(texts)
+    root = list(range(len(texts)))
+    for _ in range(len(texts)):
+        changed = False
+        for a, b in links:
+            low = min(root[a], root[b])
+            changed |= root[a] != low or root[b] != low
+            root[a] = root[b] = low
+        if not changed:
+            break
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    assert {r.doc_id: r.class_id for r in D.near_classes(docs).collect()} == dict(enumerate(root))
+
+
+def test_parity_bits_never_exceed_the_difference():
+    r = random.Random(9)
+    for _ in range(200):
+        base = [f"w{r.randrange(50)}" for _ in range(r.randrange(1, 400))]
+        other = [w if r.random() > r.choice([0.01, 0.2]) else "x" for w in base] + ["y"] * r.randrange(3)
+        texts = [" ".join(base).encode(), " ".join(other).encode()]
+        shingles, weights, owner = counted_shingles(texts)
+        bags = [dict(zip(shingles[owner == k].tolist(), weights[owner == k].tolist())) for k in (0, 1)]
+        differ = sum(abs(bags[0].get(s, 0) - bags[1].get(s, 0)) for s in set(bags[0]) | set(bags[1]))
+        bits = D.parity_bits(shingles, weights, owner, 2)
+        assert np.bitwise_count((bits[0] ^ bits[1]).view(np.uint64)).sum() <= differ
