@@ -8,14 +8,13 @@ measured size is below the session threshold and sorts and merges beyond it.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import grid_point, old_place_path, place_path
 from ..functions.text import normal_name
 from .nearby import match_nearby, nearby_pairs  # noqa: F401
+from .rarity import by_rarity, piece_levels
 from .windows import collect_in_chunks
 
 NO_VALUE = -(2**62)
@@ -72,8 +71,6 @@ def resolve_county(
 
 
 GRAM = 3
-# How often runs of letters occur in names is counted in so many places; runs that share one count together.
-RUN_COUNTS = 16_384
 
 
 def _runs(name: Column, size: int) -> Column:
@@ -82,20 +79,6 @@ def _runs(name: Column, size: int) -> Column:
     return F.when(F.length(name) >= size, F.transform(starts, lambda at: F.substring(name, at, F.lit(size))))
 
 
-def _place(run: Column) -> Column:
-    return F.pmod(F.xxhash64(run), F.lit(RUN_COUNTS)).cast("int")
-
-
-def _run_levels(names: DataFrame) -> Column:
-    """How common each run of GRAM letters is in the names, by place: RUN_COUNTS bytes, six steps for each doubling."""
-    runs = names.select(F.explode(F.array_distinct(_runs(F.col("__name"), GRAM))).alias("run"))
-    counted = runs.groupBy(_place(F.col("run")).alias("at")).agg(F.count("*").alias("n")).collect()
-    levels = bytearray(RUN_COUNTS)
-    for row in counted:  # at most RUN_COUNTS rows
-        levels[row["at"]] = min(255, int(6 * math.log2(row["n"] + 1)))
-    return F.lit(bytes(levels))
-
-
 def _names_by_run(names: DataFrame) -> DataFrame:
     """(county, run) -> ids and names that contain it.
 
@@ -131,7 +114,8 @@ def find_contained(
         F.col("id").alias("__id"),
         normal_name(F.col(name)).alias("__name"),
     ).filter("__name IS NOT NULL AND __in IS NOT NULL")
-    levels, index = _run_levels(names), _names_by_run(names)
+    levels = piece_levels(names.select(F.explode(F.array_distinct(_runs(F.col("__name"), GRAM)))))
+    index = _names_by_run(names)
     rows = df.withColumn("__in", F.lit(0) if within is None else within)
     rows = rows.withColumns({f"__text{k}": normal_name(text) for k, text in enumerate(texts)})
     found = []
@@ -140,10 +124,7 @@ def find_contained(
         if k:
             # A text that was tried already is not tried again.
             text = F.when(~F.coalesce(text.eqNullSafe(F.col(f"__text{k - 1}")), F.lit(False)), text)
-        ranked = F.transform(
-            _runs(text, GRAM), lambda r: F.struct(F.substring(levels, _place(r) + 1, F.lit(1)).alias("level"), r.alias("run"))
-        )
-        run = F.when(F.length(text) < GRAM, text).otherwise(F.array_min(ranked)["run"])
+        run = F.when(F.length(text) < GRAM, text).otherwise(F.get(by_rarity(_runs(text, GRAM), levels), 0)["piece"])
         list_k = index.select(F.col("__in"), F.col("__run").alias(f"__run{k}"), F.col("__names").alias(f"__names{k}"))
         rows = rows.withColumn(f"__run{k}", run).join(list_k, ["__in", f"__run{k}"], "left")
         found.append(_lowest_holding(F.col(f"__names{k}"), F.col(f"__text{k}")))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.geo import distance_m
 from ..functions.text import similarity, similarity_bound, similarity_bound_by_edits
 from ..session import written
+from .rarity import by_rarity, piece_levels
 
 # A degree of latitude is longer than this everywhere on the sphere that `distance_m` measures.
 METRES_PER_DEGREE = 111_000.0
@@ -51,29 +52,26 @@ def _shared_pieces(length: Column, min_ratio: float) -> Column:
     return F.greatest(F.floor(length * share - 1 - 1e-9) + 1, F.lit(0)).cast("int")
 
 
-def _pieces(name: Column) -> Column:
-    """Letter pairs of a name; a repeated pair counts as a new one each time."""
+def _with_pieces(df: DataFrame) -> DataFrame:
+    """Letter pairs of the name in `__pieces`; a repeated pair counts as a new one each time.
+
+    Arrays that a function of each element reads are columns of their own, or they are made anew for each element.
+    """
+    name = F.col("name")
     pairs = F.transform(
         F.sequence(F.lit(1), F.greatest(F.length(name) - 1, F.lit(1))), lambda i: F.substring(name, i, F.lit(2))
     )
-    return F.transform(
-        pairs, lambda p, i: F.concat(p, F.size(F.filter(F.slice(pairs, 1, i + 1), lambda q: q == p)).cast("string"))
-    )
+    # In order equal pairs follow each other, so a pair's number is its distance from the first of them.
+    number = lambda p, i: F.concat(p, (i + 2 - F.array_position("__pairs", p)).cast("string"))
+    return df.withColumn("__pairs", F.array_sort(pairs)).withColumn("__pieces", F.transform("__pairs", number)).drop("__pairs")
 
 
-def _met(a: DataFrame, b: DataFrame, min_ratio: float) -> DataFrame:
-    """Pairs of two sides that agree on a cell and on one of the rarest letter pairs of both."""
-    names = a.select("name").union(b.select("name")).distinct()
-    pieces = names.select("name", F.explode(_pieces(F.col("name"))).alias("piece"))
-    counts = pieces.groupBy("piece").agg(F.count("*").alias("names"))
-    # One group per name, no longer than the name.
-    ranked = (
-        pieces.join(counts, "piece")
-        .groupBy("name")
-        .agg(F.array_sort(F.collect_list(F.struct("names", "piece"))).alias("ranked"))
-    )
+def _met(left: DataFrame, right: DataFrame, cell: float, min_ratio: float) -> DataFrame:
+    """Pairs of values of two sides that agree on a cell and on one of the rarest letter pairs of both."""
+    a, b = _values(left), _values(right)
+    levels = piece_levels(_with_pieces(a.select("name").union(b.select("name"))).select(F.explode("__pieces")))
     needed = _shared_pieces(F.length("name"), min_ratio)
-    rarest = F.slice("ranked", 1, F.size("ranked") - needed + 1)
+    rarest = F.slice("__ranked", F.lit(1), F.size("__ranked") - needed + 1)
     keys = F.transform(rarest, lambda r: r["piece"])
     # Names of up to three letters need not share a pair, but then they equal the other name or lack one letter of it
     # (more than 0.4 * (3 + 4) letters are equal), so both sides of up to four letters are known by their deletions.
@@ -82,28 +80,29 @@ def _met(a: DataFrame, b: DataFrame, min_ratio: float) -> DataFrame:
         F.sequence(F.lit(1), F.greatest(F.length(name), F.lit(1))),
         lambda i: F.concat(F.lit("="), F.substring(name, F.lit(1), i - 1), F.substring(name, i + 1, F.length(name))),
     )
-    short = F.array_distinct(F.concat(keys, F.array(F.concat(F.lit("="), name)), cuts))
-    keyed = ranked.select("name", F.when(F.length(name) <= 4, short).otherwise(keys).alias("keys"))
-    keyed = written(keyed, "name-keys")
-
-    def side(df: DataFrame, prefix: str) -> DataFrame:
-        return df.join(keyed, "name").select(
+    short = F.array_distinct(F.concat("__keys", F.array(F.concat(F.lit("="), name)), cuts))
+    every = F.when(F.length(name) <= 4, short).otherwise(F.col("__keys"))
+
+    def side(df: DataFrame, reach: int, prefix: str) -> DataFrame:
+        ranked = _with_pieces(df).withColumn("__ranked", by_rarity(F.col("__pieces"), levels))
+        keyed = _with_cells(ranked.withColumn("__keys", keys).select(*VALUE, every.alias("keys")), cell, reach)
+        # Of the cells around a place few have a place of the other side; only there its keys are needed.
+        others = _with_cells(b if prefix == "left" else a, cell, 1 - reach).select(*CELL).distinct()
+        return keyed.join(others, CELL, "left_semi").select(
             *CELL,
             F.explode("keys").alias("__key"),
             F.col("keys").alias(f"{prefix}_keys"),
             *[F.col(c).alias(f"{prefix}_{c}") for c in VALUE],
         )
 
-    met = side(a, "left").join(side(b, "right"), [*CELL, "__key"])
+    met = side(a, 0, "left").join(side(b, 1, "right"), [*CELL, "__key"])
     # A pair that agrees on several keys is kept under the first of them.
     first_key = F.get(F.array_intersect("left_keys", "right_keys"), 0)
     return met.filter(F.col("__key") == first_key).drop("left_keys", "right_keys", "__key")
 
 
-def _sides(left: DataFrame, right: DataFrame, metres: float) -> tuple[DataFrame, DataFrame]:
-    cell = metres / METRES_PER_DEGREE
-    a = _with_cells(left.select(*VALUE).filter("name IS NOT NULL").distinct(), cell, 0)
-    return a, _with_cells(right.select(*VALUE).filter("name IS NOT NULL").distinct(), cell, 1)
+def _values(df: DataFrame) -> DataFrame:
+    return df.select(*VALUE).filter("name IS NOT NULL").distinct()
 
 
 def nearby_pairs(left: DataFrame, right: DataFrame, metres: float = 10.0, min_ratio: float = LEAST_RATIO) -> DataFrame:
@@ -112,7 +111,8 @@ def nearby_pairs(left: DataFrame, right: DataFrame, metres: float = 10.0, min_ra
     Both sides need name, latitude, longitude. All names of neighbouring cells are paired, as the result asks for;
     `match_nearby` is the form for crowded places.
     """
-    a, b = _sides(left, right, metres)
+    cell = metres / METRES_PER_DEGREE
+    a, b = _with_cells(_values(left), cell, 0), _with_cells(_values(right), cell, 1)
     named = [df.select(*CELL, *[F.col(c).alias(f"{side}_{c}") for c in VALUE]) for df, side in ((a, "left"), (b, "right"))]
     return _within(named[0].join(named[1], CELL), metres, min_ratio)
 
@@ -134,7 +134,7 @@ def match_nearby(left: DataFrame, right: DataFrame, metres: float = 10.0, min_ra
     """
     if min_ratio < LEAST_RATIO:
         raise ValueError(f"min_ratio must be at least {LEAST_RATIO}")
-    near = _within(_met(*_sides(left, right, metres), min_ratio), metres, min_ratio)
+    near = _within(_met(left, right, metres / METRES_PER_DEGREE, min_ratio), metres, min_ratio)
     # Most pairs fall to the bound by edits, which needs no Python.
     can_match = similarity_bound_by_edits(F.col("left_name"), F.col("right_name")) > min_ratio - 1e-9
     pairs = written(near.filter((F.col("left_name") == F.col("right_name")) | can_match), "nearby-pairs")
