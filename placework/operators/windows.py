@@ -1,8 +1,8 @@
 """First, top-k and numbering per group, and lists collected in chunks of bounded size.
 
 Group limits (`row_number() <= k`) are pushed below the shuffle by Spark, so a hot key sends at most
-k rows per map task. Full numbering cannot be limited that way; there rows are dealt by ranges of key and order, each
-range is numbered by itself, and the numbers are shifted by the rows of the key in the ranges before.
+k rows per map task. Full numbering cannot be limited that way; there rows are dealt by ranges of key and order and sorted
+once, and a row's number is its place in its range, shifted by the rows of the key in the ranges before.
 """
 
 from __future__ import annotations
@@ -41,15 +41,18 @@ def top_k_per_key(df: DataFrame, key: list[str], order, k: int, rank: str | None
     return out if rank else out.drop(name)
 
 
-def _ranged(df: DataFrame, key: list[str], orders: list) -> tuple[DataFrame, list]:
-    """The rows as a written table with the number of their range of key and order, and the full order.
+def _ranged(df: DataFrame, key: list[str], orders: list) -> DataFrame:
+    """The rows as a written table with the number of their range of key and order, and their place in it (from 0).
 
-    A digest of the row comes last in the order: rows that tie are not all of one range, and their numbers do not
-    change from run to run.
+    Rows are dealt by ranges and sorted there, so a row's place is that in its range's file. A digest of the row comes
+    last in the order: rows that tie are not all of one range, and their numbers do not change from run to run.
     """
     plain = [f.name for f in df.schema.fields if isinstance(f.dataType, T.AtomicType)]
-    orders = [*orders, F.xxhash64(*[F.col(f"`{c}`") for c in plain])]
-    return written(df.repartitionByRange(*key, *orders).withColumn("__part", F.spark_partition_id()), "ranges"), orders
+    orders = [*key, *orders, F.xxhash64(F.lit(0), *[F.col(f"`{c}`") for c in plain])]
+    dealt = df.repartitionByRange(*orders).sortWithinPartitions(*orders)
+    # The low 33 bits of this id count the rows of a partition.
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return written(dealt.select("*", F.spark_partition_id().alias("__part"), place.alias("__n")), "ranges")
 
 
 def number_within(
@@ -64,24 +67,18 @@ def number_within(
     if bounded:
         plain = F.row_number().over(Window.partitionBy(*key).orderBy(*orders))
         return df.withColumn(name, plain + F.lit(start - 1))
-    ranged, orders = _ranged(df, key, orders)
+    ranged = _ranged(df, key, orders)
     earlier = Window.partitionBy(*key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    before = (
+    # Rows of a group in the ranges before, less the place where it begins in this one.
+    shift = F.coalesce(F.sum("__rows").over(earlier), F.lit(0)) - F.col("__first")
+    shifts = (
         ranged.groupBy(*key, "__part")
-        .agg(F.count("*").alias("__rows"))
-        .select(
-            *[F.col(k).alias(f"__k{i}") for i, k in enumerate(key)],
-            F.col("__part").alias("__p"),
-            F.coalesce(F.sum("__rows").over(earlier), F.lit(0)).alias("__before"),
-        )
+        .agg(F.count("*").alias("__rows"), F.min("__n").alias("__first"))
+        .select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(key)], F.col("__part").alias("__p"), shift.alias("__shift"))
     )
     on = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(key)]
-    window = Window.partitionBy(*key, "__part").orderBy(*orders)
-    return (
-        ranged.withColumn("__n", F.row_number().over(window))
-        .join(before, [*on, F.col("__part") == F.col("__p")])
-        .select(*df.columns, (F.col("__n") + F.col("__before") + F.lit(start - 1)).alias(name))
-    )
+    numbered = ranged.join(shifts, [*on, F.col("__part") == F.col("__p")])
+    return numbered.select(*df.columns, (F.col("__n") + F.col("__shift") + F.lit(start)).alias(name))
 
 
 def _numbered_parts(parts: DataFrame, name: str, start: int) -> DataFrame:
@@ -99,18 +96,8 @@ def _numbered_parts(parts: DataFrame, name: str, start: int) -> DataFrame:
 
 
 def number_all(df: DataFrame, order, name: str = "n", start: int = 0) -> DataFrame:
-    """Running number over the whole input without gathering it.
-
-    Rows are dealt by ranges of the order and sorted there, so the place inside a range is that in its file; numbers are
-    shifted by the rows of the ranges before. Ties are told apart by a digest of the row.
-    """
-    plain = [f.name for f in df.schema.fields if isinstance(f.dataType, T.AtomicType)]
-    orders = [*_orders(order), F.xxhash64(*[F.col(f"`{c}`") for c in plain])]
-    dealt = df.repartitionByRange(*orders).sortWithinPartitions(*orders)
-    # The low 33 bits of this id count the rows of a partition.
-    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    parts = written(dealt.select("*", F.spark_partition_id().alias("__part"), place.alias("__n")), "ranges")
-    return _numbered_parts(parts, name, start)
+    """Running number over the whole input without gathering it: ranges of the order, shifted by the rows before."""
+    return _numbered_parts(_ranged(df, [], _orders(order)), name, start)
 
 
 SLICES = 4096
