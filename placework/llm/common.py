@@ -191,7 +191,7 @@ def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
 _SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?[0-9]+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 _PLAIN = re.compile(r"[\t\n\r -~À-ÖØ-öø-ſ]*")
 # Words kept since the last time that there were so many, and those kept then; longer words are encoded each time.
-_MEMO_WORDS, _MEMO_LENGTH = 600_000, 48
+_MEMO_WORDS, _MEMO_LENGTH = 400_000, 48
 
 
 def _tokenizer(path: str):
@@ -206,6 +206,11 @@ def _tokenizer(path: str):
     return kept[path]
 
 
+def release_words(path: str) -> None:
+    """At the end of a task: the worker process goes on with other work, so half of what it remembers goes."""
+    _tokenizer(path)[2].clear()
+
+
 def token_ids(texts: list[str], path: str) -> list[bytes]:
     """The ids of each text as unsigned 32-bit little-endian numbers, as `tokenizers` gives them without added tokens.
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pieces, text_of, token_ids, written
+from .common import pieces, release_words, text_of, token_ids, written
 
 PIECE_SCHEMA = "uid long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 # Rows of a length that one task numbers; a more frequent length is cut by a hash.
@@ -44,6 +44,7 @@ def _cutter(tokenizer: str, size: int, end_id: int, keep_ids: bool):
                 columns = [pa.array(c, pa.binary() if n == "ids" else pa.int64()) for n, c in zip(names, zip(*rows))]
                 used = 7 if keep_ids else 6
                 yield pa.RecordBatch.from_arrays(columns[:used], names=names[:used])
+        release_words(tokenizer)
 
     return cut
 

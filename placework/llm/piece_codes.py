@@ -251,6 +251,8 @@ def encode_pieces(docs: DataFrame, model: str, end: bool = True) -> DataFrame:
                 offsets = pa.array(np.concatenate([[0], np.cumsum([len(r) // 4 for r in rows])]).astype(np.int32))
                 ids = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(rows), "<i4")))
                 yield pa.RecordBatch.from_arrays([part.column(0), ids], names=["doc_id", "ids"])
+        # The worker process goes on with other work, so half of what it remembers goes.
+        table.memo.old = {}
 
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))])
     return docs.select("doc_id", text_of().alias("text")).mapInArrow(run, schema)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import folder_exists, pieces, text_of, token_ids
+from .common import folder_exists, pieces, release_words, text_of, token_ids
 
 CACHE_SCHEMA = "digest string, tokenizer string, n_tokens long"
 
@@ -36,6 +36,7 @@ def _encoder(path: str, version: str):
                         "n_tokens": pa.array(counts, pa.int64()),
                     }
                 )
+        release_words(path)
 
     return encode
 
