@@ -9,9 +9,9 @@ hash per element and a number of darts that does not depend on its length.
 
 Bands of coordinates are joined, pairs are verified on all shingles, and links become classes. Equal texts are one
 text here, so a group of copies is never paired. In a bucket every text is compared with the bucket's first
-text; then texts that are still of different classes are compared with the nearest, by one-bit marks, of their neighbours in a
-random order of each bucket, and that is repeated with new orders until a round finds no link. So a text sends a bounded
-number of pairs, whatever the size of its buckets. Texts of larger buckets that are still of different classes then go through an exact
+text; then texts that are still of different classes are compared with the nearest, by one-bit marks, of those that are
+next to them in a random order of each bucket, and that is repeated with new orders until a round finds no link. So a text
+sends a bounded number of pairs, whatever the size of its buckets. Texts of larger buckets that are still of different classes then go through an exact
 join on their rarest shingles (prefix filter): two texts at the similarity share one among the rarest of each, and
 what a crowd has in common comes last in the order. Before two texts that share a rare shingle become a pair, bounds on
 their lengths, places and parity bits are looked at inside the task; none of them rules out a similar pair.
@@ -34,8 +34,8 @@ SHINGLE_WORDS = 5
 # A pair at the similarity misses all bands with probability (1 - 0.8^4)^25 = 2e-6.
 BANDS, BAND_ROWS = 25, 4
 COORDINATES = BANDS * BAND_ROWS
-# A text looks at so many neighbours on each bucket's random order, and is compared with so many of all of them, those nearest by marks.
-NEIGHBOURS, NEAREST = 4, 4
+# In a round a text is compared with so many of the texts that its buckets name, those nearest by marks.
+NEAREST = 2
 # Marks are one bit of each coordinate, and those of two texts differ in (1 - J) / 2 of them: at the similarity in more than
 # this number of 100 with probability 4e-6, at a similarity of 0.3 in fewer with probability 0.02.
 MARKS_APART = 25
@@ -378,21 +378,19 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         mixed = now.groupBy("bucket").agg(
             F.min("root").alias("low"), F.max("root").alias("high"), F.min(text).alias("n0")
         )
-        cut = F.pmod(F.xxhash64("uid", F.lit(turn)), F.ceil(F.col("n") / ORDERED_TOGETHER))
-        order = Window.partitionBy("bucket", "cut").orderBy(F.xxhash64("uid", "bucket", F.lit(turn)), "uid")
-        near = now.join(mixed.where("low < high").select("bucket", "n0"), "bucket").withColumn("cut", cut)
-        next_ = [F.lead(text, k).over(order).alias(f"n{k}") for k in range(1, NEIGHBOURS + 1)]
-        near = near.select("uid", "root", "mark1", "mark2", "n", "n0", *next_)
-        # A bucket's first text is looked at once.
-        others = F.array(*[f"n{k}" for k in range(min(turn - 1, 1), NEIGHBOURS + 1)])
-        near = near.select("uid", "root", "mark1", "mark2", "n", F.explode(others).alias("other"))
+        near = now.join(mixed.where("low < high").select("bucket", "n0"), "bucket")
+        if turn == 1:
+            near = near.withColumnRenamed("n0", "other")
+        else:
+            cut = F.pmod(F.xxhash64("uid", F.lit(turn)), F.ceil(F.col("n") / ORDERED_TOGETHER))
+            order = Window.partitionBy("bucket", "cut").orderBy(F.xxhash64("uid", "bucket", F.lit(turn)), "uid")
+            near = near.withColumn("cut", cut).withColumn("other", F.lead(text, 1).over(order))
         apart = F.expr("bit_count(mark1 ^ other.mark1) + bit_count(mark2 ^ other.mark2)")
         near = near.where("other is not null and other.root <> root").select("uid", "n", F.col("other.uid").alias("other"), apart.alias("apart"))
-        near = near.where(F.col("apart") <= MARKS_APART)
-        # At most BANDS * (NEIGHBOURS + 1) texts are looked at from one. The only pair of a bucket of two is always compared.
-        nearest = F.slice(F.array_sort(F.collect_set(F.struct("apart", "other"))), 1, NEAREST)
-        chosen = near.where("n > 2").groupBy("uid").agg(nearest.alias("nearest")).select("uid", F.explode("nearest.other").alias("other"))
-        new = near.where("n = 2").select("uid", "other").union(chosen)
+        near = near.where(F.col("apart") <= MARKS_APART).groupBy("uid", "other", "apart").agg(F.min("n").alias("n"))
+        # A bucket names one text. The only pair of a bucket of two is always compared.
+        nearest = F.row_number().over(Window.partitionBy("uid").orderBy("apart", "other"))
+        new = near.withColumn("rank", nearest).where((F.col("rank") <= NEAREST) | (F.col("n") == 2))
         new = new.select(F.greatest("uid", "other").alias("a"), F.least("uid", "other").alias("b")).distinct()
         new = written(new.join(tried, ["a", "b"], "left_anti"), "near-pairs")
         if new.isEmpty():

@@ -192,9 +192,9 @@ def all_links(texts, least=D.SIMILARITY):
     return similar, {(a, b) for a, b in np.argwhere(similar >= least).tolist() if a < b}
 
 
-@pytest.mark.parametrize("neighbours, together", [(D.NEIGHBOURS, D.ORDERED_TOGETHER), (1, 50)])
-def test_pairs_inside_a_crowd_are_found(spark, monkeypatch, neighbours, together):
-    monkeypatch.setattr(D, "NEIGHBOURS", neighbours)
+@pytest.mark.parametrize("nearest, together", [(D.NEAREST, D.ORDERED_TOGETHER), (1, 50)])
+def test_pairs_inside_a_crowd_are_found(spark, monkeypatch, nearest, together):
+    monkeypatch.setattr(D, "NEAREST", nearest)
     monkeypatch.setattr(D, "ORDERED_TOGETHER", together)
     texts = crowd_texts()
     similar, links = all_links(texts)

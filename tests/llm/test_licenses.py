@@ -91,3 +91,61 @@ def test_short_templates_with_a_replaced_word(spark):
     assert len(rows) >= 600
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert {r.doc_id for r in L.license_matches(docs).collect()} == {k for k, _ in rows}
+
+
+def plain_matches(template, words):
+    """Matches of a template in words: best local alignments over the whole text, one after the other."""
+    words, out = list(words), []
+    while True:
+        above, best = [(0, 0, -1, -1)] * (len(words) + 1), (0, 0, -1, -1)
+        for own in template:
+            row = [(0, 0, -1, -1)]
+            for j, word in enumerate(words):
+                score, matched, first, end = above[j]
+                cell = (0, 0, -1, -1)
+                if own == word:
+                    cell = (score + 2, matched + 1, j if first < 0 else first, j + 1)
+                elif score > 1:
+                    cell = (score - 1, matched, first, end)
+                for other in (above[j + 1], row[j]):
+                    if other[0] - 1 > cell[0]:
+                        cell = (other[0] - 1, *other[1:])
+                row.append(cell)
+                best = max(best, cell)
+            above = row
+        _, matched, first, end = best
+        if not matched or matched < L.COVERAGE * len(template):
+            return out
+        out.append((matched, first, end))
+        words[first:end] = [None] * (end - first)
+
+
+def test_matches_of_documents_are_those_of_whole_alignments(spark):
+    r = random.Random(6)
+    chosen = {n: TEMPLATES[n] for n in ("MIT-notice", "GPL-header", "LGPL-header", "MPL-2.0-header", "CC-text", "CC0-notice", "BSD-conditions", "All-rights-reserved")}
+    rows = []
+    for k in range(120):
+        words = [f"z{r.randrange(60)}" for _ in range(r.randrange(0, 60))]
+        for name in r.sample(list(chosen), r.randrange(0, 3)):
+            own = chosen[name].split()
+            for _ in range(r.choice([0, 0, 1, 2, len(own) // 8])):
+                at = r.randrange(len(own))
+                own[at : at + r.choice([0, 1, 1])] = [f"n{r.randrange(999)}"] if r.random() < 0.7 else []
+            at = r.randrange(len(words) + 1)
+            words[at:at] = own
+        rows.append((k, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {}
+    for m in L.license_matches(docs, chosen).collect():
+        got.setdefault(m.doc_id, set()).add((m.template, m.matched_words))
+    hashes = {n: words_of([t])[0].tolist() for n, t in chosen.items()}
+    for k, text in rows:
+        words = words_of([text])[0].tolist()
+        found = [(m, a, b, i, n) for i, n in enumerate(chosen) for m, a, b in plain_matches(hashes[n], words)]
+        found.sort(key=lambda f: (-f[0], f[1], f[3]))
+        kept = []
+        for m, a, b, i, n in found:
+            if not any(c <= a and b <= d for _, c, d, _, _ in kept):
+                kept.append((m, a, b, i, n))
+        # A planted text with every other word replaced has no two neighbouring words left; none of these are.
+        assert got.get(k, set()) == {(n, m) for m, _, _, _, n in kept}, text

@@ -55,3 +55,52 @@ def test_accuracy_on_held_out_documents(spark):
     rows = Q.quality_scores(docs, labels).join(labels, "doc_id").where("held_out").collect()
     assert len(rows) > 500
     assert sum(r.predicted == r.quality for r in rows) / len(rows) > 0.98
+
+
+def plain_score(text, model):
+    """The score of one text, byte by byte and passage by passage."""
+    import math
+
+    space = b"\t\n\v\f\r "
+    passages, words, inside = [{"shares": [0] * Q._SHARES, "words": []}], 0, False
+    for byte in text.encode() + b"\n":
+        if byte in space:
+            inside = False
+        elif not inside:
+            inside = True
+            if words and words % Q.PASSAGE_WORDS == 0:
+                passages.append({"shares": [0] * Q._SHARES, "words": []})
+            words += 1
+            passages[-1]["words"].append(bytearray())
+        if inside:
+            passages[-1]["words"][-1].append(byte)
+        passages[-1]["shares"][Q._CLASS[byte]] += 1
+    encoded = []
+    m = model.weights
+    for passage in passages:
+        own, shares = [bytes(w) for w in passage["words"]], passage["shares"]
+        n = max(len(own), 1)
+        x = [s / max(sum(shares), 1) for s in shares]
+        x += [
+            math.log1p(len(own)), sum(shares[2:]) / n / 10, len(set(own)) / n, sum(a == b for a, b in zip(own, own[1:])) / n,
+            sum(len(w) <= 4 for w in own) / n, sum(len(w) > 20 for w in own) / n,
+        ]
+        x = [(v - a) / b for v, a, b in zip(x, model.mean, model.scale)]
+        h = [math.tanh(sum(v * w for v, w in zip(x, column)) + b) for column, b in zip(m["w"].T, m["b"])]
+        gate = [
+            math.tanh(sum(a * b for a, b in zip(h, v))) / (1 + math.exp(-sum(a * b for a, b in zip(h, u)))) for v, u in zip(m["v"].T, m["u"].T)
+        ]
+        encoded.append((math.exp(sum(a * b for a, b in zip(gate, m["a"]))), h))
+    total = sum(e for e, _ in encoded)
+    z = [sum(e / total * h[k] for e, h in encoded) for k in range(len(encoded[0][1]))]
+    return 1 / (1 + math.exp(-sum(a * b for a, b in zip(z, m["c"])) - m["d"][0]))
+
+
+def test_scores_are_those_of_a_plain_computation(spark, hard):
+    rng = np.random.default_rng(7)
+    texts = ["good words in a row. " * 30, "BAD!!! $$$ %%% ", "one", " \v lead", "é " * 200, "same same same 1 2 3 |", ""] + [r.text or "" for r in hard.collect()]
+    bags = [Q.passage_features([t])[0] for t in texts]
+    model = Q.train_attention(bags, rng.integers(0, 2, len(bags)).tolist())
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.score for r in Q.score_quality(docs, model).collect()}
+    assert got == pytest.approx({k: plain_score(t, model) for k, t in enumerate(texts)}, abs=1e-9)
