@@ -35,7 +35,7 @@ SHINGLE_WORDS = 5
 BANDS, BAND_ROWS = 25, 4
 COORDINATES = BANDS * BAND_ROWS
 # In a round a text is compared with so many of the texts that its buckets name, those nearest by marks.
-NEAREST = 2
+NEAREST = 8
 # Marks are one bit of each coordinate, and those of two texts differ in (1 - J) / 2 of them: at the similarity in more than
 # this number of 100 with probability 4e-6, at a similarity of 0.3 in fewer with probability 0.02.
 MARKS_APART = 25
