@@ -207,8 +207,9 @@ def _tokenizer(path: str):
 
 
 def release_words(path: str) -> None:
-    """At the end of a task: the worker process goes on with other work, so half of what it remembers goes."""
-    _tokenizer(path)[2].clear()
+    """At the end of a task: the worker process goes on with other work, and words take much of its memory."""
+    for kept in _tokenizer(path)[1:]:
+        kept.clear()
 
 
 def token_ids(texts: list[str], path: str) -> list[bytes]:
