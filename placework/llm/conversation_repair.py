@@ -481,8 +481,9 @@ def _repaired(conversations: DataFrame, rows: bool) -> DataFrame:
     firsts = plain.select(*keys, digest).groupBy("conv_id", "role", "digest").agg(least.alias("first"))
     none = [F.lit(None).cast(t).alias(c) for c, t in (("text", "string"), ("times", "long"), ("blank", "boolean"), ("open", "boolean"))]
     marks = firsts.select("conv_id", F.col("first.turn").alias("turn"), "role", "digest", F.lit(0).alias("order"), *none)
-    order = [*keys, "digest", "order"]
-    dealt = data.unionByName(marks).repartitionByRange(*order).sortWithinPartitions(*order)
+    # Ranges end between keys, never between a mark and its row.
+    place = [*keys, "digest"]
+    dealt = data.unionByName(marks).repartitionByRange(*place).sortWithinPartitions(*place, "order")
     dealt = dealt.select("conv_id", "turn", "role", "digest", (F.col("order") == 0).alias("mark"), "text", "times", "blank", "open")
     turns = "number long, role string, text string"
     first = _fields(
@@ -491,15 +492,15 @@ def _repaired(conversations: DataFrame, rows: bool) -> DataFrame:
         f"rest struct<{CHUNK_FIELDS}>, report struct<{REPORT_FIELDS}>, done array<struct<{turns}>>",
     )
     chunks = written(dealt.mapInArrow(_first_pass(_arrow(first), rows), first), "repair-chunks")
-    place = ["conv_id", "part", "chunk"]
+    at = ["conv_id", "part", "chunk"]
     cut = chunks.where("rest IS NOT NULL")
     behind = _fields(conv, "part int, chunk long, after int")
-    back = cut.select(*place, "transfer").repartition("conv_id").sortWithinPartitions("conv_id", F.desc("part"), F.desc("chunk"))
+    back = cut.select(*at, "transfer").repartition("conv_id").sortWithinPartitions("conv_id", F.desc("part"), F.desc("chunk"))
     vectors = back.mapInArrow(_vectors_behind(_arrow(behind)), behind)
     vectors = vectors.select(F.col("conv_id").alias("_conv"), F.col("part").alias("_part"), F.col("chunk").alias("_chunk"), "after")
     same = F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("part") == F.col("_part")) & (F.col("chunk") == F.col("_chunk"))
-    stream = cut.select(*place, "rest").join(vectors, same).select(*place, "rest", "after")
-    stream = stream.repartition("conv_id").sortWithinPartitions(*place)
+    stream = cut.select(*at, "rest").join(vectors, same).select(*at, "rest", "after")
+    stream = stream.repartition("conv_id").sortWithinPartitions(*at)
     second = _fields(conv, turns if rows else REPORT_FIELDS)
     streamed = stream.mapInArrow(_second_pass(_arrow(second), rows), second)
     done = chunks.where("rest IS NULL")
