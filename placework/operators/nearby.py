@@ -1,9 +1,9 @@
 """Match by distance and name similarity.
 
 Points are joined on grid cells, so only neighbours meet. Copies (same name, same place) are reduced to one
-value per side first. Sides meet on cell and name piece: names with a ratio above the threshold share enough letter pairs
-that they must agree on one of the rarest few of each, so the names of a hot cell are not all paired with each other,
-and none that could match is left out.
+value per side first. Sides meet on the cell, in crowded cells on cell and name piece: names with a ratio above the threshold
+share enough letter pairs that they must agree on one of the rarest few of each, so the names of a hot cell are not all paired
+with each other, and none that could match is left out.
 """
 
 from __future__ import annotations
@@ -22,6 +22,11 @@ METRES_PER_DEGREE = 111_000.0
 LEAST_RATIO = 0.8
 VALUE = ["name", "latitude", "longitude"]
 CELL = ["__band", "__col"]
+# All sides here grow with the input. Their size is estimated from files before cells and keys are exploded, and adaptive
+# execution does not take a broadcast back that needs fewer shuffles, so it would pass through the driver at any size.
+MERGE = "merge"
+# Cells with more pairs than this are crowds.
+CROWD = 1024
 
 
 def _with_cells(df: DataFrame, cell: float, reach: int) -> DataFrame:
@@ -67,9 +72,25 @@ def _with_pieces(df: DataFrame) -> DataFrame:
 
 
 def _met(left: DataFrame, right: DataFrame, cell: float, min_ratio: float) -> DataFrame:
-    """Pairs of values of two sides that agree on a cell and on one of the rarest letter pairs of both."""
-    a, b = _values(left), _values(right)
-    levels = piece_levels(_with_pieces(a.select("name").union(b.select("name"))).select(F.explode("__pieces")))
+    """Pairs of values of two sides in one cell; in crowds only those that agree on one of the rarest letter pairs of both."""
+    named = [
+        df.select(*CELL, *[F.col(c).alias(f"{side}_{c}") for c in VALUE])
+        for df, side in ((_with_cells(_values(left), cell, 0), "left"), (_with_cells(_values(right), cell, 1), "right"))
+    ]
+    sizes = [df.groupBy(*CELL).agg(F.count("*").alias(f"__n{k}")) for k, df in enumerate(named)]
+    crowds = sizes[0].join(sizes[1].hint(MERGE), CELL).filter(F.col("__n0").cast("double") * F.col("__n1") > CROWD)
+    crowds = written(crowds.select(*CELL), "nearby-crowds")
+    if crowds.isEmpty():
+        return named[0].join(named[1].hint(MERGE), CELL)
+    few = [df.join(crowds.hint(MERGE), CELL, "left_anti") for df in named]
+    many = [written(df.join(crowds.hint(MERGE), CELL, "left_semi"), "nearby-crowd-rows") for df in named]
+    return few[0].join(few[1].hint(MERGE), CELL).unionByName(_met_by_pieces(many[0], many[1], min_ratio))
+
+
+def _met_by_pieces(left: DataFrame, right: DataFrame, min_ratio: float) -> DataFrame:
+    """Pairs of placed values that agree on a cell and on one of the rarest letter pairs of both."""
+    names = left.select(F.col("left_name").alias("name")).union(right.select(F.col("right_name").alias("name")))
+    levels = piece_levels(_with_pieces(names).select(F.explode("__pieces")))
     needed = _shared_pieces(F.length("name"), min_ratio)
     rarest = F.slice("__ranked", F.lit(1), F.size("__ranked") - needed + 1)
     keys = F.transform(rarest, lambda r: r["piece"])
@@ -83,19 +104,13 @@ def _met(left: DataFrame, right: DataFrame, cell: float, min_ratio: float) -> Da
     short = F.array_distinct(F.concat("__keys", F.array(F.concat(F.lit("="), name)), cuts))
     every = F.when(F.length(name) <= 4, short).otherwise(F.col("__keys"))
 
-    def side(df: DataFrame, reach: int, prefix: str) -> DataFrame:
-        ranked = _with_pieces(df).withColumn("__ranked", by_rarity(F.col("__pieces"), levels))
-        keyed = _with_cells(ranked.withColumn("__keys", keys).select(*VALUE, every.alias("keys")), cell, reach)
-        # Of the cells around a place few have a place of the other side; only there its keys are needed.
-        others = _with_cells(b if prefix == "left" else a, cell, 1 - reach).select(*CELL).distinct()
-        return keyed.join(others, CELL, "left_semi").select(
-            *CELL,
-            F.explode("keys").alias("__key"),
-            F.col("keys").alias(f"{prefix}_keys"),
-            *[F.col(c).alias(f"{prefix}_{c}") for c in VALUE],
-        )
-
-    met = side(a, 0, "left").join(side(b, 1, "right"), [*CELL, "__key"])
+    def side(df: DataFrame, prefix: str) -> DataFrame:
+        pieces = _with_pieces(df.withColumn("name", F.col(f"{prefix}_name")))
+        ranked = pieces.withColumn("__ranked", by_rarity(F.col("__pieces"), levels)).withColumn("__keys", keys)
+        keyed = ranked.select(*df.columns, every.alias(f"{prefix}_keys"))
+        return keyed.select(*keyed.columns, F.explode(f"{prefix}_keys").alias("__key"))
+
+    met = side(left, "left").join(side(right, "right").hint(MERGE), [*CELL, "__key"])
     # A pair that agrees on several keys is kept under the first of them.
     first_key = F.get(F.array_intersect("left_keys", "right_keys"), 0)
     return met.filter(F.col("__key") == first_key).drop("left_keys", "right_keys", "__key")
@@ -114,7 +129,7 @@ def nearby_pairs(left: DataFrame, right: DataFrame, metres: float = 10.0, min_ra
     cell = metres / METRES_PER_DEGREE
     a, b = _with_cells(_values(left), cell, 0), _with_cells(_values(right), cell, 1)
     named = [df.select(*CELL, *[F.col(c).alias(f"{side}_{c}") for c in VALUE]) for df, side in ((a, "left"), (b, "right"))]
-    return _within(named[0].join(named[1], CELL), metres, min_ratio)
+    return _within(named[0].join(named[1].hint(MERGE), CELL), metres, min_ratio)
 
 
 def _within(met: DataFrame, metres: float, min_ratio: float) -> DataFrame:
@@ -141,7 +156,7 @@ def match_nearby(left: DataFrame, right: DataFrame, metres: float = 10.0, min_ra
     names = pairs.filter("left_name <> right_name").select("left_name", "right_name").distinct()
     ratios = names.withColumn("ratio", similarity(F.col("right_name"), F.col("left_name")))
     same = pairs.filter("left_name = right_name").withColumn("ratio", F.lit(1.0))
-    other = pairs.join(ratios.filter(F.col("ratio") > min_ratio), ["left_name", "right_name"])
+    other = pairs.join(ratios.filter(F.col("ratio") > min_ratio).hint(MERGE), ["left_name", "right_name"])
     good = same.unionByName(other)
     left_ids = left.select(F.col("id").alias("left_id"), *[F.col(c).alias(f"left_{c}") for c in VALUE])
     right_rows = right.select(
@@ -149,4 +164,5 @@ def match_nearby(left: DataFrame, right: DataFrame, metres: float = 10.0, min_ra
         *[F.col(c).alias(f"right_{c}") for c in VALUE],
         *[c for c in right.columns if c not in (*VALUE, "id")],
     )
-    return left_ids.join(good, [f"left_{c}" for c in VALUE]).join(right_rows, [f"right_{c}" for c in VALUE])
+    found = left_ids.join(good.hint(MERGE), [f"left_{c}" for c in VALUE])
+    return found.join(right_rows.hint(MERGE), [f"right_{c}" for c in VALUE])

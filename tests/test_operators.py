@@ -195,6 +195,33 @@ def test_short_names_meet_where_they_can_match(spark):
         joins.match_nearby(df, df, min_ratio=0.6)
 
 
+@pytest.mark.parametrize("most", [0, 20, 400])
+def test_nearby_matches_with_crowds_of_any_size(spark, monkeypatch, most):
+    from placework.operators import nearby
+
+    monkeypatch.setattr(nearby, "CROWD", most)
+    rng = random.Random(8)
+    names = ["casa mare", "casa mare 2", "casa", "vila alba", "hotel central", "hotel centrul", "x"]
+    rows = [
+        (i, rng.choice(names) + rng.choice(["", " a", f" {i}"]), 45.0 + rng.choice([0, 0.0, 0.00006, 0.001]), 25.0 + rng.choice([0.0, 0.00005]))
+        for i in range(90)
+    ]
+    df = spark.createDataFrame(rows, "id long, name string, latitude double, longitude double")
+    got = joins.match_nearby(df, df)
+    assert values(got, "left_id", "right_id") == sorted(brute_pairs(rows, rows, 10, 0.8), key=repr)
+
+
+def test_nearby_sides_do_not_pass_through_the_driver(spark):
+    """Files look small before names are read and cells exploded; a broadcast planned from that is never taken back."""
+    part = spark.read.parquet("/root/testdata/sf0.01/part.parquet")
+    at = part.select(
+        F.col("p_partkey").alias("id"), F.col("p_name").alias("name"),
+        (F.col("p_partkey") * 0.00005).alias("latitude"), F.lit(25.0).alias("longitude"),
+    )
+    for found in (joins.nearby_pairs(at, at), joins.match_nearby(at, at)):
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_city_lookups_ignore_accents_and_take_long_names(spark):
     import time
 
