@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import pages
 from ..operators.html import html_nodes, html_trees
 from ..functions.text import squash_spaces
+from ..session import spread
 from . import render
 from .registry import query, table
 
@@ -58,7 +59,7 @@ def h3(spark, sf):
        FROM part UNION ALL SELECT p_partkey, 1, 'http://h.ro/' || p_partkey || '/' || p_size || '.jpg' FROM part""",
 )
 def h4(spark, sf):
-    rendered = table(spark, sf, "part").select(
+    rendered = spread(table(spark, sf, "part")).select(
         F.col("p_partkey").alias("page_id"),
         render.html("http://h.ro/", F.col("p_partkey")).alias("url"),
         render.html(
@@ -79,7 +80,7 @@ def h5(spark, sf):
 
 @query("h6_page_metadata", "SELECT s_suppkey AS page_id, s_name || ' <' || s_nationkey || '>' AS content FROM supplier")
 def h6(spark, sf):
-    rendered = table(spark, sf, "supplier").select(
+    rendered = spread(table(spark, sf, "supplier")).select(
         F.col("s_suppkey").alias("page_id"),
         render.html(
             '<head><meta charset="utf-8"><meta name="author" content="x"><meta name="description" content="',
@@ -97,7 +98,7 @@ def h6(spark, sf):
        FROM customer CROSS JOIN (SELECT unnest([0, 1]) AS row_no)""",
 )
 def h7(spark, sf):
-    rendered = table(spark, sf, "customer").select(
+    rendered = spread(table(spark, sf, "customer")).select(
         F.col("c_custkey").alias("page_id"),
         render.html(
             "<table><tr><th></th><th>Nume</th><th>Judeţ</th></tr><tr><td>1<td><a href='/c/", F.col("c_custkey"), "'>",
@@ -116,7 +117,7 @@ def h7(spark, sf):
 def detail_pages(spark, sf):
     """customer as detail pages: page_id, url, status, html."""
     rows = (
-        table(spark, sf, "customer")
+        spread(table(spark, sf, "customer"))
         .join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
         .join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     )
@@ -158,7 +159,7 @@ def h8(spark, sf):
 
 def listing_pages(spark, sf):
     """customer as listing pages: page_id, url, html."""
-    rows = table(spark, sf, "customer").join(
+    rows = spread(table(spark, sf, "customer")).join(
         table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey")
     )
     return rows.select(
@@ -183,7 +184,7 @@ def h9(spark, sf):
         F.col("s_name"), '"}}',
     )
     script = F.when(F.col("s_nationkey") < 20, record).when(F.col("s_nationkey") < 22, "not json").otherwise("")
-    rendered = table(spark, sf, "supplier").select(
+    rendered = spread(table(spark, sf, "supplier")).select(
         F.col("s_suppkey").alias("page_id"),
         render.html('<script>var a=1;</script><script type="application/ld+json">', script, "</script>").alias("html"),
     )
@@ -218,7 +219,7 @@ def h10(spark, sf):
        FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_nationkey >= 15""",
 )
 def h11(spark, sf):
-    rows = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = spread(table(spark, sf, "customer")).join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     data = render.html(
         "<table class='wikitable sortable datatable'><tr><td><a title='", F.col("c_name"), "' href='/w/", F.col("c_custkey"),
         "'>x</a></td><td><a href='/c/", F.col("n_nationkey"), "'>\n", F.col("n_name"), "</a></td><td>n</td><td>",
@@ -270,7 +271,7 @@ def result_pages(spark, sf):
         render.html("http://shop.example/", F.col("p_partkey")), name, render.html("only ", size, " Euro ", F.col("p_brand"))
     )
     second = render.html('<div class="rc"><a href="/none">', F.col("p_type"), "</a> no price</div>")
-    return table(spark, sf, "part").select(
+    return spread(table(spark, sf, "part")).select(
         F.col("p_partkey").alias("page_id"), render.result_page(F.concat(first, second)).alias("html")
     )
 

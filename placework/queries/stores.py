@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..operators.aggregates import crawl_progress
 from ..operators.graph import crawl_frontier
 from ..schemas import CATALOGUE
-from ..session import work_folder
+from ..session import spread, work_folder
 from ..plans.crawl import crawl_pages, save_crawl
 from ..sources import catalogue, files
 from ..streaming.new_keys import read_new_keys, stream_new_keys, write_new_keys
@@ -262,20 +262,23 @@ _STORED_SQL = """WITH RECURSIVE v(k, round) AS (
              FROM v LEFT JOIN customer ON c_custkey = k)"""
 
 
-def _stored_crawl(spark, sf):
+def stored_pages(spark, sf):
     """customer keys as stored pages with links to eight others; pages of one nation have status 404, of another 301."""
     key, nation = F.col("c_custkey"), F.col("c_nationkey")
     links = F.transform(
         F.sequence(8 * key + 1, 8 * key + 8), lambda k: F.concat(F.lit('<li><a class=x href="../p'), k.cast("string"), F.lit('.html">go</a>'))
     )
-    pages = table(spark, sf, "customer").select(
+    return spread(table(spark, sf, "customer")).select(
         F.concat(F.lit("http://h.ro/p"), key.cast("string"), F.lit(".html")).alias("url"),
         F.when(nation == 24, 404).when(nation == 3, 301).otherwise(200).alias("status"),
         F.concat(F.lit("<html><body><a href='http://a.ro/x.html'>out</a><a name=top>top</a><ul>"), F.array_join(links, ""),
                  F.lit("</ul><p><a href=../p0.html>home</a> <a href='../p.pdf'>print</a></body></html>")).alias("html"),
     )
+
+
+def _stored_crawl(spark, sf):
     seeds = spark.createDataFrame([("http://h.ro/p0.html",)], "url string")
-    return crawl_pages(spark, pages, seeds, "http://h.ro/")
+    return crawl_pages(spark, stored_pages(spark, sf), seeds, "http://h.ro/")
 
 
 @query("g1_crawl_stored_pages", f"{_STORED_SQL} SELECT url, ok, round FROM w")

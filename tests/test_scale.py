@@ -312,3 +312,14 @@ def test_catalogue_keys_are_checked(spark, tmp_path):
         stores.load_catalogue(spark, str(tmp_path / "cat"), tables=list(good), check=True)
     assert stores.jdbc_ranges(None, None, 0) == {} and stores.jdbc_ranges(3, 9, 10) == {}
     assert stores.jdbc_ranges(3, 90, 10, 3) == {"partitionColumn": "id", "lowerBound": "3", "upperBound": "91", "numPartitions": "4"}
+
+
+def test_rendered_pages_are_dealt_over_tasks(spark, tmp_path):
+    """A small file is one task; its rendered pages take long and must not all be parsed there."""
+    from placework.queries.page_extracts import detail_pages, listing_pages, result_pages
+    from placework.queries.stores import stored_pages
+
+    for name in ("customer", "nation", "region", "part"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    for pages in (detail_pages, listing_pages, result_pages, stored_pages):
+        assert pages(spark, str(tmp_path)).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
