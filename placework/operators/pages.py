@@ -15,7 +15,6 @@ from ..functions.text import (
     decimals_in,
     is_quality_line,
     price_mention,
-    punctuation_count,
     slugify,
     squash_spaces,
     strip_punctuation,
@@ -476,18 +475,25 @@ def page_content(trees: DataFrame) -> DataFrame:
     """
     nodes = F.col(NODES)
 
-    def inline_text(n):
-        words = squash_spaces(text_of(nodes, n))
-        return F.when(punctuation_count(words) < 2, strip_punctuation(words)).otherwise(" ")
+    # Text and stripped text of a piece are elements of their own, so that each is made once.
+    def said(n):
+        plain = n["tag"] == "#text"
+        words = F.when(plain, n["text"]).otherwise(squash_spaces(text_of(nodes, n)))
+        return F.struct(plain.alias("plain"), words.alias("words"))
+
+    def stripped(p):
+        return F.struct(p["plain"].alias("plain"), p["words"].alias("words"), F.when(~p["plain"], strip_punctuation(p["words"])).alias("bare"))
+
+    def written_as(p):
+        few = F.length(p["words"]) - F.length(p["bare"]) < 2
+        return F.when(p["plain"], p["words"]).when(few, p["bare"]).otherwise(" ")
 
     def block_text(b):
         pieces = F.filter(
             below(nodes, b),
             lambda n: ((n["tag"] == "#text") & n["inline_id"].isNull()) | (n["inline_id"] == n["node_id"]),
         )
-        return F.array_join(
-            F.transform(pieces, lambda n: F.when(n["tag"] == "#text", n["text"]).otherwise(inline_text(n))), ""
-        )
+        return F.array_join(F.transform(F.transform(F.transform(pieces, said), stripped), written_as), "")
 
     blocks = find_all(nodes, "p", "h1", "h2", "h3", where=lambda n: n["inline_id"].isNull())
     lines = F.transform(blocks, lambda b: squash_spaces(block_text(b)))

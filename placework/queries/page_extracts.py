@@ -312,7 +312,7 @@ def h15_lines(spark, sf):
     escaped = F.col("text")
     for raw, written in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ("\n", "</p><p>")):
         escaped = F.replace(escaped, F.lit(raw), F.lit(written))
-    rendered = table(spark, sf, "documents").select(
+    rendered = spread(table(spark, sf, "documents").select("doc_id", "text")).select(
         F.col("doc_id").alias("page_id"), render.html("<body><p>", escaped, "</p></body>").alias("html")
     )
     return pages.page_content(html_trees(rendered)).select("page_id", "key", "line")
@@ -345,15 +345,15 @@ def h15_inline(spark, sf):
     for raw, written in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
         escaped = F.replace(escaped, F.lit(raw), F.lit(written))
 
-    def paragraph(line):
-        words = F.split(squash_spaces(line), " ")
+    def paragraph(words):
         some = lambda at, n: F.array_join(F.slice(words, at, n), " ")
         rest = F.array_join(F.slice(words, F.lit(15), F.greatest(F.size(words), F.lit(1))), " ")
         return render.html(
             "<p>", some(1, 4), " <span>", some(5, 3), " <i>", some(8, 2), "</i></span> ", some(10, 3), " <b>", some(13, 2), "</b> ", rest, "</p>"
         )
 
-    lines = F.filter(F.split(escaped, "\n"), lambda line: squash_spaces(line) != "")
-    body = F.array_join(F.transform(lines, paragraph), "")
-    rendered = table(spark, sf, "documents").select(F.col("doc_id").alias("page_id"), render.html("<body>", body, "</body>").alias("html"))
+    # Each line is squashed and split once: what a function of an element uses several times is an element itself.
+    lines = F.filter(F.transform(F.split(escaped, "\n"), squash_spaces), lambda line: line != "")
+    body = F.array_join(F.transform(F.transform(lines, lambda line: F.split(line, " ")), paragraph), "")
+    rendered = spread(table(spark, sf, "documents").select("doc_id", "text")).select(F.col("doc_id").alias("page_id"), render.html("<body>", body, "</body>").alias("html"))
     return pages.page_content(html_trees(rendered)).select("page_id", "key", "line")

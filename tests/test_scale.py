@@ -323,3 +323,14 @@ def test_rendered_pages_are_dealt_over_tasks(spark, tmp_path):
         spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
     for pages in (detail_pages, listing_pages, result_pages, stored_pages):
         assert pages(spark, str(tmp_path)).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_text_of_a_mark_is_squashed_once(spark):
+    """What several conditions on one mark need is made once, not in each of them."""
+    from placework.operators.html import html_trees
+    from placework.operators.pages import page_content
+
+    pages = spark.createDataFrame([(1, "<p>x <b>y</b></p>")], "page_id long, html string")
+    plan = page_content(html_trees(pages))._jdf.queryExecution().optimizedPlan().toString()
+    # One for the text of marks, one for the line.
+    assert plan.count("(?U)") == 2
