@@ -27,7 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, counted_shingles, digest_of, keep_rows, link_classes, mix, pieces, seeded, text_of, written
+from .common import (
+    SMALL_PIECE, U64, counted_shingles, digest_of, keep_rows, link_classes, mix, pieces, seeded, stored_part, stored_parts,
+    text_of, work_folder, written,
+)
 
 SIMILARITY = 0.8
 SHINGLE_WORDS = 5
@@ -132,7 +135,7 @@ def sketch_marks(sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part, texts in pieces(batch, "content"):
+        for part, texts in pieces(batch, "content", SMALL_PIECE):
             elements, weights, owner = counted_shingles([t.encode() for t in texts], SHINGLE_WORDS)
             sketch, some = dart_sketches(elements, weights.astype(float), owner, len(texts)) if len(elements) else (None, np.zeros(len(texts), bool))
             values = band_hashes(sketch[some]).ravel() if some.any() else np.zeros(0, np.int64)
@@ -161,7 +164,7 @@ def similarities(left: list[bytes], right: list[bytes], size: int = SHINGLE_WORD
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part, left in pieces(batch, "text_a"):
+        for part, left in pieces(batch, "text_a", SMALL_PIECE):
             right = part.column(part.schema.get_field_index("text_b")).to_pylist()
             found = similarities([t.encode() for t in left], [t.encode() for t in right])
             yield pa.RecordBatch.from_arrays(
@@ -169,18 +172,18 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, least: float, folder: str, turn: int) -> DataFrame:
     # The crowded side (b) is joined while rows are small; the second join moves texts by the other text.
     right = texts.select(F.col("uid").alias("b"), F.col("text").alias("text_b"))
     left = texts.select(F.col("uid").alias("a"), F.col("text").alias("text_a"))
     both = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
-    return written(both.mapInArrow(_compare, "a long, b long, similarity double").where(F.col("similarity") >= least), "near-links")
+    return stored_part(both.mapInArrow(_compare, "a long, b long, similarity double").where(F.col("similarity") >= least), folder, turn)
 
 
 def _shingle_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(COUNTERS, np.int64)
     for batch in batches:
-        for _, texts in pieces(batch, "text"):
+        for _, texts in pieces(batch, "text", SMALL_PIECE):
             shingles, _, _ = counted_shingles([t.encode() for t in texts], SHINGLE_WORDS)
             counts += np.bincount((shingles % U64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
     some = np.flatnonzero(counts)
@@ -208,7 +211,7 @@ def _prefixes(counts: np.ndarray, least: float):
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in pieces(batch, "text"):
+            for part, texts in pieces(batch, "text", SMALL_PIECE):
                 shingles, weights, owner = counted_shingles([t.encode() for t in texts], SHINGLE_WORDS)
                 parity = parity_bits(shingles, weights, owner, len(texts))
                 times = counts[(shingles % U64(COUNTERS)).astype(np.int64)]
@@ -366,11 +369,11 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     texts = written(contents.join(wanted, same).select("uid", "text").dropDuplicates(["uid"]), "near-contents")
 
     # First each text with the least leader of its buckets: that joins most of a crowded group.
+    # Pairs and links of all rounds are two tables with a part for each round, so that plans do not grow with the rounds.
+    spark, tried, links, turn = docs.sparkSession, work_folder(docs.sparkSession, "near-pairs"), work_folder(docs.sparkSession, "near-links"), 0
     pairs = shared.where("uid <> leader").groupBy(F.col("uid").alias("a")).agg(F.min("leader").alias("b"))
-    pairs = written(pairs, "near-pairs")
-    links = _verified(pairs, texts, similarity)
-    classes = link_classes(links, "near-classes").withColumnRenamed("id", "uid")
-    tried, turn = pairs, 0
+    found = _verified(stored_part(pairs, tried, turn), texts, similarity, links, turn)
+    classes = link_classes(found, "near-classes").withColumnRenamed("id", "uid")
     while True:
         turn += 1
         now = shared.join(classes, "uid", "left").withColumn("root", F.coalesce("root", "uid")).drop("leader")
@@ -392,29 +395,27 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         nearest = F.row_number().over(Window.partitionBy("uid").orderBy("apart", "other"))
         new = near.withColumn("rank", nearest).where((F.col("rank") <= NEAREST) | (F.col("n") == 2))
         new = new.select(F.greatest("uid", "other").alias("a"), F.least("uid", "other").alias("b")).distinct()
-        new = written(new.join(tried, ["a", "b"], "left_anti"), "near-pairs")
+        new = stored_part(new.join(stored_parts(spark, tried, "a long, b long"), ["a", "b"], "left_anti"), tried, turn)
         if new.isEmpty():
             break
-        found = _verified(new, texts, similarity)
+        found = _verified(new, texts, similarity, links, turn)
         if found.isEmpty():
             break
         # Classes are stars, so only the new links take rounds.
         stars = classes.select(F.col("uid").alias("a"), F.col("root").alias("b")).union(found.select("a", "b"))
         classes = link_classes(stars, "near-classes").withColumnRenamed("id", "uid")
-        links, tried = links.union(found), tried.union(new)
 
     # Buckets of two were compared; of the larger ones texts of different classes are left.
     crowded = now.where("n > 2").join(mixed.where("low < high").select("bucket"), "bucket")
     crowded = written(crowded.select("uid", "root").distinct(), "near-crowded")
     if not crowded.isEmpty():
-        new = written(_rare_pairs(crowded, texts, similarity).join(tried, ["a", "b"], "left_anti"), "near-pairs")
-        found = _verified(new, texts, similarity)
+        new = _rare_pairs(crowded, texts, similarity).join(stored_parts(spark, tried, "a long, b long"), ["a", "b"], "left_anti")
+        found = _verified(stored_part(new, tried, turn + 1), texts, similarity, links, turn + 1)
         if not found.isEmpty():
             stars = classes.select(F.col("uid").alias("a"), F.col("root").alias("b")).union(found.select("a", "b"))
             classes = link_classes(stars, "near-classes").withColumnRenamed("id", "uid")
-            links = links.union(found)
 
-    ends = links.select(F.explode(F.array("a", "b")).alias("text_uid")).groupBy("text_uid").agg(F.count("*").alias("n_links"))
+    ends = stored_parts(spark, links, "a long, b long").select(F.explode(F.array("a", "b")).alias("text_uid")).groupBy("text_uid").agg(F.count("*").alias("n_links"))
     of_class = classes.withColumnRenamed("uid", "text_uid")
     placed = of_text.join(of_class, "text_uid", "left").join(ends, "text_uid", "left")
     placed = written(placed.withColumn("root", F.coalesce("root", "text_uid")), "near-placed")

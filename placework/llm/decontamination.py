@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import U64, mix, pieces, seeded, text_of, word_hashes, written
+from .common import SMALL_PIECE, U64, mix, pieces, seeded, text_of, word_hashes, written
 
 # An item of n words is matched by a run of words at an edit distance of at most this share of n.
 DISTANCE_SHARE = 0.2
@@ -235,7 +235,7 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             filters = None
             for batch in batches:
                 filters = filters or items.unpacked()
-                for part, texts in pieces(batch, "text"):
+                for part, texts in pieces(batch, "text", SMALL_PIECE):
                     rows = _matches(items, filters, texts)
                     ids = part.column(part.schema.get_field_index("doc_id")).to_pylist()
                     data = [(ids[t], items.ids[i], d, len(items.words[i]), a, b) for t, i, d, a, b in rows]
@@ -260,7 +260,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             filters = None
             for batch in batches:
                 filters = filters or items.unpacked()
-                for part, texts in pieces(batch, "text"):
+                for part, texts in pieces(batch, "text", SMALL_PIECE):
                     hit = {row[0] for row in _matches(items, filters, texts)}
                     yield part.filter(pa.array([k not in hit for k in range(part.num_rows)]))
 

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix, pieces, text_of, word_hashes
+from .common import SMALL_PIECE, mix, pieces, text_of, word_hashes
 
 PASSAGE_WORDS = 64
 # Labelled documents that training uses, those with the least hash of their id.
@@ -159,7 +159,7 @@ def held_out(doc_id: Column) -> Column:
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part, texts in pieces(batch, "content"):
+        for part, texts in pieces(batch, "content", SMALL_PIECE):
             features, passages = passage_features(texts)
             split = np.split(features, np.cumsum(passages)[:-1])
             quality = part.column(part.schema.get_field_index("quality"))
@@ -192,7 +192,7 @@ def score_quality(docs: DataFrame, model: AttentionModel, column: str = "score")
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in pieces(batch, "text"):
+            for part, texts in pieces(batch, "text", SMALL_PIECE):
                 score = model.score(*passage_features([t or "" for t in texts]))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score)], names=[*fields, column])
 

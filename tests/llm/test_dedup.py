@@ -1,10 +1,14 @@
 import hashlib
+import itertools
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from placework import session
 from placework.llm import dart_minhash as D
 from placework.llm import exact_dedup as E
 from placework.llm.common import counted_shingles, keep_rows, link_classes, work_folder
@@ -284,3 +288,35 @@ def test_parity_bits_never_exceed_the_difference():
         differ = sum(abs(bags[0].get(s, 0) - bags[1].get(s, 0)) for s in set(bags[0]) | set(bags[1]))
         bits = D.parity_bits(shingles, weights, owner, 2)
         assert np.bitwise_count((bits[0] ^ bits[1]).view(np.uint64)).sum() <= differ
+
+
+def test_plans_do_not_grow_with_the_rounds(spark, tmp_path, monkeypatch):
+    rng = random.Random(3)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    # Each text is similar to its neighbours only, so that classes are joined in several rounds.
+    texts = [" ".join(words[8 * k : 8 * k + 100]) for k in range(36)]
+    _, links = all_links(texts)
+    assert links == {(k, k + 1) for k in range(35)}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    numbers = itertools.count()
+    for module in (session, D):
+        monkeypatch.setattr(module, "work_folder", lambda _, purpose: str(tmp_path / f"{purpose}-{next(numbers)}"), raising=False)
+    assert {r.class_id for r in D.near_classes(docs).collect()} == {0}
+    for name in ("near-pairs", "near-links"):
+        tables = list(tmp_path.glob(f"{name}-*"))
+        assert len(tables) == 1 and len(list(tables[0].glob("part=*"))) > 2
+
+
+def test_memory_for_a_batch_of_texts_is_bounded():
+    rng = random.Random(4)
+    texts = [" ".join(f"{rng.randrange(10**5)}" for _ in range(350)) for _ in range(1900)]
+    assert 3 << 20 < sum(map(len, texts)) < 4 << 20
+    ids = pa.array(range(len(texts)), pa.int64())
+    batch = pa.RecordBatch.from_arrays([ids, ids, pa.array(["d"] * len(texts)), pa.array(texts)], names=["uid", "doc_id", "digest", "content"])
+    pairs = pa.RecordBatch.from_arrays([ids, ids, pa.array(texts), pa.array(texts)], names=["a", "b", "text_a", "text_b"])
+    for worker, given in ((D._band_rows, batch), (D._compare, pairs)):
+        tracemalloc.start()
+        rows = sum(out.num_rows for out in worker(iter([given])))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert rows == len(texts) and peak < 110 << 20
